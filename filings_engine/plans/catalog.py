@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filings_engine.operators import coverage as cov
+from filings_engine.operators import facts as fx
 from filings_engine.operators import filters as flt
 from filings_engine.plans import proxy_links as pl
 from filings_engine.sources import adapters as ad
+from filings_engine.sources import edgar_files as ef
 
 START, END = 1996, 1999
 YEARS = list(range(START, END + 1))
@@ -59,6 +61,39 @@ def q_first_filing(spark, d):
     return pl.single_year_first_filing(ad.identifiers(spark, d), ad.filings(spark, d), 1998)
 
 
+FACT_COLS = ["cik", "taxonomy", "fact", "label", "unit", "start", "end", "val", "accn", "form", "filed"]
+
+
+def _facts(spark, d):
+    return ef.parse_company_facts(ad.company_facts_documents(spark, d), doc_order="doc_order")
+
+
+def q_facts_flat(spark, d):
+    return _facts(spark, d).select(FACT_COLS)
+
+
+def q_facts_dedup(spark, d):
+    return fx.dedupe_facts(_facts(spark, d)).select(FACT_COLS)
+
+
+def _periodic(spark, d, form):
+    out = fx.periodic_facts(fx.dedupe_facts(_facts(spark, d)), ad.filings(spark, d), form)
+    return out.withColumn("value", F.round("value", 6))
+
+
+def q_annual_facts(spark, d):
+    return _periodic(spark, d, "10-K")
+
+
+def q_quarterly_facts(spark, d):
+    return _periodic(spark, d, "10-Q")
+
+
+def q_concept_series(spark, d):
+    c = ef.parse_company_concept(ad.company_concept_documents(spark, d, "NO"), doc_order="doc_order")
+    return c.drop("ordinal")
+
+
 QUERIES = {
     "proxy_links": q_proxy_links,
     "links_view": q_links_view,
@@ -68,4 +103,9 @@ QUERIES = {
     "cik_lookup": q_cik_lookup,
     "latest_filing": q_latest_filing,
     "first_filing": q_first_filing,
+    "facts_flat": q_facts_flat,
+    "facts_dedup": q_facts_dedup,
+    "annual_facts": q_annual_facts,
+    "quarterly_facts": q_quarterly_facts,
+    "concept_series": q_concept_series,
 }

@@ -63,6 +63,35 @@ cov AS (SELECT g.ticker, CAST(g.year AS INTEGER) AS year, coalesce(c.n, 0) AS n
         FROM grid g LEFT JOIN cnt c ON c.ticker = g.ticker AND c.year = g.year
         WHERE coalesce(c.n, 0) <> 1)"""
 
+FACT_LINES = f"""fl AS (
+  SELECT {pad('o_custkey')} AS cik, 'us-gaap' AS taxonomy, l_returnflag || l_linestatus AS fact,
+         'Label ' || l_returnflag || l_linestatus AS label, 'USD' AS unit,
+         CASE WHEN l_linenumber % 2 = 1 THEN CAST(o_orderdate AS DATE) END AS start,
+         CASE WHEN l_linenumber % 2 = 0 THEN CAST(o_orderdate AS DATE) ELSE CAST(l_shipdate AS DATE) END AS "end",
+         l_quantity AS val,
+         {pad('o_orderkey')} || '-' || strftime(o_orderdate, '%y') || '-' || {pad('o_orderkey % 1000000', 6)} AS accn,
+         CASE left(o_orderpriority, 1) WHEN '1' THEN 'DEF 14A' WHEN '2' THEN 'PREC14A' WHEN '3' THEN '10-K'
+              WHEN '4' THEN '10-Q' WHEN '5' THEN 'DEFA14A' END AS form,
+         strftime(o_orderdate, '%Y-%m-%d') AS filed,
+         l_orderkey, l_linenumber, l_partkey, l_suppkey
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+FACT_COLS = 'cik, taxonomy, fact, label, unit, start, "end", val, accn, form, filed'
+
+DEDUP = f"""{FACT_LINES},
+dd AS (SELECT * FROM fl QUALIFY row_number() OVER (PARTITION BY cik, fact, "end", val
+                                ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1)"""
+
+
+def periodic(form: str) -> str:
+    return f"""WITH {FILINGS}, {DEDUP},
+      ff AS (SELECT cik, accessionNumber, TRY_CAST(reportDate AS DATE) AS rd FROM filings WHERE form = '{form}')
+      SELECT cik, fact, label, "end", round(avg(val), 6) AS value FROM dd
+      WHERE EXISTS (SELECT 1 FROM ff WHERE ff.cik = dd.cik AND ff.accessionNumber = dd.accn)
+        AND EXISTS (SELECT 1 FROM ff WHERE ff.cik = dd.cik AND ff.rd = dd."end")
+      GROUP BY ALL"""
+
+
 SQL = {
     "proxy_links": f"{LINKS} SELECT {LINK_COLS} FROM links",
     "links_view": f"{LINKS} {VIEW}",
@@ -97,4 +126,10 @@ SQL = {
             FROM links)
       SELECT doc_url AS "File", regexp_replace(doc_url, '/[^/]*$', '') || '/R2.htm' AS "Summary",
              ticker AS "Ticker", form AS "Form", filingDate AS "Filing Date" FROM r WHERE rn = 1""",
+    "facts_flat": f"WITH {FACT_LINES} SELECT {FACT_COLS} FROM fl",
+    "facts_dedup": f"WITH {DEDUP} SELECT {FACT_COLS} FROM dd",
+    "annual_facts": periodic("10-K"),
+    "quarterly_facts": periodic("10-Q"),
+    "concept_series": f"""WITH {FACT_LINES}
+      SELECT cik, 'NO' AS tag, start, "end", val, accn, form, filed FROM fl WHERE fact = 'NO'""",
 }

@@ -69,3 +69,64 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.cast("string").alias("filmNumber"),
         F.concat(F.lit("d"), key.cast("string"), F.lit(".htm")).alias("primaryDocument"),
         _case(F.col("o_orderstatus"), DESCRIPTION_OF_STATUS).alias("primaryDocDescription"))
+
+
+def accession_number(order_key, order_date):
+    """``pad10(key)-yy-pad6(key mod 10^6)``."""
+    return F.concat(pad_cik(order_key), F.lit("-"), F.date_format(order_date, "yy"), F.lit("-"),
+                    pad_cik(order_key % 1_000_000, 6))
+
+
+def _fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fact item per line item: fact = return flag + line status, end =
+    order date on even lines else ship date, start = order date on odd
+    lines (a duration) else absent (an instant), val = quantity."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders")
+    j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
+    od = F.col("o_orderdate").cast("date")
+    even = F.col("l_linenumber") % 2 == 0
+    return j.select(
+        F.col("o_custkey"), F.col("o_orderkey"),
+        F.concat("l_returnflag", "l_linestatus").alias("fact"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("line"),
+        F.struct(
+            F.when(~even, F.date_format(od, "yyyy-MM-dd")).alias("start"),
+            F.date_format(F.when(even, od).otherwise(F.col("l_shipdate").cast("date")), "yyyy-MM-dd").alias("end"),
+            F.col("l_quantity").alias("val"),
+            accession_number(F.col("o_orderkey"), od).alias("accn"),
+            F.year(od).cast("long").alias("fy"), F.lit("FY").alias("fp"),
+            _case(F.substring("o_orderpriority", 1, 1), FORM_OF_PRIORITY).alias("form"),
+            F.date_format(od, "yyyy-MM-dd").alias("filed")).alias("item"))
+
+
+def company_facts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company-facts JSON documents ``(doc_order, value)``, one per
+    (company, accession): a filing's lines are a bounded group (<= 7 in
+    TPC-H), so no document grows with a company's size.  Items of a fact are
+    in line order."""
+    lines = _fact_lines(spark, sf_dir)
+    per_doc = (lines.groupBy("o_custkey", "o_orderkey")
+               .agg(F.array_sort(F.collect_list(F.struct("fact", "line", "item"))).alias("rows")))
+    facts = F.transform(
+        F.array_distinct(F.transform("rows", lambda r: r["fact"])),
+        lambda f: F.struct(
+            f.alias("key"),
+            F.struct(F.concat(F.lit("Label "), f).alias("label"),
+                     F.create_map(F.lit("USD"), F.transform(F.filter("rows", lambda r: r["fact"] == f),
+                                                            lambda r: r["item"])).alias("units")).alias("value")))
+    doc = F.struct(F.col("o_custkey").alias("cik"), F.lit(None).cast("string").alias("entityName"),
+                   F.create_map(F.lit("us-gaap"), F.map_from_entries(facts)).alias("facts"))
+    return per_doc.select(F.col("o_orderkey").alias("doc_order"), F.to_json(doc).alias("value"))
+
+
+def company_concept_documents(spark: SparkSession, sf_dir: str, concept: str = "NO") -> DataFrame:
+    """Company-concept JSON documents for one fact, one per (company,
+    accession), items in line order."""
+    lines = _fact_lines(spark, sf_dir).filter(F.col("fact") == concept)
+    per_doc = (lines.groupBy("o_custkey", "o_orderkey")
+               .agg(F.array_sort(F.collect_list(F.struct("line", "item"))).alias("rows")))
+    doc = F.struct(F.col("o_custkey").alias("cik"), F.lit("us-gaap").alias("taxonomy"),
+                   F.lit(concept).alias("tag"), F.concat(F.lit("Label "), F.lit(concept)).alias("label"),
+                   F.create_map(F.lit("USD"), F.transform("rows", lambda r: r["item"])).alias("units"))
+    return per_doc.select(F.col("o_orderkey").alias("doc_order"), F.to_json(doc).alias("value"))

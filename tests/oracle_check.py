@@ -82,7 +82,7 @@ def main(argv):
             print(f"ROWS {name}: {got.num_rows} rows (no oracle) {t1 - t0:.1f}s")
             continue
         try:
-            exp = con.execute(sql[name]).to_arrow_table()
+            exp = con.sql(sql[name]).to_arrow_table()
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: oracle error {str(e)[:400]}")
             bad += 1
