@@ -6,4 +6,4 @@ from filings_engine.functions.strings import (  # noqa: F401
     display_amount, split_csv,
 )
 from filings_engine.functions.dates import standardize_statement_date, parse_iso_date  # noqa: F401
-from filings_engine.functions.vectors import dot, norm, cosine_relatedness  # noqa: F401
+from filings_engine.functions.vectors import dot, norm, cosine_relatedness, relatedness_of_cosine  # noqa: F401

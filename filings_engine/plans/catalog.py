@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from filings_engine.operators import coverage as cov
 from filings_engine.operators import facts as fx
+from filings_engine.operators import prompts as pr
+from filings_engine.operators import retrieval as rt
 from filings_engine.operators import filters as flt
 from filings_engine.plans import proxy_links as pl
 from filings_engine.sources import adapters as ad
@@ -94,6 +96,67 @@ def q_concept_series(spark, d):
     return c.drop("ordinal")
 
 
+MARKER = "License"
+RANK_TOP = 25          # top-k per label of the vector ranking
+CONTEXT_TOP = 5        # top-k chunks per document for the context report
+
+
+def _docs(spark, d):
+    return ad.table(spark, d, "documents").select("doc_id", "text", "lang")
+
+
+def q_digit_lines(spark, d):
+    return flt.digit_lines(_docs(spark, d)).select("doc_id", "digit_text")
+
+
+def q_numeric_context(spark, d):
+    return rt.numeric_context(_docs(spark, d)).select("doc_id", "context")
+
+
+def q_after_marker(spark, d):
+    return flt.after_marker(_docs(spark, d), MARKER).select("doc_id", "after")
+
+
+def q_chunks(spark, d):
+    return rt.chunk_text(_docs(spark, d), "text", ["doc_id"]).select("doc_id", "chunk_id", "start", "chunk")
+
+
+def q_token_profile(spark, d):
+    return rt.token_profile(_docs(spark, d), ["lang"])
+
+
+def q_rank_chunks(spark, d):
+    v = ad.table(spark, d, "embeddings")
+    ranked = rt.rank_chunks(v, rt.centroids(v, ["label"]), RANK_TOP, by=["label"], chunk_key="vec_id")
+    return ranked.select("label", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _tfidf_top(spark, d, top):
+    chunks = rt.chunk_text(_docs(spark, d), "text", ["doc_id"])
+    scores = rt.tfidf_scores(chunks, pr.SUMMARY_QUESTION, ["doc_id", "chunk_id"])
+    return rt.top_n(chunks.join(scores, ["doc_id", "chunk_id"]), ["doc_id"], "chunk_id", top)
+
+
+def q_tfidf_rank(spark, d):
+    return _tfidf_top(spark, d, CONTEXT_TOP).select("doc_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_context(spark, d):
+    return rt.assemble_context(_tfidf_top(spark, d, CONTEXT_TOP), ["doc_id"])
+
+
+def q_prompts(spark, d):
+    """Q3 on documents: numeric context -> chunks -> TF-IDF ranking (top
+    100) -> context -> one conversation per document."""
+    ctx = rt.retrieve_context(rt.numeric_context(_docs(spark, d)), pr.SUMMARY_QUESTION, ["doc_id"])
+    return pr.flatten_messages(pr.prompt_rows(ctx, ["doc_id"]), ["doc_id"])
+
+
+def q_answer_fields(spark, d):
+    parsed = pr.parse_answers(ad.model_answers(spark, d), ["doc_id"])
+    return pr.answer_fields(parsed, ["doc_id"])
+
+
 QUERIES = {
     "proxy_links": q_proxy_links,
     "links_view": q_links_view,
@@ -108,4 +171,14 @@ QUERIES = {
     "annual_facts": q_annual_facts,
     "quarterly_facts": q_quarterly_facts,
     "concept_series": q_concept_series,
+    "digit_lines": q_digit_lines,
+    "numeric_context": q_numeric_context,
+    "after_marker": q_after_marker,
+    "chunks": q_chunks,
+    "token_profile": q_token_profile,
+    "rank_chunks": q_rank_chunks,
+    "tfidf_rank": q_tfidf_rank,
+    "context": q_context,
+    "prompts": q_prompts,
+    "answer_fields": q_answer_fields,
 }

@@ -92,6 +92,55 @@ def periodic(form: str) -> str:
       GROUP BY ALL"""
 
 
+def sql_str(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+DIGIT = "list_filter(string_split({t}, chr(10)), lambda x: regexp_matches(x, '\\p{{Nd}}'))"
+
+
+def digit_text(t: str) -> str:
+    return f"array_to_string({DIGIT.format(t=t)}, chr(10))"
+
+
+def chunks_of(source: str) -> str:
+    """source: a SELECT giving (doc_id, text)."""
+    return f"""ch AS (SELECT doc_id, i AS chunk_id, i * 768 AS start, substring(text, i * 768 + 1, 1024) AS chunk
+      FROM (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 768)) AS i
+            FROM ({source}) s WHERE length(text) > 0))"""
+
+
+TERM_RE = "'[\\p{L}\\p{N}]+'"
+
+
+def tfidf_ranked(source: str, question: str, top: int) -> str:
+    q = sql_str(question)
+    return f"""{chunks_of(source)},
+    tc AS (SELECT doc_id, chunk_id, term, count(*) AS tf FROM
+           (SELECT doc_id, chunk_id, unnest(regexp_extract_all(lower(chunk), {TERM_RE})) AS term FROM ch)
+           GROUP BY ALL),
+    n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM ch),
+    idf AS (SELECT term, ln((any_value(n.n) + 1) / (count(*) + 1)) AS idf FROM tc, n GROUP BY term),
+    q AS (SELECT term, count(*) AS tf FROM (SELECT unnest(regexp_extract_all(lower({q}), {TERM_RE})) AS term)
+          GROUP BY term),
+    qw AS (SELECT q.term, q.tf * coalesce(idf.idf, ln(n.n + 1)) AS qw FROM q LEFT JOIN idf USING (term), n),
+    qn AS (SELECT sqrt(sum(qw * qw)) AS qnorm FROM qw),
+    pc AS (SELECT tc.doc_id, tc.chunk_id, sum((tf * idf) * (tf * idf)) AS nn,
+                  sum(coalesce(tf * idf * qw.qw, 0)) AS dot
+           FROM tc JOIN idf USING (term) LEFT JOIN qw USING (term) GROUP BY ALL),
+    sc AS (SELECT ch.doc_id, ch.chunk_id, ch.chunk,
+                  CASE WHEN pc.dot / nullif(sqrt(pc.nn) * qn.qnorm, 0) IS NOT NULL THEN
+                    1 - least(greatest(1 - pc.dot / nullif(sqrt(pc.nn) * qn.qnorm, 0), 0), 2) END AS score
+           FROM ch LEFT JOIN pc USING (doc_id, chunk_id), qn),
+    rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
+                   ORDER BY round(score, 9) DESC NULLS LAST, chunk_id) AS rank FROM sc) WHERE rank <= {top})"""
+
+
+TOKEN_RE = "'[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\t\\n\\x0B\\f\\r ]'"
+
+# Prompt texts restated for the oracle (same fixed values as the operator).
+from filings_engine.operators.prompts import ANALYST_SYSTEM, SUMMARY_QUESTION  # noqa: E402
+
 SQL = {
     "proxy_links": f"{LINKS} SELECT {LINK_COLS} FROM links",
     "links_view": f"{LINKS} {VIEW}",
@@ -132,4 +181,43 @@ SQL = {
     "quarterly_facts": periodic("10-Q"),
     "concept_series": f"""WITH {FACT_LINES}
       SELECT cik, 'NO' AS tag, start, "end", val, accn, form, filed FROM fl WHERE fact = 'NO'""",
+    "digit_lines": f"SELECT doc_id, {digit_text('text')} AS digit_text FROM documents",
+    "numeric_context": f"SELECT doc_id, replace({digit_text('text')}, chr(10), ' ') AS context FROM documents",
+    "after_marker": "SELECT doc_id, string_split(text, 'License')[2] AS after FROM documents",
+    "chunks": f"WITH {chunks_of('SELECT doc_id, text FROM documents')} SELECT doc_id, chunk_id, start, chunk FROM ch",
+    "token_profile": f"""SELECT lang, count(*) AS n_docs, CAST(sum(t) AS BIGINT) AS total_tokens, round(avg(t), 6) AS mean_tokens,
+        quantile_cont(t, 0.5) AS p50_tokens, quantile_cont(t, 0.9) AS p90_tokens, max(t) AS max_tokens
+      FROM (SELECT lang, len(regexp_extract_all(text, {TOKEN_RE})) AS t FROM documents) GROUP BY lang""",
+    "rank_chunks": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+      u AS (SELECT label, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM e),
+      c AS (SELECT label, list(m ORDER BY i) AS cv FROM (SELECT label, i, avg(x) AS m FROM u GROUP BY label, i)
+            GROUP BY label),
+      s0 AS (SELECT e.label, e.vec_id, list_dot_product(e.v, c.cv)
+                 / nullif(sqrt(list_dot_product(e.v, e.v) * list_dot_product(c.cv, c.cv)), 0) AS cs
+            FROM e JOIN c USING (label)),
+      s AS (SELECT label, vec_id, CASE WHEN cs IS NOT NULL THEN 1 - least(greatest(1 - cs, 0), 2) END AS score FROM s0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC NULLS LAST, vec_id) AS rank
+            FROM s)
+      SELECT label, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 25""",
+    "tfidf_rank": f"""WITH {tfidf_ranked('SELECT doc_id, text FROM documents', SUMMARY_QUESTION, 5)}
+      SELECT doc_id, chunk_id, rank, round(score, 6) AS score FROM rk""",
+    "context": f"""WITH {tfidf_ranked('SELECT doc_id, text FROM documents', SUMMARY_QUESTION, 5)}
+      SELECT doc_id, string_agg(chunk, ' ' ORDER BY rank) AS context FROM rk GROUP BY doc_id""",
+    "prompts": f"""WITH {tfidf_ranked("SELECT doc_id, replace(" + digit_text('text') + ", chr(10), ' ') AS text FROM documents",
+                                      SUMMARY_QUESTION, 100)},
+      ctx AS (SELECT doc_id, string_agg(chunk, ' ' ORDER BY rank) AS context FROM rk GROUP BY doc_id)
+      SELECT doc_id, 0 AS turn, 'system' AS role, {sql_str(ANALYST_SYSTEM)} AS content FROM ctx
+      UNION ALL
+      SELECT doc_id, 1, 'user', 'Query: ' || {sql_str(SUMMARY_QUESTION)} || chr(10) || ' Relevant texts:' || context
+      FROM ctx""",
+    "answer_fields": """SELECT c_custkey AS doc_id, c_custkey % 49 <> 0 AS is_json,
+        CASE WHEN c_custkey % 49 = 0 THEN 'CEO: ' || c_name ELSE
+          'CEO name: ' || c_name || '.' || chr(10) || ' Year covered: ' || CAST(1990 + c_nationkey AS VARCHAR) || '.'
+          || chr(10) || ' Names of metrics used to evaluate performance: ' || c_mktsegment || ', Revenue.'
+          || chr(10) || ' Total CEO Compensation $: ' || printf('$%.2f', c_acctbal) || '.' END AS notes,
+        CASE WHEN c_custkey % 49 = 0 THEN 'NA' ELSE c_name END AS "CEO",
+        CASE WHEN c_custkey % 49 = 0 THEN 'NA' ELSE CAST(1990 + c_nationkey AS VARCHAR) END AS "Year Covered",
+        CASE WHEN c_custkey % 49 = 0 THEN 'NA' ELSE c_mktsegment || ', Revenue' END AS "Metrics",
+        CASE WHEN c_custkey % 49 = 0 THEN 'NA' ELSE printf('$%.2f', c_acctbal) END AS "Total Compensation"
+      FROM customer""",
 }

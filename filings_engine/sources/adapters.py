@@ -130,3 +130,29 @@ def company_concept_documents(spark: SparkSession, sf_dir: str, concept: str = "
                    F.lit(concept).alias("tag"), F.concat(F.lit("Label "), F.lit(concept)).alias("label"),
                    F.create_map(F.lit("USD"), F.transform("rows", lambda r: r["item"])).alias("units"))
     return per_doc.select(F.col("o_orderkey").alias("doc_order"), F.to_json(doc).alias("value"))
+
+
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X9 answers ``(doc_id, attempt, content)`` from ``customer``: the first
+    attempt is a JSON object (padded with blanks); every 7th customer's first
+    attempt is junk and the re-format gives the JSON; every 49th never gives
+    JSON (five junk re-formats, then a plain-text fallback)."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    valid = F.to_json(F.struct(
+        F.col("c_name").alias("CEO name"),
+        (F.lit(1990) + F.col("c_nationkey")).alias("Year covered"),
+        F.array("c_mktsegment", F.lit("Revenue")).alias("Names of metrics used to evaluate performance"),
+        F.format_string("$%.2f", "c_acctbal").alias("Total CEO Compensation $")))
+    bad7, bad49 = k % 7 == 0, k % 49 == 0
+
+    def att(n, content, keep):
+        return F.struct(F.lit(n).alias("attempt"), content.alias("content"), keep.alias("keep"))
+    tries = F.array(
+        att(0, F.when(bad7, F.concat(F.lit("json\n"), valid)).otherwise(F.concat(F.lit("  "), valid, F.lit("\n"))),
+            F.lit(True)),
+        att(1, F.when(bad49, F.concat(F.lit("Sorry, "), F.col("c_name"))).otherwise(valid), bad7),
+        *[att(n, F.concat(F.lit(f"no data {n}")), bad49) for n in range(2, 6)],
+        att(6, F.concat(F.lit("CEO: "), F.col("c_name")), bad49))
+    return (c.select(k.alias("doc_id"), F.inline(tries))
+            .filter("keep").drop("keep"))
