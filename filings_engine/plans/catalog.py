@@ -6,10 +6,13 @@ the defaults a user of the links finder would pass for this data
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from filings_engine.operators import audit as au
 from filings_engine.operators import coverage as cov
 from filings_engine.operators import facts as fx
+from filings_engine.operators import html as hx
+from filings_engine.operators.html_nodes import html_nodes
 from filings_engine.operators import prompts as pr
 from filings_engine.operators import retrieval as rt
 from filings_engine.operators import filters as flt
@@ -157,6 +160,47 @@ def q_answer_fields(spark, d):
     return pr.answer_fields(parsed, ["doc_id"])
 
 
+def q_rate_audit(spark, d):
+    ev = ad.table(spark, d, "events")
+    return au.request_rate_audit(ev, "user_id", "ts", limit=10, period_us=3_600_000_000)
+
+
+def _page_nodes(spark, d):
+    return html_nodes(ad.table(spark, d, "pages").withColumnRenamed("page_id", "doc_id"))
+
+
+def _filing_nodes(spark, d):
+    return html_nodes(ad.filing_pages(spark, d))
+
+
+def _numbered(df, order_col, out):
+    w = Window.partitionBy("doc_id").orderBy(order_col)
+    return df.withColumn(out, (F.row_number().over(w) - 1).cast("long")).drop(order_col)
+
+
+def q_page_text(spark, d):
+    return hx.page_text(_page_nodes(spark, d)).withColumnRenamed("doc_id", "page_id")
+
+
+def q_page_links(spark, d):
+    links = hx.page_links(_page_nodes(spark, d))
+    return _numbered(links, "pos", "link_no").select(F.col("doc_id").alias("page_id"), "link_no", "href")
+
+
+def q_page_images(spark, d):
+    return _numbered(hx.page_images(_filing_nodes(spark, d)), "pos", "image_no").select("doc_id", "image_no", "url")
+
+
+def q_page_tables(spark, d):
+    return _numbered(hx.page_tables(_filing_nodes(spark, d)), "table_pos", "table_no").select(
+        "doc_id", "table_no", "text")
+
+
+def q_toc_sections(spark, d):
+    nodes = _filing_nodes(spark, d)
+    return hx.toc_sections(nodes, hx.toc_ids(hx.toc_entries(nodes)))
+
+
 QUERIES = {
     "proxy_links": q_proxy_links,
     "links_view": q_links_view,
@@ -181,4 +225,10 @@ QUERIES = {
     "context": q_context,
     "prompts": q_prompts,
     "answer_fields": q_answer_fields,
+    "rate_audit": q_rate_audit,
+    "page_text": q_page_text,
+    "page_links": q_page_links,
+    "page_images": q_page_images,
+    "page_tables": q_page_tables,
+    "toc_sections": q_toc_sections,
 }

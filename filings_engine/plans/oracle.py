@@ -141,6 +141,25 @@ TOKEN_RE = "'[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\t\\n\\x0B\\f\\r ]'"
 # Prompt texts restated for the oracle (same fixed values as the operator).
 from filings_engine.operators.prompts import ANALYST_SYSTEM, SUMMARY_QUESTION  # noqa: E402
 
+ORDER_LINES = f"""ol AS (
+  SELECT o_orderkey AS doc_id, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk,
+         CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS qty, CAST(l_shipdate AS DATE) AS ship,
+         'https://www.sec.gov/Archives/edgar/data/' || {pad('o_custkey')} || '/' || {pad('o_orderkey')}
+           || strftime(o_orderdate, '%y') || {pad('o_orderkey % 1000000', 6)} || '/' AS folder,
+         row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+# page text by a regex route: drop raw-text blocks, comments and declarations,
+# split on tags, decode the entities present in the pages, trim.
+PAGE_TEXT = r"""WITH a AS (
+  SELECT page_id, regexp_replace(html,
+     '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<![^>]*>', '<x>', 'gs') AS h FROM pages),
+  b AS (SELECT page_id, unnest(regexp_split_to_array(h, '<[^>]*>')) AS piece,
+               generate_subscripts(regexp_split_to_array(h, '<[^>]*>'), 1) AS i FROM a),
+  c AS (SELECT page_id, i, regexp_replace(replace(replace(replace(replace(piece, '&copy;', '©'), '&middot;', '·'),
+               '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS t FROM b)
+  SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS text FROM c WHERE t <> '' GROUP BY page_id"""
+
 SQL = {
     "proxy_links": f"{LINKS} SELECT {LINK_COLS} FROM links",
     "links_view": f"{LINKS} {VIEW}",
@@ -220,4 +239,30 @@ SQL = {
         CASE WHEN c_custkey % 49 = 0 THEN 'NA' ELSE c_mktsegment || ', Revenue' END AS "Metrics",
         CASE WHEN c_custkey % 49 = 0 THEN 'NA' ELSE printf('$%.2f', c_acctbal) END AS "Total Compensation"
       FROM customer""",
+    "rate_audit": """SELECT user_id, event_id, ts,
+        count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
+                       RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) - 1 AS n_recent,
+        count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
+                       RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) - 1 >= 10 AS over_limit
+      FROM events""",
+    "page_text": PAGE_TEXT,
+    "page_links": r"""SELECT page_id, CAST(generate_subscripts(h, 1) - 1 AS BIGINT) AS link_no, unnest(h) AS href
+      FROM (SELECT page_id, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS h FROM pages)""",
+    "page_images": f"""WITH {ORDER_LINES}
+      SELECT doc_id, CAST(r - 1 AS BIGINT) AS image_no, folder || 'img/' || CAST(pk AS VARCHAR) || '.png' AS url FROM ol""",
+    "page_tables": f"""WITH {ORDER_LINES}
+      SELECT doc_id, CAST(0 AS BIGINT) AS table_no,
+             'Part I Summary ' || string_agg(CAST(r AS VARCHAR) || '. Item ' || CAST(r AS VARCHAR), ' ' ORDER BY r) AS text
+      FROM ol GROUP BY doc_id
+      UNION ALL
+      SELECT doc_id, CAST(2 * r - 1 AS BIGINT), 'Qty ' || qty || ' Supplier S' || CAST(sk AS VARCHAR) FROM ol
+      UNION ALL
+      SELECT doc_id, CAST(2 * r AS BIGINT), 'S' || CAST(sk AS VARCHAR) FROM ol""",
+    "toc_sections": f"""WITH {ORDER_LINES},
+      last AS (SELECT doc_id, max(r) AS mr FROM ol GROUP BY doc_id)
+      SELECT ol.doc_id, 's' || CAST(r AS VARCHAR) AS id,
+             'Part ' || CAST(pk AS VARCHAR) || ' ships ' || strftime(ship, '%Y-%m-%d') || ' Qty ' || qty
+               || ' Supplier S' || CAST(sk AS VARCHAR)
+               || CASE WHEN r = mr THEN ' End of filing ' || CAST(ol.doc_id AS VARCHAR) ELSE '' END AS text
+      FROM ol JOIN last USING (doc_id)""",
 }

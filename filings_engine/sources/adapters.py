@@ -156,3 +156,49 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         att(6, F.concat(F.lit("CEO: "), F.col("c_name")), bad49))
     return (c.select(k.alias("doc_id"), F.inline(tries))
             .filter("keep").drop("keep"))
+
+
+def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order: its filing identity and its line items in line order
+    (a bounded group: TPC-H orders have at most 7 lines)."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders")
+    lines = (li.groupBy("l_orderkey")
+             .agg(F.array_sort(F.collect_list(F.struct(
+                 "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                 F.col("l_shipdate").cast("date").alias("ship")))).alias("lines")))
+    od = F.col("o_orderdate").cast("date")
+    return (o.join(lines, o["o_orderkey"] == lines["l_orderkey"])
+            .select(F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_orderpriority", od.alias("odate"),
+                    F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), pad_cik("o_custkey"), F.lit("/"),
+                             F.replace(accession_number(F.col("o_orderkey"), od), F.lit("-"), F.lit("")),
+                             F.lit("/d"), F.col("o_orderkey").cast("string"), F.lit(".htm")).alias("url"),
+                    "lines"))
+
+
+def filing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X7 filing pages ``(doc_id, url, status, html)`` rendered per order: a
+    contents heading split over two elements, a contents table linking one
+    anchor per line item, then per line an anchored heading, a paragraph, an
+    image and a table with a nested table, and a closing paragraph."""
+    base = _order_lines(spark, sf_dir)
+
+    def s(c):
+        return c.cast("string")
+
+    # items are numbered by their position in line order (line numbers repeat)
+    toc_rows = F.array_join(F.transform("lines", lambda l, i: F.concat(
+        F.lit("<tr><td>"), s(i + 1), F.lit(".</td><td><a href=\"#s"), s(i + 1),
+        F.lit("\">Item "), s(i + 1), F.lit("</a></td></tr>"))), "")
+    sections = F.array_join(F.transform("lines", lambda l, i: F.concat(
+        F.lit("<h2 id=\"s"), s(i + 1), F.lit("\">Item "), s(i + 1), F.lit("</h2>"),
+        F.lit("<p>Part "), s(l["l_partkey"]), F.lit(" ships "), F.date_format(l["ship"], "yyyy-MM-dd"),
+        F.lit("</p><img src=\"img/"), s(l["l_partkey"]), F.lit(".png\"><table><tr><td>Qty</td><td>"),
+        s(l["l_quantity"].cast("int")), F.lit("</td></tr><tr><td>Supplier</td><td><table><tr><td>S"),
+        s(l["l_suppkey"]), F.lit("</td></tr></table></td></tr></table>"))), "\n")
+    html = F.concat(
+        F.lit("<!DOCTYPE html><html><head><title>Filing "), s(F.col("doc_id")),
+        F.lit("</title><style>td{padding:0}</style></head><body>\n<div>TABLE OF <b>CONTENTS</b></div>\n"
+              "<table><tr><td>Part I</td><td>Summary</td></tr>"), toc_rows, F.lit("</table>\n"),
+        sections, F.lit("\n<p>End of filing "), s(F.col("doc_id")), F.lit("</p></body></html>"))
+    return base.select("doc_id", "url", F.lit(200).alias("status"), html.alias("html"))
