@@ -5,6 +5,6 @@ DataFrames.  Nothing collects to the driver; no function keeps a global
 session.
 """
 
-from filings_engine.session import build_session, checkpoint_dir, materialize
+from filings_engine.session import build_session, checkpoint_dir, materialize, spread
 
-__all__ = ["build_session", "checkpoint_dir", "materialize"]
+__all__ = ["build_session", "checkpoint_dir", "materialize", "spread"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from filings_engine.session import spread
 from filings_engine.operators import audit as au
 from filings_engine.operators import coverage as cov
 from filings_engine.operators import facts as fx
@@ -105,7 +106,7 @@ CONTEXT_TOP = 5        # top-k chunks per document for the context report
 
 
 def _docs(spark, d):
-    return ad.table(spark, d, "documents").select("doc_id", "text", "lang")
+    return spread(ad.table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id")
 
 
 def q_digit_lines(spark, d):
@@ -166,11 +167,12 @@ def q_rate_audit(spark, d):
 
 
 def _page_nodes(spark, d):
-    return html_nodes(ad.table(spark, d, "pages").withColumnRenamed("page_id", "doc_id"))
+    pages = ad.table(spark, d, "pages").withColumnRenamed("page_id", "doc_id")
+    return html_nodes(spread(pages, "doc_id"))
 
 
 def _filing_nodes(spark, d):
-    return html_nodes(ad.filing_pages(spark, d))
+    return html_nodes(spread(ad.filing_pages(spark, d), "doc_id", force=True))
 
 
 def _numbered(df, order_col, out):

@@ -54,3 +54,17 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     (survives executor loss, unlike a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame, key: str | None = None, partitions: int | None = None,
+           force: bool = False) -> DataFrame:
+    """Hash-repartition a CPU-heavy input (parsing, regex over whole texts)
+    over the cluster when its source gives fewer splits than there are task
+    slots (e.g. one large row group).  A well-split scan is left alone, so
+    at scale this adds no shuffle.  ``force`` repartitions regardless (after
+    a small shuffle that adaptive execution would coalesce into one task)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    target = partitions or 4 * slots     # several tasks per slot balance uneven documents
+    if not force and df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
