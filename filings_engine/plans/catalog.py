@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from filings_engine.session import spread
+from filings_engine.session import materialize, spread
 from filings_engine.operators import audit as au
 from filings_engine.operators import coverage as cov
 from filings_engine.operators import facts as fx
 from filings_engine.operators import html as hx
+from filings_engine.operators import statements as stm
+from filings_engine.sources.keys import statement_keys
 from filings_engine.operators.html_nodes import html_nodes
 from filings_engine.operators import prompts as pr
 from filings_engine.operators import retrieval as rt
@@ -171,8 +173,11 @@ def _page_nodes(spark, d):
     return html_nodes(spread(pages, "doc_id"))
 
 
-def _filing_nodes(spark, d):
-    return html_nodes(spread(ad.filing_pages(spark, d), "doc_id", force=True))
+def _filing_nodes(spark, d, reuse=False):
+    nodes = html_nodes(spread(ad.filing_pages(spark, d), "doc_id", force=True))
+    # a node table read by many branches is written once (shared checkpoint
+    # folder) instead of re-parsed per branch
+    return materialize(nodes) if reuse else nodes
 
 
 def _numbered(df, order_col, out):
@@ -199,10 +204,36 @@ def q_page_tables(spark, d):
 
 
 def q_toc_sections(spark, d):
-    nodes = _filing_nodes(spark, d)
+    nodes = _filing_nodes(spark, d, reuse=True)
     return hx.toc_sections(nodes, hx.toc_ids(hx.toc_entries(nodes)))
 
 
+def q_statement_files(spark, d):
+    summary = ef.parse_filing_summary(ad.filing_summaries(spark, d), key_cols=["accession"])
+    return stm.match_statement_files(summary, statement_keys(spark), ["accession"])
+
+
+def _statement(spark, d):
+    nodes = materialize(html_nodes(spread(ad.statement_pages(spark, d), "doc_id", force=True)))
+    return stm.statement_frame(nodes)
+
+
+def _rounded(values):
+    return values.withColumn("value", F.round("value", 6))
+
+
+def q_statement_values(spark, d):
+    return _rounded(_statement(spark, d)[0])
+
+
+def q_statement_dedup(spark, d):
+    return _rounded(stm.dedupe_statement_rows(_statement(spark, d)[0]))
+
+
+def q_statement_errors(spark, d):
+    return _statement(spark, d)[1]
+
+
 QUERIES = {
     "proxy_links": q_proxy_links,
     "links_view": q_links_view,
@@ -233,4 +264,8 @@ QUERIES = {
     "page_images": q_page_images,
     "page_tables": q_page_tables,
     "toc_sections": q_toc_sections,
+    "statement_files": q_statement_files,
+    "statement_values": q_statement_values,
+    "statement_dedup": q_statement_dedup,
+    "statement_errors": q_statement_errors,
 }

@@ -160,6 +160,30 @@ PAGE_TEXT = r"""WITH a AS (
                '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS t FROM b)
   SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS text FROM c WHERE t <> '' GROUP BY page_id"""
 
+ACCESSION_NODASH = f"({pad('o_orderkey')} || strftime(o_orderdate, '%y') || {pad('o_orderkey % 1000000', 6)})"
+
+STATEMENT_FILES = f"""WITH o AS (SELECT o_orderkey AS k, {ACCESSION_NODASH} AS accession FROM orders)
+  SELECT accession, 'balance_sheet' AS statement,
+         CASE WHEN k % 16 < (k + 3) % 16 THEN 'R2.htm' ELSE 'R5.htm' END AS file_name FROM o
+  UNION ALL SELECT accession, 'income_statement', CASE WHEN k % 5 = 0 THEN 'R3.xml' ELSE 'R3.htm' END FROM o
+  UNION ALL SELECT accession, 'cash_flow_statement', 'R4.htm' FROM o WHERE k % 7 <> 0"""
+
+STATEMENT_LINES = """sl AS (
+  SELECT o_orderkey AS doc_id, left(o_orderpriority, 1) AS p1, CAST(o_orderdate AS DATE) AS odate,
+         CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS r,
+         'us-gaap_P' || CAST(l_partkey AS VARCHAR) AS concept, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS qty,
+         l_extendedprice AS price
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+good AS (SELECT * FROM sl WHERE NOT (doc_id % 101 = 0 OR (doc_id % 103 = 0 AND p1 <> '2'))),
+vals AS (
+  SELECT doc_id, r AS "row", concept, CAST(0 AS INTEGER) AS period, odate AS period_end,
+         CASE WHEN p1 = '2' OR r = 2 THEN NULL ELSE round(qty * CASE WHEN p1 = '1' THEN 1000 ELSE 1 END, 6) END AS value
+  FROM good
+  UNION ALL
+  SELECT doc_id, r, concept, CAST(1 AS INTEGER), CAST(odate - INTERVAL 365 DAY AS DATE),
+         CASE WHEN p1 = '2' THEN NULL ELSE round(-price * CASE WHEN p1 = '1' THEN 1000 ELSE 1 END, 6) END
+  FROM good)"""
+
 SQL = {
     "proxy_links": f"{LINKS} SELECT {LINK_COLS} FROM links",
     "links_view": f"{LINKS} {VIEW}",
@@ -265,4 +289,15 @@ SQL = {
                || ' Supplier S' || CAST(sk AS VARCHAR)
                || CASE WHEN r = mr THEN ' End of filing ' || CAST(ol.doc_id AS VARCHAR) ELSE '' END AS text
       FROM ol JOIN last USING (doc_id)""",
+    "statement_files": STATEMENT_FILES,
+    "statement_values": f"WITH {STATEMENT_LINES} SELECT * FROM vals",
+    "statement_dedup": f"""WITH {STATEMENT_LINES},
+      vec AS (SELECT doc_id, "row", max(value) FILTER (WHERE period = 0) AS v0,
+                     max(value) FILTER (WHERE period = 1) AS v1 FROM vals GROUP BY ALL),
+      keep AS (SELECT doc_id, min("row") AS "row" FROM vec GROUP BY doc_id, v0, v1)
+      SELECT v.* FROM vals v SEMI JOIN keep k ON v.doc_id = k.doc_id AND v."row" = k."row" """,
+    "statement_errors": """SELECT o_orderkey AS doc_id,
+        CASE WHEN o_orderkey % 101 = 0 THEN 'unparsable date' ELSE 'more cells than dates' END AS reason
+      FROM orders WHERE (o_orderkey % 101 = 0 OR (o_orderkey % 103 = 0 AND left(o_orderpriority, 1) <> '2'))
+        AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
 }

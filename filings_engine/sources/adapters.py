@@ -202,3 +202,86 @@ def filing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               "<table><tr><td>Part I</td><td>Summary</td></tr>"), toc_rows, F.lit("</table>\n"),
         sections, F.lit("\n<p>End of filing "), s(F.col("doc_id")), F.lit("</p></body></html>"))
     return base.select("doc_id", "url", F.lit(200).alias("status"), html.alias("html"))
+
+
+def _pick(names: list[str], idx):
+    """``names[idx]`` as a column (idx a column)."""
+    return F.element_at(F.array(*[F.lit(n) for n in names]), (idx + 1).cast("int"))
+
+
+def filing_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X5 ``FilingSummary.xml`` documents ``(accession, value)`` per order:
+    a cover report (not a statement), one balance-sheet, income and
+    cash-flow report named by a synonym picked from the order key (upper
+    case, to exercise lower-casing), the income report as an XML file on
+    every 5th order, the cash-flow report filed as a disclosure (no
+    ``Statement`` in its long name) on every 7th, and a second balance-sheet
+    synonym (three places down the list) as R5."""
+    from filings_engine.sources.keys import STATEMENT_KEYS
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    bs, inc, cf = (STATEMENT_KEYS[x] for x in ("balance_sheet", "income_statement", "cash_flow_statement"))
+
+    def report(short, long, html=None, xml=None):
+        parts = [F.lit("<Report><ShortName>"), short, F.lit("</ShortName><LongName>"), long, F.lit("</LongName>")]
+        if html is not None:
+            parts += [F.lit("<HtmlFileName>"), html, F.lit("</HtmlFileName>")]
+        if xml is not None:
+            parts += [F.lit("<XmlFileName>"), xml, F.lit("</XmlFileName>")]
+        return F.concat(*parts, F.lit("</Report>"))
+
+    b1 = F.upper(_pick(bs, k % len(bs)))
+    i1 = F.upper(_pick(inc, k % len(inc)))
+    c1 = F.upper(_pick(cf, k % len(cf)))
+    b2 = F.upper(_pick(bs, (k + 3) % len(bs)))
+    inc_report = F.when(k % 5 == 0, report(i1, F.concat(F.lit("0003 - Statement - "), i1), xml=F.lit("R3.xml"))) \
+        .otherwise(report(i1, F.concat(F.lit("0003 - Statement - "), i1), html=F.lit("R3.htm")))
+    cf_kind = F.when(k % 7 == 0, F.lit("0004 - Disclosure - ")).otherwise(F.lit("0004 - Statement - "))
+    xml = F.concat(
+        F.lit("<?xml version=\"1.0\" encoding=\"utf-8\"?><FilingSummary><Version>3.23</Version><MyReports>"),
+        report(F.lit("Cover"), F.lit("0001 - Document - Cover"), html=F.lit("R1.htm")),
+        report(b1, F.concat(F.lit("0002 - Statement - "), b1), html=F.lit("R2.htm")),
+        inc_report,
+        report(c1, F.concat(cf_kind, c1), html=F.lit("R4.htm")),
+        report(b2, F.concat(F.lit("0005 - Statement - "), b2), html=F.lit("R5.htm")),
+        F.lit("</MyReports></FilingSummary>"))
+    od = F.col("o_orderdate").cast("date")
+    return o.select(F.replace(accession_number(k, od), F.lit("-"), F.lit("")).alias("accession"),
+                    xml.alias("value"))
+
+
+def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X6 statement pages ``(doc_id, url, html)`` per order: two period
+    columns (order date, one year earlier), one row per line item with the
+    part as concept, quantity as a positive and price as a negative amount.
+    Units: ``in Millions`` for priority 1, ``unless otherwise specified``
+    for priority 2, else ``in Thousands``.  The third line's first amount is
+    a text cell.  Every 101st order has an unreadable date, every 103rd one
+    row with an extra amount cell."""
+    base = _order_lines(spark, sf_dir)
+    k = F.col("doc_id")
+    p1 = F.substring("o_orderpriority", 1, 1)
+    unit = (F.when(p1 == "1", F.lit("$ in Millions")).when(p1 == "2", F.lit("Share data unless otherwise specified"))
+            .otherwise(F.lit("$ in Thousands")))
+    d0 = F.date_format("odate", "MMM. d, yyyy")
+    d1 = F.when(k % 101 == 0, F.lit("Foo. 31, 1999")).otherwise(F.date_format(F.date_sub("odate", 365), "MMM. d, yyyy"))
+
+    def row(l, i):
+        first = F.when(i == 2, F.lit("<td class=\"text\">&#160;<span></span></td>")).otherwise(
+            F.concat(F.lit("<td class=\"nump\">$ "), l["l_quantity"].cast("int").cast("string"),
+                     F.lit("<span></span></td>")))
+        extra = F.when((k % 103 == 0) & (i == 0), F.lit("<td class=\"num\">(1)</td>")).otherwise(F.lit(""))
+        return F.concat(
+            F.lit("<tr class=\"re\"><td class=\"pl \" style=\"border-bottom: 0px;\" valign=\"top\">"
+                  "<a class=\"a\" href=\"javascript:void(0);\" onclick=\"top.Show.showAR( this, "
+                  "'defref_us-gaap_P"), l["l_partkey"].cast("string"),
+            F.lit("', window );\">Part "), l["l_partkey"].cast("string"), F.lit("</a></td>"), first,
+            F.lit("<td class=\"num\">("), F.format_number(l["l_extendedprice"], 2), F.lit(")<span></span></td>"),
+            extra, F.lit("</tr>"))
+    html = F.concat(
+        F.lit("<html><head><title></title></head><body><table class=\"report\" border=\"0\" cellspacing=\"2\">"
+              "<tr><th class=\"tl\" colspan=\"1\" rowspan=\"2\"><div style=\"width: 200px;\"><strong>"
+              "CONSOLIDATED BALANCE SHEETS - USD ($)<br> "), unit,
+        F.lit("</strong></div></th><th class=\"th\"><div>"), d0, F.lit("</div></th><th class=\"th\"><div>"), d1,
+        F.lit("</div></th></tr>"), F.array_join(F.transform("lines", row), ""), F.lit("</table></body></html>"))
+    return base.select("doc_id", "url", html.alias("html"))

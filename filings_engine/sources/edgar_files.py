@@ -114,8 +114,8 @@ def parse_filing_summary(df: DataFrame, col: str = TEXT, key_cols: list[str] | N
     file) and ``Statement`` (case-sensitive) in the long name.  A short name
     met twice keeps the last file."""
     keys = key_cols or []
-    x = F.from_xml(col, S.FILING_SUMMARY_XML.fields[0].dataType)
-    rep = (df.select(*keys, F.posexplode(x["Report"]).alias("pos", "r"))
+    x = F.from_xml(col, S.FILING_SUMMARY_XML)
+    rep = (df.select(*keys, F.posexplode(x["MyReports"]["Report"]).alias("pos", "r"))
            .select(*keys, "pos", F.lower("r.ShortName").alias("short_name"),
                    F.col("r.LongName").alias("long_name"),
                    F.coalesce("r.HtmlFileName", "r.XmlFileName", F.lit("")).alias("file_name")))
