@@ -32,7 +32,16 @@ def text_nodes(nodes: DataFrame) -> DataFrame:
 
 def ancestors(nodes: DataFrame, tags: list[str] | None = None) -> DataFrame:
     """J9 helper: one row per (node, ancestor), optionally only ancestors
-    with the given tags: ``(doc_id, anc_pos, anc_tag, <node columns>)``."""
+    with the given tags: ``(<node columns>, anc_pos, anc_tag)``.  Indexed
+    tags use their own ancestor lists (a plain explode)."""
+    from filings_engine.operators.html_nodes import INDEXED_TAGS
+    if tags and all(t in INDEXED_TAGS for t in tags) and all(f"{t}_path" in nodes.columns for t in tags):
+        parts = [F.transform(f"{t}_path", lambda p, t=t: F.struct(p.alias("anc_pos"), F.lit(t).alias("anc_tag")))
+                 for t in tags]
+        if len(tags) == 1:
+            return nodes.select("*", F.explode(f"{tags[0]}_path").alias("anc_pos")).withColumn(
+                "anc_tag", F.lit(tags[0]))
+        return nodes.select("*", F.inline(F.concat(*parts)))
     z = F.arrays_zip(F.col("path").alias("anc_pos"), F.col("path_tags").alias("anc_tag"))
     if tags:
         z = F.filter(z, lambda a: a["anc_tag"].isin(tags))
@@ -69,7 +78,7 @@ def page_tables(nodes: DataFrame) -> DataFrame:
     """H4: ``(doc_id, table_pos, text)`` for every table (nested ones too, so
     inner text appears in both), strings stripped and joined by a space;
     tables without text are dropped."""
-    t = (text_nodes(nodes).select("doc_id", "pos", "path", "path_tags", strip("text").alias("s"))
+    t = (text_nodes(nodes).select("doc_id", "pos", "table_path", strip("text").alias("s"))
          .filter(F.col("s") != ""))
     a = ancestors(t, ["table"]).select("doc_id", F.col("anc_pos").alias("table_pos"), "pos", "s")
     return a.groupBy("doc_id", "table_pos").agg(_joined(a, [], "s", " ").alias("text"))
@@ -104,7 +113,9 @@ def extract_documents(pages: DataFrame, nodes: DataFrame, doc_id: str = "doc_id"
 
 def element_texts(nodes: DataFrame, tags: list[str] | None = None, sep: str = "") -> DataFrame:
     """``(doc_id, anc_pos, text)``: each element's strings joined (``.text``)."""
-    a = ancestors(text_nodes(nodes).select("doc_id", "pos", "path", "path_tags", "text"), tags)
+    cols = [f"{t}_path" for t in (tags or [])]
+    keep = cols if tags and all(c in nodes.columns for c in cols) else ["path", "path_tags"]
+    a = ancestors(text_nodes(nodes).select("doc_id", "pos", *keep, "text"), tags)
     return a.groupBy("doc_id", "anc_pos").agg(_joined(a, [], "text", sep).alias("text"))
 
 
@@ -119,17 +130,17 @@ def toc_entries(nodes: DataFrame) -> DataFrame:
              .groupBy("doc_id").agg(F.min("anc_pos").alias("toc_pos")))
     tables = (nodes.filter(F.col("tag") == "table").select("doc_id", F.col("pos").alias("table_pos"))
               .join(heads, "doc_id").filter(F.col("table_pos") > F.col("toc_pos")))
-    rows = (ancestors(nodes.filter(F.col("tag") == "tr").select("doc_id", "pos", "path", "path_tags"), ["table"])
+    rows = (ancestors(nodes.filter(F.col("tag") == "tr").select("doc_id", "pos", "table_path"), ["table"])
             .select("doc_id", F.col("anc_pos").alias("table_pos"), F.col("pos").alias("row_pos"))
             .join(tables.select("doc_id", "table_pos"), ["doc_id", "table_pos"]))
-    cells = (ancestors(nodes.filter(F.col("tag") == "td").select("doc_id", "pos", "path", "path_tags"), ["tr"])
+    cells = (ancestors(nodes.filter(F.col("tag") == "td").select("doc_id", "pos", "tr_path"), ["tr"])
              .select("doc_id", F.col("anc_pos").alias("row_pos"), F.col("pos").alias("cell_pos")))
     w = Window.partitionBy("doc_id", "row_pos").orderBy("cell_pos")
     cells = cells.withColumns({"cell_no": F.row_number().over(w), "n_cells": F.count(F.lit(1)).over(
         Window.partitionBy("doc_id", "row_pos"))}).filter((F.col("cell_no") <= 2) & (F.col("n_cells") >= 2))
     ctext = element_texts(nodes, ["td"]).select("doc_id", F.col("anc_pos").alias("cell_pos"), "text")
     cells = cells.join(ctext, ["doc_id", "cell_pos"], "left").withColumn("text", strip(F.coalesce("text", F.lit(""))))
-    hrefs = (ancestors(page_links(nodes).join(nodes.select("doc_id", "pos", "path", "path_tags"), ["doc_id", "pos"]),
+    hrefs = (ancestors(page_links(nodes).join(nodes.select("doc_id", "pos", "td_path"), ["doc_id", "pos"]),
                        ["td"])
              .select("doc_id", F.col("anc_pos").alias("cell_pos"), "pos",
                      F.replace(strip("href"), F.lit("#"), F.lit("")).alias("id")))

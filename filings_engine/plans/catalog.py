@@ -177,7 +177,7 @@ def _filing_nodes(spark, d, reuse=False):
     nodes = html_nodes(spread(ad.filing_pages(spark, d), "doc_id", force=True))
     # a node table read by many branches is written once (shared checkpoint
     # folder) instead of re-parsed per branch
-    return materialize(nodes) if reuse else nodes
+    return materialize(nodes, as_table=True) if reuse else nodes
 
 
 def _numbered(df, order_col, out):
@@ -214,7 +214,7 @@ def q_statement_files(spark, d):
 
 
 def _statement(spark, d):
-    nodes = materialize(html_nodes(spread(ad.statement_pages(spark, d), "doc_id", force=True)))
+    nodes = materialize(html_nodes(spread(ad.statement_pages(spark, d), "doc_id", force=True)), as_table=True)
     return stm.statement_frame(nodes)
 
 

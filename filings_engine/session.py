@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,11 +50,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
-    (survives executor loss, unlike a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def materialize(df: DataFrame, eager: bool = True, as_table: bool = False) -> DataFrame:
+    """Cut lineage in the shared checkpoint folder (survives executor loss,
+    unlike a local checkpoint).
+
+    ``as_table=True`` writes a parquet table there and reads it back: later
+    scans prune columns and push filters down, which a checkpointed RDD
+    cannot; use it for wide tables read by many branches."""
+    d = checkpoint_dir(df.sparkSession)
+    if not as_table:
+        return df.checkpoint(eager=eager)
+    path = f"{d.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def spread(df: DataFrame, key: str | None = None, partitions: int | None = None,
