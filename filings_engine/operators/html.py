@@ -181,18 +181,14 @@ def toc_sections(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("k")
     seq = ids.select("doc_id", "k", "id", F.lead("id").over(w).alias("next_id"),
                      F.lead("k").over(w).alias("next_k"))
-    anchors = (nodes.filter(F.col("attrs").getItem("id").isNotNull())
+    anchors = (nodes.filter((F.col("kind") == "element") & F.col("attrs").getItem("id").isNotNull())
                .groupBy("doc_id", F.col("attrs")["id"].alias("id"))
-               .agg(F.min_by(F.struct("pos", "end_pos", "parent_pos"), "pos").alias("a")))
-    st = anchors.select("doc_id", "id", "a.pos", "a.end_pos", "a.parent_pos")
+               .agg(F.min_by(F.struct("pos", "end_pos", "parent_pos", "parent_end"), "pos").alias("a")))
+    st = anchors.select("doc_id", "id", "a.pos", "a.end_pos", "a.parent_pos", "a.parent_end")
     en = anchors.select("doc_id", F.col("id").alias("next_id"), F.col("a.pos").alias("end_anchor"),
                         F.col("a.parent_pos").alias("end_parent"))
     sec = seq.join(st, ["doc_id", "id"]).join(en, ["doc_id", "next_id"], "left")
     sec = sec.filter(F.col("next_id").isNull() | F.col("end_anchor").isNotNull())
-    parents = nodes.select("doc_id", F.col("pos").alias("parent_pos"), F.col("end_pos").alias("parent_end"))
-    doc_end = nodes.groupBy("doc_id").agg(F.max("pos").alias("doc_end"))
-    sec = (sec.join(parents, ["doc_id", "parent_pos"], "left").join(doc_end, "doc_id")
-           .withColumn("parent_end", F.coalesce("parent_end", "doc_end")))
     sibling_end = ((F.col("end_parent") == F.col("parent_pos")) & (F.col("end_anchor") > F.col("pos")))
     sec = sec.select("doc_id", "k", "id", "parent_pos", F.col("end_pos").alias("lo"),
                      F.when(sibling_end, F.col("end_anchor")).otherwise(F.col("parent_end") + 1).alias("hi"))

@@ -93,6 +93,18 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+STRICT_JSON = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "mode": "PERMISSIVE"}
+
+
+def json_object(c) -> Column:
+    """The text as ``map<string,string>`` when it is one JSON object (keys in
+    document order, a repeated key keeps its last value, list values as JSON
+    text), else null."""
+    c = _c(c)
+    shaped = c.startswith("{") & c.endswith("}")
+    return F.when(shaped, F.from_json(c, "map<string,string>", STRICT_JSON))
+
+
 def parse_answers(answers: DataFrame, keys: Sequence[str], attempt: str = "attempt",
                   content: str = "content") -> DataFrame:
     """L2: per document the first attempt (in attempt order, at most the
@@ -103,7 +115,7 @@ def parse_answers(answers: DataFrame, keys: Sequence[str], attempt: str = "attem
     keys = list(keys)
     a = answers.filter(F.col(attempt) <= MAX_REFORMAT_ATTEMPTS + 1).select(
         *keys, attempt, _strip(F.col(content)).alias("_t"))
-    ok = F.try_parse_json("_t").isNotNull()
+    ok = json_object("_t").isNotNull()
     first_json = F.min_by(F.when(ok, F.col("_t")), F.when(ok, F.col(attempt)))
     last_raw = F.max_by("_t", attempt)
     return (a.groupBy(*keys).agg(first_json.alias("_j"), last_raw.alias("_r"))
@@ -117,8 +129,10 @@ def answer_fields(parsed: DataFrame, keys: Sequence[str], answer: str = "answer"
     fields (first matching route per key, last key wins per field, ``NA``
     when none).  JSON object keys keep document order."""
     keys = list(keys)
-    m = F.from_json(F.col(answer), "map<string,string>")
+    m = json_object(answer)
     kv = parsed.filter("is_json").select(*keys, F.posexplode(m).alias("pos", "k", "v"))
+    # a repeated key keeps its first position and its last value (dict semantics)
+    kv = kv.groupBy(*keys, "k").agg(F.min("pos").alias("pos"), F.max_by("v", "pos").alias("v"))
     as_list = F.from_json(F.col("v"), "array<string>")
     is_list = F.col("v").startswith("[") & as_list.isNotNull()
     text = F.when(is_list, F.array_join(as_list, ", ")).otherwise(F.col("v"))

@@ -168,13 +168,22 @@ def q_rate_audit(spark, d):
     return au.request_rate_audit(ev, "user_id", "ts", limit=10, period_us=3_600_000_000)
 
 
-def _page_nodes(spark, d):
+# parser projections: each job asks only for the nodes and columns it reads
+ONLY_TEXT = dict(elements=[], id_elements=False, blank_text=False, paths=[], generic_path=False)
+ONLY_LINKS = dict(elements=["a"], id_elements=False, text=False, paths=[], generic_path=False)
+ONLY_IMAGES = dict(elements=["img"], id_elements=False, text=False, paths=[], generic_path=False)
+TABLE_TEXT = dict(elements=[], id_elements=False, blank_text=False, paths=["table"], generic_path=False)
+CONTENTS = dict(elements=["div", "span", "table", "tr", "td", "a"], paths=["table", "tr", "td", "div", "span"])
+STATEMENT = dict(paths=["table", "tr", "td", "th"], generic_path=False)
+
+
+def _page_nodes(spark, d, **projection):
     pages = ad.table(spark, d, "pages").withColumnRenamed("page_id", "doc_id")
-    return html_nodes(spread(pages, "doc_id"))
+    return html_nodes(spread(pages, "doc_id"), **projection)
 
 
-def _filing_nodes(spark, d, reuse=False):
-    nodes = html_nodes(spread(ad.filing_pages(spark, d), "doc_id", force=True))
+def _filing_nodes(spark, d, reuse=False, **projection):
+    nodes = html_nodes(spread(ad.filing_pages(spark, d), "doc_id", force=True), **projection)
     # a node table read by many branches is written once (shared checkpoint
     # folder) instead of re-parsed per branch
     return materialize(nodes, as_table=True) if reuse else nodes
@@ -186,25 +195,25 @@ def _numbered(df, order_col, out):
 
 
 def q_page_text(spark, d):
-    return hx.page_text(_page_nodes(spark, d)).withColumnRenamed("doc_id", "page_id")
+    return hx.page_text(_page_nodes(spark, d, **ONLY_TEXT)).withColumnRenamed("doc_id", "page_id")
 
 
 def q_page_links(spark, d):
-    links = hx.page_links(_page_nodes(spark, d))
+    links = hx.page_links(_page_nodes(spark, d, **ONLY_LINKS))
     return _numbered(links, "pos", "link_no").select(F.col("doc_id").alias("page_id"), "link_no", "href")
 
 
 def q_page_images(spark, d):
-    return _numbered(hx.page_images(_filing_nodes(spark, d)), "pos", "image_no").select("doc_id", "image_no", "url")
+    return _numbered(hx.page_images(_filing_nodes(spark, d, **ONLY_IMAGES)), "pos", "image_no").select("doc_id", "image_no", "url")
 
 
 def q_page_tables(spark, d):
-    return _numbered(hx.page_tables(_filing_nodes(spark, d)), "table_pos", "table_no").select(
+    return _numbered(hx.page_tables(_filing_nodes(spark, d, **TABLE_TEXT)), "table_pos", "table_no").select(
         "doc_id", "table_no", "text")
 
 
 def q_toc_sections(spark, d):
-    nodes = _filing_nodes(spark, d, reuse=True)
+    nodes = _filing_nodes(spark, d, reuse=True, **CONTENTS)
     return hx.toc_sections(nodes, hx.toc_ids(hx.toc_entries(nodes)))
 
 
@@ -214,7 +223,8 @@ def q_statement_files(spark, d):
 
 
 def _statement(spark, d):
-    nodes = materialize(html_nodes(spread(ad.statement_pages(spark, d), "doc_id", force=True)), as_table=True)
+    nodes = materialize(html_nodes(spread(ad.statement_pages(spark, d), "doc_id", force=True), **STATEMENT),
+                        as_table=True)
     return stm.statement_frame(nodes)
 
 
