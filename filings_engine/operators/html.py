@@ -55,6 +55,21 @@ def descendants(nodes: DataFrame, outer: DataFrame, outer_pos: str = "pos") -> D
     return ancestors(nodes).join(o, ["doc_id", "anc_pos"])
 
 
+def interval_join(points: DataFrame, intervals: DataFrame, pos: str, lo: str, hi: str,
+                  key: str = "doc_id", bin_size: int = 64) -> DataFrame:
+    """J9 as a binned range join: points with ``lo < pos < hi`` of the same
+    ``key``.  Each interval is listed once per position bin it covers and
+    joined on (key, bin), so work is proportional to the matches plus the
+    intervals' length / bin_size, never to all pairs of a document."""
+    b = F.lit(bin_size)
+    first, last = F.floor((F.col(lo) + 1) / b), F.floor((F.col(hi) - 1) / b)
+    iv = intervals.select("*", F.explode(F.when(F.col(hi) - F.col(lo) >= 2, F.sequence(first, last)))
+                          .alias("_bin"))
+    pt = points.withColumn("_bin", F.floor(F.col(pos) / b))
+    return (pt.join(iv, [key, "_bin"]).filter((F.col(pos) > F.col(lo)) & (F.col(pos) < F.col(hi)))
+            .drop("_bin"))
+
+
 def _joined(df: DataFrame, keys: list[str], text: str, sep: str, order: str = "pos") -> Column:
     return F.expr(f"listagg({text}, '{sep}') WITHIN GROUP (ORDER BY {order})")
 
@@ -174,10 +189,10 @@ def toc_sections(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     lets the text run to the last sibling; an id met twice keeps its last
     section.
 
-    The siblings' subtrees form one contiguous position range, so each
-    section is an interval [lo, hi) of positions; strings are matched to
-    intervals by an equi-join on (doc, anchor parent) through the string's
-    ancestor path, then the range filter."""
+    The siblings' subtrees form one contiguous pre-order range, so each
+    section is an open interval (lo, hi) of positions, and its strings are
+    those in the range that are not direct children of the anchor's parent:
+    an interval join (binned, see ``interval_join``), no ancestor paths."""
     w = Window.partitionBy("doc_id").orderBy("k")
     seq = ids.select("doc_id", "k", "id", F.lead("id").over(w).alias("next_id"),
                      F.lead("k").over(w).alias("next_k"))
@@ -195,12 +210,8 @@ def toc_sections(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     # keep the last section of an id met twice
     sec = (sec.groupBy("doc_id", "id").agg(F.max_by(F.struct("k", "parent_pos", "lo", "hi"), "k").alias("s"))
            .select("doc_id", "id", "s.*"))
-    t = (text_nodes(nodes).select("doc_id", "pos", "parent_pos", "path", strip("text").alias("s"))
+    t = (text_nodes(nodes).select("doc_id", "pos", F.col("parent_pos").alias("own_parent"),
+                                  strip("text").alias("s"))
          .filter(F.col("s") != ""))
-    # -1 stands for the document root (anchors without a parent element)
-    tt = t.select("doc_id", "pos", F.col("parent_pos").alias("own_parent"), "s",
-                  F.explode(F.concat(F.array(F.lit(-1)), "path")).alias("parent_pos"))
-    hit = (tt.join(sec, ["doc_id", "parent_pos"])
-           .filter((F.col("pos") > F.col("lo")) & (F.col("pos") < F.col("hi"))
-                   & (F.col("own_parent") != F.col("parent_pos"))))
+    hit = interval_join(t, sec, "pos", "lo", "hi").filter(F.col("own_parent") != F.col("parent_pos"))
     return hit.groupBy("doc_id", "id").agg(_joined(hit, [], "s", " ").alias("text"))

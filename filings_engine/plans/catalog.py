@@ -173,7 +173,8 @@ ONLY_TEXT = dict(elements=[], id_elements=False, blank_text=False, paths=[], gen
 ONLY_LINKS = dict(elements=["a"], id_elements=False, text=False, paths=[], generic_path=False)
 ONLY_IMAGES = dict(elements=["img"], id_elements=False, text=False, paths=[], generic_path=False)
 TABLE_TEXT = dict(elements=[], id_elements=False, blank_text=False, paths=["table"], generic_path=False)
-CONTENTS = dict(elements=["div", "span", "table", "tr", "td", "a"], paths=["table", "tr", "td", "div", "span"])
+CONTENTS = dict(elements=["div", "span", "table", "tr", "td", "a"], paths=["table", "tr", "td", "div", "span"],
+                generic_path=False)
 STATEMENT = dict(paths=["table", "tr", "td", "th"], generic_path=False)
 
 
