@@ -245,6 +245,20 @@ def q_statement_errors(spark, d):
     return _statement(spark, d)[1]
 
 
+TEXT_MARKER = "CONTENTS"
+
+
+def q_proxy_texts(spark, d):
+    """H6 + A8 on the rendered filing pages: only the pages of the chosen
+    filings are parsed (semi-join before the parse)."""
+    rich = _links_rich(spark, d)
+    chosen = pl.latest_text_per_ticker(rich)
+    pages = ad.filing_pages(spark, d).join(chosen.select(F.col("doc_url").alias("url")), "url", "left_semi")
+    nodes = html_nodes(spread(pages, "doc_id", force=True), **ONLY_TEXT)
+    texts = hx.page_text(nodes).join(pages.select("doc_id", F.col("url").alias("doc_url")), "doc_id")
+    return pl.proxy_texts(rich, texts.select("doc_url", "text"), TEXT_MARKER)
+
+
 QUERIES = {
     "proxy_links": q_proxy_links,
     "links_view": q_links_view,
@@ -279,4 +293,5 @@ QUERIES = {
     "statement_values": q_statement_values,
     "statement_dedup": q_statement_dedup,
     "statement_errors": q_statement_errors,
+    "proxy_texts": q_proxy_texts,
 }

@@ -300,4 +300,18 @@ SQL = {
         CASE WHEN o_orderkey % 101 = 0 THEN 'unparsable date' ELSE 'more cells than dates' END AS reason
       FROM orders WHERE (o_orderkey % 101 = 0 OR (o_orderkey % 103 = 0 AND left(o_orderpriority, 1) <> '2'))
         AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
+    "proxy_texts": f"""{LINKS},
+      pick AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY ticker
+               ORDER BY filingDate, o_orderkey DESC) = 1),
+      {ORDER_LINES},
+      toc AS (SELECT doc_id, string_agg(CAST(r AS VARCHAR) || '.' || chr(10) || 'Item ' || CAST(r AS VARCHAR),
+                                        chr(10) ORDER BY r) AS t FROM ol GROUP BY doc_id),
+      secs AS (SELECT doc_id, string_agg('Item ' || CAST(r AS VARCHAR) || chr(10) || 'Part ' || CAST(pk AS VARCHAR)
+                 || ' ships ' || strftime(ship, '%Y-%m-%d') || chr(10) || 'Qty' || chr(10) || qty || chr(10)
+                 || 'Supplier' || chr(10) || 'S' || CAST(sk AS VARCHAR), chr(10) ORDER BY r) AS t
+               FROM ol GROUP BY doc_id)
+      SELECT p.ticker, p.doc_url,
+             chr(10) || 'Part I' || chr(10) || 'Summary' || chr(10) || toc.t || chr(10) || secs.t || chr(10)
+               || 'End of filing ' || CAST(p.o_orderkey AS VARCHAR) AS text
+      FROM pick p JOIN toc ON toc.doc_id = p.o_orderkey JOIN secs ON secs.doc_id = p.o_orderkey""",
 }

@@ -47,3 +47,29 @@ def single_year_first_filing(identifiers: DataFrame, filings: DataFrame, year: i
     links view (File, Summary, Ticker, Form, Filing Date)."""
     rich = proxy_filings(identifiers, filings, tickers, year, year)
     return links_view(conform(first_filing(rich), LINK))
+
+
+def latest_text_per_ticker(rich_links: DataFrame, keep: str = "oldest") -> DataFrame:
+    """One link per ticker.  The reference overwrites a per-ticker entry
+    while walking the newest-first links, so the oldest filing wins
+    (``keep='oldest'``, ties: the later in submission order); ``'newest'``
+    keeps the first."""
+    if keep == "oldest":
+        key = F.struct(F.col("filingDate"), -F.col("ordinal"))
+        pick = F.min_by
+    elif keep == "newest":
+        key = F.struct(F.col("filingDate"), -F.col("ordinal"))
+        pick = F.max_by
+    else:
+        raise ValueError("keep must be 'oldest' or 'newest'")
+    cols = [c for c in rich_links.columns]
+    return rich_links.groupBy("ticker").agg(pick(F.struct(*cols), key).alias("_l")).select("_l.*")
+
+
+def proxy_texts(links: DataFrame, texts: DataFrame, marker: str, keep: str = "oldest") -> DataFrame:
+    """H6: ``(ticker, doc_url, text)``: per ticker one filing (A8), the text
+    of its document (``texts``: ``(doc_url, text)``, e.g. H2 of the fetched
+    pages) cut after the marker (P15)."""
+    from filings_engine.functions.strings import after_marker
+    return (latest_text_per_ticker(links, keep).join(texts, "doc_url")
+            .select("ticker", "doc_url", after_marker(F.col("text"), marker).alias("text")))
