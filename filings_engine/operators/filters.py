@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from filings_engine.functions import (archive_url, parse_iso_date, split_csv,
+from filings_engine.functions import (archive_url, parse_iso_date, split_csv,  # noqa: F401
                                       strip_leading_zeros, summary_url)
 from filings_engine.functions.strings import after_marker as _after_marker
 

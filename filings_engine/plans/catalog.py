@@ -20,6 +20,7 @@ from filings_engine.operators import prompts as pr
 from filings_engine.operators import retrieval as rt
 from filings_engine.operators import filters as flt
 from filings_engine.plans import proxy_links as pl
+from filings_engine.plans import summaries as sm
 from filings_engine.sources import adapters as ad
 from filings_engine.sources import edgar_files as ef
 
@@ -259,6 +260,17 @@ def q_proxy_texts(spark, d):
     return pl.proxy_texts(rich, texts.select("doc_url", "text"), TEXT_MARKER)
 
 
+def q_lite_prompts(spark, d):
+    """Q2 for every link: its summary page -> text and tables -> numeric
+    context -> lite conversation.  Only the linked pages are parsed."""
+    links = _links_rich(spark, d).select("doc_url", flt.summary_url(F.col("doc_url")).alias("url"))
+    pages = ad.statement_pages(spark, d).join(links.select("url"), "url", "left_semi")
+    nodes = html_nodes(spread(pages, "doc_id", force=True), **TABLE_TEXT)
+    docs = (hx.extract_documents(pages, nodes).join(pages.select("doc_id", "url"), "doc_id")
+            .join(links, "url").select("doc_url", "document.text", "document.tables"))
+    return pr.flatten_messages(sm.lite_answer_prompts(docs, ["doc_url"]), ["doc_url"])
+
+
 QUERIES = {
     "proxy_links": q_proxy_links,
     "links_view": q_links_view,
@@ -294,4 +306,5 @@ QUERIES = {
     "statement_dedup": q_statement_dedup,
     "statement_errors": q_statement_errors,
     "proxy_texts": q_proxy_texts,
+    "lite_prompts": q_lite_prompts,
 }

@@ -140,6 +140,7 @@ TOKEN_RE = "'[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\t\\n\\x0B\\f\\r ]'"
 
 # Prompt texts restated for the oracle (same fixed values as the operator).
 from filings_engine.operators.prompts import ANALYST_SYSTEM, SUMMARY_QUESTION  # noqa: E402
+from filings_engine.plans.summaries import LITE_QUESTION, LITE_SYSTEM  # noqa: E402
 
 ORDER_LINES = f"""ol AS (
   SELECT o_orderkey AS doc_id, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk,
@@ -314,4 +315,33 @@ SQL = {
              chr(10) || 'Part I' || chr(10) || 'Summary' || chr(10) || toc.t || chr(10) || secs.t || chr(10)
                || 'End of filing ' || CAST(p.o_orderkey AS VARCHAR) AS text
       FROM pick p JOIN toc ON toc.doc_id = p.o_orderkey JOIN secs ON secs.doc_id = p.o_orderkey""",
+    "lite_prompts": f"""{LINKS},
+      sp AS (SELECT o_orderkey AS k, left(o_orderpriority, 1) AS p1,
+                    strftime(o_orderdate, '%b. %-d, %Y') AS d0,
+                    CASE WHEN o_orderkey % 101 = 0 THEN 'Foo. 31, 1999'
+                         ELSE strftime(CAST(o_orderdate AS DATE) - INTERVAL 365 DAY, '%b. %-d, %Y') END AS d1,
+                    CASE left(o_orderpriority, 1) WHEN '1' THEN '$ in Millions'
+                         WHEN '2' THEN 'Share data unless otherwise specified' ELSE '$ in Thousands' END AS unit
+             FROM orders),
+      li AS (SELECT l_orderkey AS k,
+                    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i,
+                    l_partkey AS pk, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS qty,
+                    '(' || format('{{:,.2f}}', l_extendedprice) || ')' AS price FROM lineitem),
+      cells AS (SELECT k, i, list_filter(['Part ' || CAST(pk AS VARCHAR),
+                          CASE WHEN i = 2 THEN NULL ELSE '$ ' || qty END, price,
+                          CASE WHEN k % 103 = 0 AND i = 0 THEN '(1)' END], lambda x: x IS NOT NULL) AS parts
+                FROM li),
+      body AS (SELECT k, flatten(list(parts ORDER BY i)) AS parts FROM cells GROUP BY k),
+      page AS (SELECT sp.k, ['CONSOLIDATED BALANCE SHEETS - USD ($)', sp.unit, sp.d0, sp.d1] || body.parts AS parts
+               FROM sp JOIN body USING (k)),
+      ctx AS (SELECT k,
+                array_to_string(list_filter(parts, lambda x: regexp_matches(x, '\\p{{Nd}}')), ' ') AS lines,
+                array_to_string(parts, ' ') AS tab FROM page),
+      fullctx AS (SELECT k, lines || CASE WHEN regexp_matches(tab, '\\b2024\\b|\\b20\\s24\\b') THEN ''
+                                       ELSE ' ' || tab END AS context FROM ctx)
+      SELECT l.doc_url, 0 AS turn, 'system' AS role, {sql_str(LITE_SYSTEM)} AS content
+      FROM links l JOIN fullctx f ON f.k = l.o_orderkey
+      UNION ALL
+      SELECT l.doc_url, 1, 'user', 'Query: ' || {sql_str(LITE_QUESTION)} || chr(10) || ' Relevant texts:' || f.context
+      FROM links l JOIN fullctx f ON f.k = l.o_orderkey""",
 }

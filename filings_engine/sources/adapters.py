@@ -284,4 +284,6 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               "CONSOLIDATED BALANCE SHEETS - USD ($)<br> "), unit,
         F.lit("</strong></div></th><th class=\"th\"><div>"), d0, F.lit("</div></th><th class=\"th\"><div>"), d1,
         F.lit("</div></th></tr>"), F.array_join(F.transform("lines", row), ""), F.lit("</table></body></html>"))
-    return base.select("doc_id", "url", html.alias("html"))
+    # the statement page is the filing's summary page R2.htm
+    url = F.concat(F.regexp_replace("url", r"/[^/]*$", ""), F.lit("/R2.htm"))
+    return base.select("doc_id", url.alias("url"), html.alias("html"))
