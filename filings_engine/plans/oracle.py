@@ -80,7 +80,8 @@ FACT_COLS = 'cik, taxonomy, fact, label, unit, start, "end", val, accn, form, fi
 
 DEDUP = f"""{FACT_LINES},
 dd AS (SELECT * FROM fl QUALIFY row_number() OVER (PARTITION BY cik, fact, "end", val
-                                ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1)"""
+                                ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                                         start NULLS FIRST, "end" NULLS FIRST, val NULLS FIRST) = 1)"""
 
 
 def periodic(form: str) -> str:
@@ -147,7 +148,7 @@ ORDER_LINES = f"""ol AS (
          CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS qty, CAST(l_shipdate AS DATE) AS ship,
          'https://www.sec.gov/Archives/edgar/data/' || {pad('o_custkey')} || '/' || {pad('o_orderkey')}
            || strftime(o_orderdate, '%y') || {pad('o_orderkey % 1000000', 6)} || '/' AS folder,
-         row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r
+         row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS r
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 # page text by a regex route: drop raw-text blocks, comments and declarations,
@@ -171,7 +172,7 @@ STATEMENT_FILES = f"""WITH o AS (SELECT o_orderkey AS k, {ACCESSION_NODASH} AS a
 
 STATEMENT_LINES = """sl AS (
   SELECT o_orderkey AS doc_id, left(o_orderpriority, 1) AS p1, CAST(o_orderdate AS DATE) AS odate,
-         CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS r,
+         CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS INTEGER) AS r,
          'us-gaap_P' || CAST(l_partkey AS VARCHAR) AS concept, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS qty,
          l_extendedprice AS price
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -324,7 +325,7 @@ SQL = {
                          WHEN '2' THEN 'Share data unless otherwise specified' ELSE '$ in Thousands' END AS unit
              FROM orders),
       li AS (SELECT l_orderkey AS k,
-                    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i,
+                    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS i,
                     l_partkey AS pk, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS qty,
                     '(' || format('{{:,.2f}}', l_extendedprice) || ')' AS price FROM lineitem),
       cells AS (SELECT k, i, list_filter(['Part ' || CAST(pk AS VARCHAR),
