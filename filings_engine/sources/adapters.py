@@ -81,7 +81,8 @@ def _fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fact item per line item: fact = return flag + line status, end =
     order date on even lines else ship date, start = order date on odd
     lines (a duration) else absent (an instant), val = quantity."""
-    li = table(spark, sf_dir, "lineitem")
+    from filings_engine.session import spread
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     o = table(spark, sf_dir, "orders")
     j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
     od = F.col("o_orderdate").cast("date")
@@ -161,7 +162,8 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: its filing identity and its line items in line order
     (a bounded group: TPC-H orders have at most 7 lines)."""
-    li = table(spark, sf_dir, "lineitem")
+    from filings_engine.session import spread
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     o = table(spark, sf_dir, "orders")
     lines = (li.groupBy("l_orderkey")
              .agg(F.array_sort(F.collect_list(F.struct(
