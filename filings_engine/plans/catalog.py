@@ -20,6 +20,8 @@ from filings_engine.operators import prompts as pr
 from filings_engine.operators import retrieval as rt
 from filings_engine.operators import filters as flt
 from filings_engine.plans import proxy_links as pl
+from filings_engine.functions import archive_url
+from filings_engine.plans import fundamentals as fu
 from filings_engine.plans import summaries as sm
 from filings_engine.sources import adapters as ad
 from filings_engine.sources import edgar_files as ef
@@ -265,12 +267,29 @@ def q_lite_prompts(spark, d):
     context -> lite conversation.  Only the linked pages are parsed."""
     links = _links_rich(spark, d).select("doc_url", flt.summary_url(F.col("doc_url")).alias("url"))
     pages = ad.statement_pages(spark, d).join(links.select("url"), "url", "left_semi")
-    nodes = html_nodes(spread(pages, "doc_id", force=True), **TABLE_TEXT)
+    # text, images and tables each read the node table: parse once
+    nodes = materialize(html_nodes(spread(pages, "doc_id", force=True), **TABLE_TEXT), as_table=True)
     docs = (hx.extract_documents(pages, nodes).join(pages.select("doc_id", "url"), "doc_id")
             .join(links, "url").select("doc_url", "document.text", "document.tables"))
     return pr.flatten_messages(sm.lite_answer_prompts(docs, ["doc_url"]), ["doc_url"])
 
 
+def q_company_statements(spark, d):
+    """statements of every company's latest 10-K (summary -> key match ->
+    statement URL -> page -> values, de-duplicated).  Only the pages of
+    those filings are parsed."""
+    filings = ad.filings(spark, d)
+    summary = ef.parse_filing_summary(ad.filing_summaries(spark, d), key_cols=["accession"])
+    pages = ad.statement_pages(spark, d)
+    folder = F.regexp_replace("url", r"/[^/]*$", "")
+    latest = fx.latest_filing_of_form(filings, "10-K").select(
+        F.regexp_replace(archive_url(F.col("cik"), F.col("accessionNumber"), F.lit("")), r"/$", "").alias("folder"))
+    pages = pages.withColumn("folder", folder).join(latest, "folder", "left_semi").drop("folder")
+    nodes = materialize(html_nodes(spread(pages, "doc_id", force=True), **STATEMENT), as_table=True)
+    values, _ = fu.company_statements(filings, summary, nodes, pages.select("doc_id", "url"), statement_keys(spark))
+    return _rounded(values)
+
+
 QUERIES = {
     "proxy_links": q_proxy_links,
     "links_view": q_links_view,
@@ -307,4 +326,5 @@ QUERIES = {
     "statement_errors": q_statement_errors,
     "proxy_texts": q_proxy_texts,
     "lite_prompts": q_lite_prompts,
+    "company_statements": q_company_statements,
 }

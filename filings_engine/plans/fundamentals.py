@@ -20,7 +20,8 @@ from filings_engine.session import materialize
 
 def company_statements(filings: DataFrame, summary_files: DataFrame, statement_nodes: DataFrame,
                        statement_urls: DataFrame, keys: DataFrame, form: str = "10-K") -> tuple[DataFrame, DataFrame]:
-    """statements of each company's latest filing of ``form``.
+    """statements of each company's latest filing of ``form``.  Pass the
+    nodes of the pages of interest (pages of other filings only cost work).
 
     ``summary_files``: S5 output ``(accession, short_name, file_name)``
     (accession without dashes); ``statement_nodes``: H1 nodes of the
@@ -33,7 +34,9 @@ def company_statements(filings: DataFrame, summary_files: DataFrame, statement_n
               .select("cik", "statement", archive_url(F.col("cik"), F.col("accessionNumber"),
                                                       F.col("file_name")).alias("url")))
     docs = wanted.join(statement_urls, "url").select("cik", "statement", "doc_id")
-    values, errors = stm.statement_frame(statement_nodes.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    # the page -> (company, statement) mapping is applied to the outputs, so
+    # the statement branches do not each re-derive it
+    values, errors = stm.statement_frame(statement_nodes)
     values = stm.dedupe_statement_rows(values)
     return (docs.join(values, "doc_id").drop("doc_id"),
             docs.join(errors, "doc_id").drop("doc_id"))

@@ -345,4 +345,15 @@ SQL = {
       UNION ALL
       SELECT l.doc_url, 1, 'user', 'Query: ' || {sql_str(LITE_QUESTION)} || chr(10) || ' Relevant texts:' || f.context
       FROM links l JOIN fullctx f ON f.k = l.o_orderkey""",
+    "company_statements": f"""WITH {FILINGS},
+      latest AS (SELECT cik, o_orderkey AS k FROM filings WHERE form = '10-K'
+                 QUALIFY row_number() OVER (PARTITION BY cik ORDER BY odate DESC, o_orderkey) = 1),
+      bs AS (SELECT cik, k FROM latest WHERE k % 16 < (k + 3) % 16),
+      {STATEMENT_LINES},
+      vec AS (SELECT doc_id, "row", max(value) FILTER (WHERE period = 0) AS v0,
+                     max(value) FILTER (WHERE period = 1) AS v1 FROM vals GROUP BY ALL),
+      keep AS (SELECT doc_id, min("row") AS "row" FROM vec GROUP BY doc_id, v0, v1)
+      SELECT bs.cik, 'balance_sheet' AS statement, v."row", v.concept, v.period, v.period_end, v.value
+      FROM vals v SEMI JOIN keep k ON v.doc_id = k.doc_id AND v."row" = k."row"
+      JOIN bs ON bs.k = v.doc_id""",
 }
