@@ -290,6 +290,18 @@ def q_company_statements(spark, d):
     return _rounded(values)
 
 
+def q_identifiers_parsed(spark, d):
+    """S1 round trip: identifier JSON records -> rows (CIK zero-padded)."""
+    docs = ad.identifier_documents(spark, d)
+    return ef.parse_company_identifiers(docs).select("cik_str", "ticker", "title")
+
+
+def q_submissions_parsed(spark, d):
+    """S2 round trip: submission JSON (parallel arrays) -> filing rows."""
+    from filings_engine.schemas import FILING_FIELDS
+    return ef.parse_submissions(ad.submission_documents(spark, d)).select("cik", *FILING_FIELDS)
+
+
 QUERIES = {
     "proxy_links": q_proxy_links,
     "links_view": q_links_view,
@@ -327,4 +339,6 @@ QUERIES = {
     "proxy_texts": q_proxy_texts,
     "lite_prompts": q_lite_prompts,
     "company_statements": q_company_statements,
+    "identifiers_parsed": q_identifiers_parsed,
+    "submissions_parsed": q_submissions_parsed,
 }

@@ -356,4 +356,8 @@ SQL = {
       SELECT bs.cik, 'balance_sheet' AS statement, v."row", v.concept, v.period, v.period_end, v.value
       FROM vals v SEMI JOIN keep k ON v.doc_id = k.doc_id AND v."row" = k."row"
       JOIN bs ON bs.k = v.doc_id""",
+    "identifiers_parsed": f"WITH {IDENTIFIERS} SELECT cik_str, ticker, title FROM identifiers",
+    "submissions_parsed": f"""WITH {FILINGS}
+      SELECT cik, accessionNumber, filingDate, reportDate, form, fileNumber, filmNumber, primaryDocument,
+             primaryDocDescription FROM filings""",
 }

@@ -289,3 +289,25 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the statement page is the filing's summary page R2.htm
     url = F.concat(F.regexp_replace("url", r"/[^/]*$", ""), F.lit("/R2.htm"))
     return base.select("doc_id", url.alias("url"), html.alias("html"))
+
+
+def identifier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 documents ``(value)``: one ``{"<key>": {cik_str, ticker, title}}``
+    object per customer (the file format, one record per document)."""
+    c = table(spark, sf_dir, "customer")
+    rec = F.struct(F.col("c_custkey").alias("cik_str"),
+                   F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("ticker"),
+                   F.col("c_name").alias("title"))
+    return c.select(F.col("c_custkey").alias("doc_order"),
+                    F.to_json(F.create_map(F.col("c_custkey").cast("string"), rec)).alias("value"))
+
+
+def submission_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X2 documents ``(value)``: a submission index per filing (parallel
+    arrays of length one under ``filings.recent``), built from the filing
+    view, so every filing row must come back through the parser."""
+    f = filings(spark, sf_dir)
+    from filings_engine.schemas import FILING_FIELDS
+    recent = F.struct(*[F.array(F.col(c)).alias(c) for c in FILING_FIELDS])
+    doc = F.struct(F.col("cik"), F.struct(recent.alias("recent")).alias("filings"))
+    return f.select("ordinal", F.to_json(doc).alias("value"))
