@@ -155,8 +155,9 @@ def toc_entries(nodes: DataFrame) -> DataFrame:
         Window.partitionBy("doc_id", "row_pos"))}).filter((F.col("cell_no") <= 2) & (F.col("n_cells") >= 2))
     ctext = element_texts(nodes, ["td"]).select("doc_id", F.col("anc_pos").alias("cell_pos"), "text")
     cells = cells.join(ctext, ["doc_id", "cell_pos"], "left").withColumn("text", strip(F.coalesce("text", F.lit(""))))
-    hrefs = (ancestors(page_links(nodes).join(nodes.select("doc_id", "pos", "td_path"), ["doc_id", "pos"]),
-                       ["td"])
+    anchors_with_href = nodes.filter((F.col("tag") == "a") & F.col("attrs").getItem("href").isNotNull()).select(
+        "doc_id", "pos", F.col("attrs")["href"].alias("href"), "td_path")
+    hrefs = (ancestors(anchors_with_href, ["td"])
              .select("doc_id", F.col("anc_pos").alias("cell_pos"), "pos",
                      F.replace(strip("href"), F.lit("#"), F.lit("")).alias("id")))
     hrefs = (hrefs.groupBy("doc_id", "cell_pos")
