@@ -70,7 +70,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, pos: str, lo: str, hi
             .drop("_bin"))
 
 
-def _joined(df: DataFrame, keys: list[str], text: str, sep: str, order: str = "pos") -> Column:
+def _joined(text: str, sep: str, order: str = "pos") -> Column:
+    """Strings of a group joined by ``sep`` in ``order`` (ordered listagg)."""
     return F.expr(f"listagg({text}, '{sep}') WITHIN GROUP (ORDER BY {order})")
 
 
@@ -79,7 +80,7 @@ def _joined(df: DataFrame, keys: list[str], text: str, sep: str, order: str = "p
 def page_text(nodes: DataFrame) -> DataFrame:
     """H2: stripped non-empty strings joined by newline, document order."""
     t = text_nodes(nodes).select("doc_id", "pos", strip("text").alias("s")).filter(F.col("s") != "")
-    return t.groupBy("doc_id").agg(_joined(t, ["doc_id"], "s", "\\n").alias("text"))
+    return t.groupBy("doc_id").agg(_joined("s", "\\n").alias("text"))
 
 
 def page_images(nodes: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def page_tables(nodes: DataFrame) -> DataFrame:
     t = (text_nodes(nodes).select("doc_id", "pos", "table_path", strip("text").alias("s"))
          .filter(F.col("s") != ""))
     a = ancestors(t, ["table"]).select("doc_id", F.col("anc_pos").alias("table_pos"), "pos", "s")
-    return a.groupBy("doc_id", "table_pos").agg(_joined(a, [], "s", " ").alias("text"))
+    return a.groupBy("doc_id", "table_pos").agg(_joined("s", " ").alias("text"))
 
 
 def page_links(nodes: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def element_texts(nodes: DataFrame, tags: list[str] | None = None, sep: str = ""
     cols = [f"{t}_path" for t in (tags or [])]
     keep = cols if tags and all(c in nodes.columns for c in cols) else ["path", "path_tags"]
     a = ancestors(text_nodes(nodes).select("doc_id", "pos", *keep, "text"), tags)
-    return a.groupBy("doc_id", "anc_pos").agg(_joined(a, [], "text", sep).alias("text"))
+    return a.groupBy("doc_id", "anc_pos").agg(_joined("text", sep).alias("text"))
 
 
 def toc_entries(nodes: DataFrame) -> DataFrame:
@@ -215,4 +216,4 @@ def toc_sections(nodes: DataFrame, ids: DataFrame) -> DataFrame:
                                   strip("text").alias("s"))
          .filter(F.col("s") != ""))
     hit = interval_join(t, sec, "pos", "lo", "hi").filter(F.col("own_parent") != F.col("parent_pos"))
-    return hit.groupBy("doc_id", "id").agg(_joined(hit, [], "s", " ").alias("text"))
+    return hit.groupBy("doc_id", "id").agg(_joined("s", " ").alias("text"))

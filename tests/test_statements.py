@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from filings_engine.functions import standardize_statement_date
 from filings_engine.operators import statements as stm

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from filings_engine.functions import after_marker, digit_lines
 from filings_engine.operators import prompts as pr
