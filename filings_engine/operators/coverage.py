@@ -75,3 +75,10 @@ def first_filing(rich_links: DataFrame, ticker: str = "ticker") -> DataFrame:
     cols = [c for c in rich_links.columns if c not in ("ordinal", "id_ordinal")]
     best = F.max_by(F.struct(*cols), F.struct(F.col("filingDate"), -F.col("ordinal")))
     return rich_links.groupBy(ticker).agg(best.alias("_b")).select("_b.*")
+
+
+def year_options(start: int, end=None) -> "F.Column":
+    """O2: the selectable filing years, newest first (``end`` defaults to
+    the current year)."""
+    last = F.year(F.current_date()) if end is None else F.lit(end)
+    return F.reverse(F.sequence(F.lit(start), last))

@@ -95,3 +95,8 @@ def test_links_view_columns(ids, filings):
     v = flt.links_view(pl.find_proxy_filings(ids, filings, None, 2019, 2020))
     assert v.columns == ["File", "Summary", "Ticker", "Form", "Filing Date"]
     assert v.first().Summary.endswith("/000000000120000001/R2.htm")
+
+
+def test_year_options(spark):
+    r = spark.range(1).select(cov.year_options(2019, 2022).alias("y")).first().y
+    assert r == [2022, 2021, 2020, 2019]
