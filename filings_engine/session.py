@@ -92,8 +92,12 @@ def spread(df: DataFrame, key: str | None = None, partitions: int | None = None,
     slots (e.g. one large row group).  A well-split scan is left alone, so
     at scale this adds no shuffle.  ``force`` repartitions regardless (after
     a small shuffle that adaptive execution would coalesce into one task)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = None if force else df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Connect session exposes no RDDs
+        return df.repartition(partitions, key) if (force and partitions and key) else df
     target = partitions or 4 * slots     # several tasks per slot balance uneven documents
-    if not force and df.rdd.getNumPartitions() >= slots:
+    if not force and splits >= slots:
         return df
     return df.repartition(target, key) if key else df.repartition(target)

@@ -58,3 +58,22 @@ def test_company_statements(spark):
     assert set(r.statement for r in values.select("statement").distinct().collect()) <= {"balance_sheet"}
     v, _ = stm.statement_frame(nodes)
     assert values.count() <= v.count()
+
+
+def test_company_profile_agrees_with_registered_queries(spark):
+    import __spark_entry__ as E
+    filings = ad.filings(spark, SF)
+    facts = ef.parse_company_facts(ad.company_facts_documents(spark, SF), doc_order="doc_order")
+    concept = ef.parse_company_concept(ad.company_concept_documents(spark, SF, "NO"), doc_order="doc_order")
+    summary = ef.parse_filing_summary(ad.filing_summaries(spark, SF), key_cols=["accession"])
+    pages = ad.statement_pages(spark, SF)
+    nodes = materialize(html_nodes(pages), as_table=True)
+    prof = fu.company_profile(filings, facts, concept, summary, nodes, pages.select("doc_id", "url"),
+                              statement_keys(spark))
+    annual = prof.annual.withColumn("value", F.round("value", 6))
+    expected = E.queries()["annual_facts"](spark, SF)
+    assert annual.exceptAll(expected).count() == 0 and expected.exceptAll(annual).count() == 0
+    stmts = prof.statements.withColumn("value", F.round("value", 6))
+    expected = E.queries()["company_statements"](spark, SF)
+    assert stmts.exceptAll(expected).count() == 0 and expected.exceptAll(stmts).count() == 0
+    assert prof.facts.count() == E.queries()["facts_dedup"](spark, SF).count()
