@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filings_engine.llm import bpe_tree, line_quality, simhash
+from filings_engine.llm import bpe_tree, host_reputation, line_quality, pii, sharding, simhash, template_decontam
 from filings_engine.llm.common import table
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return host_reputation.judge_urls(pages, host_reputation.readable_share(F.col("html")))
+
+
+def op5_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(*pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,5 +38,50 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(bpe_tree.encode_texts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash_near_dedup, op9_quality_rules, op10_bpe_tree)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_url_filter, op5_template_decontam, op7_pii, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_tree)}
+
+_HEX = "".join(f"replace(" for _ in range(16))
+_BITS = _HEX + "translate(md5(coalesce(doc_id::varchar, chr(0))), '01', 'gh')" + "".join(
+    f", '{'gh'[i] if i < 2 else f'{i:x}'}', '{i:04b}')" for i in (*range(2, 16), 0, 1))
+
+SQL: dict[str, str] = {
+    "op3_sharding": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_BITS} AS bits, coalesce(strlen(text), 0) AS bytes FROM documents),
+     p AS (SELECT r, depth, substr(bits, 1, depth) AS shard, bits, bytes FROM d, range(0, 129) AS t(depth)),
+     s AS (SELECT depth, shard, sum(bytes) AS shard_bytes, count(*) AS shard_rows, min(bits) = max(bits) AS alone FROM p GROUP BY ALL),
+     f AS (SELECT r, min(depth) AS depth FROM p JOIN s USING (depth, shard) WHERE shard_bytes <= {sharding.LIMIT} OR alone GROUP BY r)
+SELECT d.doc_id, s.shard, s.depth::INTEGER AS depth, s.shard_bytes::BIGINT AS shard_bytes, s.shard_rows::BIGINT AS shard_rows,
+       s.shard_bytes <= {sharding.LIMIT} AS fits
+FROM d JOIN f USING (r) JOIN s ON s.depth = f.depth AND s.shard = substr(d.bits, 1, f.depth)""",
+    "op4_url_filter": """
+WITH u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     h AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
+     t AS (SELECT *, regexp_replace(html, '(?s)<(?:script|style).*?</(?:script|style)>|<[^>]*>|&[a-z]+;', ' ', 'g') AS txt FROM h),
+     g AS (SELECT *, len(regexp_extract_all(txt, '\S+')) AS words, len(regexp_extract_all(txt, '[#*$%|]+')) AS junk FROM t),
+     o AS (SELECT page_id, host, path, CASE WHEN words > 0 THEN (junk * 10 < words)::INT END AS good FROM g),
+     hosts AS (SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
+                      count(good) AS n, coalesce(sum(good), 0) AS good FROM o GROUP BY 1),
+     domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL),
+     suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (sum(good) + 1.0) / (sum(n) + 2) FROM hosts) AS mean FROM hosts GROUP BY ALL),
+     s1 AS (SELECT coalesce(STRENGTH, 2) AS s FROM suffixes WHERE n > 0),
+     m1 AS (SELECT suffix, (good + s * mean) / (n + s) AS mean FROM suffixes, s1),
+     d1 AS (SELECT domain, n, good, mean FROM domains JOIN m1 USING (suffix)),
+     s2 AS (SELECT coalesce(STRENGTH, 2) AS s FROM d1 WHERE n > 0),
+     m2 AS (SELECT domain, (good + s * mean) / (n + s) AS mean FROM d1, s2),
+     h1 AS (SELECT host, n, good, mean FROM hosts JOIN m2 USING (domain)),
+     s3 AS (SELECT coalesce(STRENGTH, 2) AS s FROM h1 WHERE n > 0),
+     m3 AS (SELECT host, n + s AS w, (good + s * mean) / (n + s) AS m FROM h1, s3),
+     b AS (SELECT host, m - 1.645 * sqrt(m * (1 - m) / (w + 1)) AS bound FROM m3),
+     r AS (SELECT page_id, host, path, bound, CASE
+             WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+             WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+             WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+             WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+             WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM o JOIN b USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN bound >= 0.8 THEN 'allow' ELSE 'block' END AS verdict, round(bound, 6) AS bound FROM r""".replace(
+        "STRENGTH", """greatest(2.0, least(1000.0, CASE
+             WHEN sum(mean * (1 - mean) * (n - 1)) > 0 AND sum(n * (good / n - mean) ** 2) > sum(mean * (1 - mean))
+             THEN sum(mean * (1 - mean) * (n - 1)) / (sum(n * (good / n - mean) ** 2) - sum(mean * (1 - mean))) - 1 ELSE 1000.0 END))"""),
+}
