@@ -189,29 +189,39 @@ def fit_lines(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return train([s for s in sequences if s[0]])
 
 
+def judge(t: str, weights, content_share: float = CONTENT_SHARE) -> tuple:
+    """The figures of one text, in the order of ``judge_lines``."""
+    words = WORD.findall(t)
+    n, repeat = len(words), repeated_words(words)
+    lines, counts, again = lines_of(t)
+    label = viterbi(lines, *weights)
+    share = sum(c for c, y in zip(counts, label) if y) / n if n else 0.0
+    failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
+    return n, sum(map(len, words)), len(SYMBOL.findall(t)), again, repeat, share, failed, not failed and share >= content_share
+
+
 def judge_lines(docs: DataFrame, weights, key: str = "doc_id", text: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     content_share, base_failed, kept), one row per row."""
-    emit, move = weights
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def judge(t: str) -> tuple:
-        words = WORD.findall(t)
-        n, repeat = len(words), repeated_words(words)
-        lines, counts, again = lines_of(t)
-        label = viterbi(lines, emit, move)
-        share = sum(c for c, y in zip(counts, label) if y) / n if n else 0.0
-        failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
-        return n, sum(map(len, words)), len(SYMBOL.findall(t)), again, repeat, share, failed, not failed and share >= content_share
-
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share", "base_failed", "kept"]
     types = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = list(zip(*[judge(t.as_py()) for t in b.column("text")])) or [[]] * len(names)
+            found = list(zip(*[judge(t.as_py(), weights, content_share) for t in b.column("text")])) or [[]] * len(names)
             yield pa.record_batch([b.column("key"), *[pa.array(v, t) for v, t in zip(found, types)]], names=["key", *names])
 
     kind = rows.schema["key"].dataType.simpleString()
     out = rows.mapInArrow(run, f"key {kind}, " + ", ".join(f"{c} {'long' if t == pa.int64() else 'double' if t == pa.float64() else 'boolean'}" for c, t in zip(names, types)))
     return out.withColumnRenamed("key", key)
+
+
+def keep_good(docs: DataFrame, weights, text: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([judge(t.as_py() or "", weights, content_share)[-1] for t in b.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

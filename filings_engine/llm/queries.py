@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filings_engine.llm import bpe_tree, host_reputation, line_quality, pii, sharding, simhash, template_decontam
+from filings_engine.llm import bpe_tree, host_reputation, language_id, line_quality, pii, sentence_spans, sharding, simhash, template_decontam, tool_calls
 from filings_engine.llm.common import table
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link_calls(*tool_calls.calls_of_turns(table(spark, sf_dir, "conversations")), tool_calls.SCHEMAS)
+
+
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_spans.repeated_sentences(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), F.size("sentences").cast("long").alias("n_removed"),
+                        F.array_join(F.col("sentences").cast("array<string>"), ",").alias("sentences"), F.col("first_key").alias("first_doc_id"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -21,6 +31,12 @@ def op5_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), language_id.held_out(F.col("doc_id"))
+    found = language_id.identify(docs, language_id.fit_language(docs, ~out))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(*pii.detect(table(spark, sf_dir, "documents")))
 
@@ -38,13 +54,26 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(bpe_tree.encode_texts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_url_filter, op5_template_decontam, op7_pii, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_tree)}
+QUERIES = {f.__name__: f for f in (
+    op1_tool_calls, op2_sentence_spans, op3_sharding, op4_url_filter, op5_template_decontam, op6_language_id, op7_pii, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_tree)}
 
 _HEX = "".join(f"replace(" for _ in range(16))
 _BITS = _HEX + "translate(md5(coalesce(doc_id::varchar, chr(0))), '01', 'gh')" + "".join(
     f", '{'gh'[i] if i < 2 else f'{i:x}'}', '{i:04b}')" for i in (*range(2, 16), 0, 1))
 
 SQL: dict[str, str] = {
+    "op2_sentence_spans": f"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+     s AS (SELECT doc_id, text, [trim(lower(replace(x, chr(10), ' '))) FOR x IN regexp_extract_all(text, '[^.!?\\n]*[.!?]*\\n*')
+                                 IF trim(replace(x, chr(10), ' ')) <> ''] AS l FROM d),
+     r AS (SELECT doc_id, text, i, l[i] AS a, l[i + 1] AS b FROM (SELECT *, unnest(range(1, len(l))) AS i FROM s)),
+     o AS (SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS first_doc_id FROM r
+           WHERE len(string_split(a, ' ')) + len(string_split(b, ' ')) >= {sentence_spans.MIN_WORDS}
+           WINDOW w AS (PARTITION BY a, b ORDER BY doc_id NULLS LAST, i)),
+     g AS (SELECT doc_id, text, first_doc_id, unnest([i - 1, i]) AS sentence FROM o WHERE nth > 1)
+SELECT doc_id, count(DISTINCT sentence) AS n_removed, array_to_string(list_sort(list(DISTINCT sentence)), ',') AS sentences,
+       first(first_doc_id ORDER BY sentence, first_doc_id) AS first_doc_id
+FROM g GROUP BY doc_id, text""",
     "op3_sharding": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_BITS} AS bits, coalesce(strlen(text), 0) AS bytes FROM documents),
      p AS (SELECT r, depth, substr(bits, 1, depth) AS shard, bits, bytes FROM d, range(0, 129) AS t(depth)),
@@ -53,7 +82,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_BITS} AS bits, coalesce(s
 SELECT d.doc_id, s.shard, s.depth::INTEGER AS depth, s.shard_bytes::BIGINT AS shard_bytes, s.shard_rows::BIGINT AS shard_rows,
        s.shard_bytes <= {sharding.LIMIT} AS fits
 FROM d JOIN f USING (r) JOIN s ON s.depth = f.depth AND s.shard = substr(d.bits, 1, f.depth)""",
-    "op4_url_filter": """
+    "op4_url_filter": r"""
 WITH u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
      h AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),

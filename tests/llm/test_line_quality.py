@@ -55,6 +55,8 @@ def test_rows(spark):
     assert len(out) == len(rows)
     kept = {r.doc_id for r in out if r.kept}
     assert kept == {None, *range(20)}
+    stay = L.keep_good(docs, L.fit_lines(docs, labels))
+    assert stay.schema == docs.schema and sorted(str(r.doc_id) for r in stay.collect()) == sorted(str(r.doc_id) for r in out if r.kept)
     by = {r.doc_id: r for r in out}
     assert (by[300].n_words, by[300].base_failed, by[302].word_chars, by[303].n_repeat_words) == (0, True, 1, 50)
     assert by[100].n_symbols == sum(junk.count(c) for c in "#*$%&|<>")
