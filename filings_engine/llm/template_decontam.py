@@ -25,6 +25,8 @@ are judged as one by (id, text); extra columns do not take part.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filings_engine.llm.common import cut_lineage
@@ -44,11 +46,10 @@ NAME = "\u0001"
 def words_of(text: Column) -> Column:
     """Canonical words, names still marked with ``NAME`` and fillers in place."""
     t = F.translate(F.coalesce(text, F.lit("")), NAME, " ")
-    t = F.regexp_replace(t, r"([\p{Ll},;] )(\p{Lu})", "$1" + NAME + "$2")
+    t = F.regexp_replace(t, r" (?<=[\p{Ll},;] )(\p{Lu})", " " + NAME + "$1")
     digits = F.regexp_replace(F.regexp_replace(t, r"(\d)[.,](?=\d)", "$1"), r"(\d)(\p{L})", "$1 $2")
-    t = F.when(t.rlike("[0-9]"), digits).otherwise(t)
-    t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{M}\p{N}" + NAME + "]+", " ")
-    return F.array_remove(F.split(t, " "), "")
+    t = F.when(text.rlike("[0-9]"), digits).otherwise(t)
+    return F.array_remove(F.split(F.lower(t), r"[^a-z0-9\p{L}\p{M}\p{N}" + NAME + "]+"), "")
 
 
 def kind_of(word: Column, before: Column) -> Column:
@@ -58,26 +59,28 @@ def kind_of(word: Column, before: Column) -> Column:
             .when(number(before) & word.isin(UNITS), "<unit>"))
 
 
-def template_hashes(words: Column) -> Column:
-    """Hash of each template word."""
-    plain = F.transform(words, lambda w: F.xxhash64(F.when(w.startswith(NAME), "<name>").otherwise(w)))
+def template_hashes(words: Column, digits: Column) -> Column:
+    """Hash of each template word.  ``digits``: whether any word may start with one."""
+    plain = F.transform(words, lambda w: F.when(w.startswith(NAME), F.xxhash64(F.lit("<name>"))).otherwise(F.xxhash64(w)))
     before = F.concat(F.array(F.lit("")), words)
-    full = F.zip_with(words, F.slice(before, 1, F.greatest(F.size(words), F.lit(0))), lambda w, b: F.xxhash64(F.coalesce(kind_of(w, b), w)))
-    return F.when(F.exists(words, lambda w: w.between("0", "9\uffff")), full).otherwise(plain)
-
+    full = F.zip_with(words, F.slice(before, 1, F.size(words)), lambda w, b: F.xxhash64(F.coalesce(kind_of(w, b), w)))
+    return F.when(digits, full).otherwise(plain)
 
-def shifted(a: Column, by: int) -> Column:
-    return F.slice(a, by + 1, F.greatest(F.size(a) - by, F.lit(0)))
 
+def with_windows(hashed: DataFrame, k: int) -> DataFrame:
+    """hashed(.., h, n: size of h) with ``w``: the hashes of all windows of k entries,
+    built by doubling.  Each level is a projection of its own, so it is evaluated once;
+    entries past the last window are cut off at the end."""
+    def level(k: int, df: DataFrame) -> tuple[DataFrame, str]:
+        if k == 1:
+            return df, "h"
+        df, half = level(k // 2 if k % 2 == 0 else k - 1, df)
+        other, by = (half, k // 2) if k % 2 == 0 else ("h", k - 1)
+        pair = F.zip_with(half, F.slice(other, by + 1, F.col("n")), lambda a, b: F.xxhash64(a, b))
+        return df.withColumn(f"w{k}", pair), f"w{k}"
 
-def window_hashes(h: Column, k: int) -> Column:
-    """Hashes of all windows of k entries, by doubling."""
-    if k == 1:
-        return h
-    half = window_hashes(h, k // 2 if k % 2 == 0 else k - 1)
-    other, by = (half, k // 2) if k % 2 == 0 else (h, k - 1)
-    right = shifted(other, by)
-    return F.zip_with(F.slice(half, 1, F.size(right)), right, lambda a, b: F.xxhash64(a, b))
+    df, name = level(k, hashed)
+    return df.withColumn("w", F.slice(name, 1, F.greatest(F.col("n") - (k - 1), F.lit(0))))
 
 
 def benchmark_windows(items: DataFrame, key: str, text: str, window: int) -> DataFrame:
@@ -105,17 +108,19 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     # the hashing of a short window must agree with the doubling on the documents' side
     known = benchmark_windows(items, item_key, item_text, window)
     lengths = sorted(r.k for r in known.select("k").distinct().collect())       # at most ``window`` values
-    hashes = F.transform("template", lambda w: F.xxhash64(w))
-    by_length = F.coalesce(*[F.when(F.col("k") == k, window_hashes(hashes, k)[0]) for k in lengths]) if lengths else F.lit(None).cast("long")
-    known = cut_lineage(known.withColumn("hash", by_length))
+    known = known.withColumn("h", F.transform("template", lambda w: F.xxhash64(w))).withColumn("n", F.size("h"))
+    sized = [with_windows(known.where(F.col("k") == k), k).withColumn("hash", F.col("w")[0]).select("hash", *known.columns) for k in lengths]
+    known = cut_lineage(reduce(DataFrame.unionByName, sized) if sized else known.withColumn("hash", F.lit(0).cast("long")).limit(0))
     small = known.count() <= broadcast_rows
     index = known.select("item", "at", "k", "hash", "n_words", "n_windows", F.exists("fillers", lambda x: x.isNotNull()).alias("slots"))
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
     found = None
-    hashed = rows.select("key", F.xxhash64("text").alias("row"), template_hashes(words_of(F.col("text"))).alias("h"))
+    hashed = rows.select("key", F.xxhash64("text").alias("row"), F.col("text").rlike("[0-9]").alias("digits"), words_of(F.col("text")).alias("words"))
+    hashed = hashed.select("key", "row", template_hashes(F.col("words"), F.col("digits")).alias("h")).withColumn("n", F.size("h"))
     for k in lengths:
-        w = hashed.select("key", "row", F.posexplode(window_hashes(F.col("h"), k)).alias("pos", "hash"))
+        # outer: a plain one infers a filter on the array, which would be built twice for it
+        w = with_windows(hashed, k).select("key", "row", F.posexplode_outer("w").alias("pos", "hash"))
         side = index.where(F.col("k") == k).drop("k")
         m = w.join(F.broadcast(side) if small else side, "hash").withColumn("k", F.lit(k))
         found = m if found is None else found.unionByName(m)

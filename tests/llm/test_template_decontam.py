@@ -28,10 +28,10 @@ QUESTION = "A train leaves the old station with 40 km to go and Anna waits for i
 
 def test_templates(spark):
     for t in [QUESTION, "", "3.5kg of a,b", "x Yb Zc. New one 7 miles", "été, Édith à 5 m"]:
-        df = spark.createDataFrame([(t,)], "t string").select(T.words_of(F.col("t")).alias("w"))
+        df = spark.createDataFrame([(t,)], "t string").select(T.words_of(F.col("t")).alias("w"), F.col("t").rlike("[0-9]").alias("d"))
         words = df.first().w
         assert words == plain_words(t), t
-        got = df.select(T.template_hashes(F.col("w"))).first()[0]
+        got = df.select(T.template_hashes(F.col("w"), F.col("d"))).first()[0]
         want = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(plain_template(words))], "i int, w string").orderBy("i").select(F.xxhash64("w")).collect()]
         assert got == want, t
 
