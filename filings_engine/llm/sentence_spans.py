@@ -46,7 +46,8 @@ def runs(docs: DataFrame, key: str, text: str, span: int, min_words: int) -> Dat
     parts = [F.slice("s", i + 1, F.greatest(F.size("s") - (span - 1), F.lit(0))) for i in range(span)]
     rows = s.select("key", "row", *[p.alias(f"p{i}") for i, p in enumerate(parts)]).select("key", "row", F.arrays_zip(*[f"p{i}" for i in range(span)]).alias("z"))
     joined = F.transform("z", lambda z: F.struct(F.xxhash64(*[z[f"p{i}"]["h"] for i in range(span)]).alias("hash"), sum((z[f"p{i}"]["n"] for i in range(span)), F.lit(0)).alias("n")))
-    return rows.select("key", "row", F.posexplode(joined).alias("at", "r")).where(F.col("r.n") >= min_words).select("key", "row", "at", "r.hash")
+    # outer: a plain one infers a filter on the array, which would be built twice for it
+    return rows.select("key", "row", F.posexplode_outer(joined).alias("at", "r")).where(F.col("r.n") >= min_words).select("key", "row", "at", "r.hash")
 
 
 def repeated_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
