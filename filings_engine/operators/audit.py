@@ -28,11 +28,10 @@ def request_rate_audit(events: DataFrame, key: str = "user_id", ts: str = "ts",
     us = epoch_micros(ts)
     base = events.select(key, id_col, ts, us.alias("_us"))
     bucket = F.floor(F.col("_us") / F.lit(period_us))
-    member = base.withColumns({"_b": bucket, "_m": F.lit(True)})
-    carried = base.withColumns({"_b": bucket + 1, "_m": F.lit(False)})
+    places = F.array(F.struct(bucket.alias("_b"), F.lit(True).alias("_m")), F.struct((bucket + 1).alias("_b"), F.lit(False).alias("_m")))
     w = (Window.partitionBy(key, "_b").orderBy("_us")
          .rangeBetween(-(period_us - 1), Window.currentRow))
-    counted = (member.unionByName(carried)
+    counted = (base.select("*", F.inline(places))
                .withColumn("n_recent", F.count(F.lit(1)).over(w) - 1)
                .filter("_m"))
     return counted.select(key, id_col, ts, "n_recent", (F.col("n_recent") >= limit).alias("over_limit"))

@@ -15,13 +15,15 @@ TOC_CONTAINERS = ["div", "span"]
 TOC_SKIP_WORD = "part"
 # ---------------------------------------------------------------------------
 
-_WS = r"[\s\x1c-\x1f]"
+#: Unicode white space and the separators that Python strips as well.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(c) -> Column:
     """Python-style strip: Unicode white space at both ends."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, rf"(?U)^{_WS}+|{_WS}+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def text_nodes(nodes: DataFrame) -> DataFrame:
@@ -77,10 +79,14 @@ def _joined(text: str, sep: str, order: str = "pos") -> Column:
 
 # --- H2, H3, H4, H5 --------------------------------------------------------------
 
-def page_text(nodes: DataFrame) -> DataFrame:
-    """H2: stripped non-empty strings joined by newline, document order."""
+def page_text(nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """H2: stripped non-empty strings joined by newline, document order.  With
+    ``pages`` (doc_id), pages without any string keep a row with empty text."""
     t = text_nodes(nodes).select("doc_id", "pos", strip("text").alias("s")).filter(F.col("s") != "")
-    return t.groupBy("doc_id").agg(_joined("s", "\\n").alias("text"))
+    texts = t.groupBy("doc_id").agg(_joined("s", "\\n").alias("text"))
+    if pages is None:
+        return texts
+    return pages.select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def page_images(nodes: DataFrame) -> DataFrame:
@@ -216,4 +222,6 @@ def toc_sections(nodes: DataFrame, ids: DataFrame) -> DataFrame:
                                   strip("text").alias("s"))
          .filter(F.col("s") != ""))
     hit = interval_join(t, sec, "pos", "lo", "hi").filter(F.col("own_parent") != F.col("parent_pos"))
-    return hit.groupBy("doc_id", "id").agg(_joined("s", " ").alias("text"))
+    texts = hit.groupBy("doc_id", "id").agg(_joined("s", " ").alias("text"))
+    # adjacent anchors enclose nothing: an empty section
+    return sec.select("doc_id", "id").join(texts, ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce("text", F.lit("")).alias("text"))

@@ -101,21 +101,22 @@ def json_object(c) -> Column:
     document order, a repeated key keeps its last value, list values as JSON
     text), else null."""
     c = _c(c)
-    shaped = c.startswith("{") & c.endswith("}")
+    # one value and nothing behind it: an array around it holds one element
+    whole = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+    shaped = c.startswith("{") & c.endswith("}") & F.coalesce(whole, F.lit(False))
     return F.when(shaped, F.from_json(c, "map<string,string>", STRICT_JSON))
 
 
 def parse_answers(answers: DataFrame, keys: Sequence[str], attempt: str = "attempt",
-                  content: str = "content") -> DataFrame:
-    """L2: per document the first attempt (in attempt order, at most the
-    first try plus ``MAX_REFORMAT_ATTEMPTS`` re-formats) whose stripped text
-    parses as JSON; when none does, the raw text of the last attempt.
-    Returns ``(*keys, is_json, answer)``; an aggregation, so documents never
-    need sorting."""
+                  content: str = "content", json_attempts: int = MAX_REFORMAT_ATTEMPTS) -> DataFrame:
+    """L2: per document the first attempt (in attempt order) of the first
+    ``json_attempts`` whose stripped text parses as JSON; when none does, the
+    raw text of the last attempt (later attempts are plain-text fallbacks and
+    never read as JSON).  Every document keeps its row.  Returns
+    ``(*keys, is_json, answer)``."""
     keys = list(keys)
-    a = answers.filter(F.col(attempt) <= MAX_REFORMAT_ATTEMPTS + 1).select(
-        *keys, attempt, _strip(F.col(content)).alias("_t"))
-    ok = json_object("_t").isNotNull()
+    a = answers.select(*keys, attempt, _strip(F.col(content)).alias("_t"))
+    ok = json_object("_t").isNotNull() & (F.col(attempt) <= json_attempts)
     first_json = F.min_by(F.when(ok, F.col("_t")), F.when(ok, F.col(attempt)))
     last_raw = F.max_by("_t", attempt)
     return (a.groupBy(*keys).agg(first_json.alias("_j"), last_raw.alias("_r"))

@@ -34,8 +34,8 @@ def _links_rich(spark, d):
     return pl.proxy_filings(ad.identifiers(spark, d), ad.filings(spark, d), None, START, END)
 
 
-def q_proxy_links(spark, d):
-    return pl.find_proxy_filings(ad.identifiers(spark, d), ad.filings(spark, d), None, START, END)
+def q_proxy_links(spark, d, sort=True):
+    return pl.find_proxy_filings(ad.identifiers(spark, d), ad.filings(spark, d), None, START, END, sort)
 
 
 def q_links_view(spark, d):
@@ -43,11 +43,11 @@ def q_links_view(spark, d):
 
 
 def q_links_by_year(spark, d):
-    return cov.pivot_links(flt.links_view(q_proxy_links(spark, d)), YEARS, on_duplicate="latest")
+    return cov.pivot_links(flt.links_view(q_proxy_links(spark, d, sort=False)), YEARS, on_duplicate="latest")
 
 
 def q_coverage_gaps(spark, d):
-    return cov.filing_coverage(q_proxy_links(spark, d), START, END)
+    return cov.filing_coverage(q_proxy_links(spark, d, sort=False), START, END)
 
 
 def q_coverage_alerts(spark, d):
@@ -187,7 +187,7 @@ def _page_nodes(spark, d, **projection):
 
 
 def _filing_nodes(spark, d, reuse=False, **projection):
-    nodes = html_nodes(spread(ad.filing_pages(spark, d), "doc_id", force=True), **projection)
+    nodes = html_nodes(spread(ad.filing_pages(spark, d), "doc_id", always=True), **projection)
     # a node table read by many branches is written once (shared checkpoint
     # folder) instead of re-parsed per branch
     return materialize(nodes, as_table=True) if reuse else nodes
@@ -199,7 +199,8 @@ def _numbered(df, order_col, out):
 
 
 def q_page_text(spark, d):
-    return hx.page_text(_page_nodes(spark, d, **ONLY_TEXT)).withColumnRenamed("doc_id", "page_id")
+    pages = ad.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"))
+    return hx.page_text(_page_nodes(spark, d, **ONLY_TEXT), pages).withColumnRenamed("doc_id", "page_id")
 
 
 def q_page_links(spark, d):
@@ -227,7 +228,7 @@ def q_statement_files(spark, d):
 
 
 def _statement(spark, d):
-    nodes = materialize(html_nodes(spread(ad.statement_pages(spark, d), "doc_id", force=True), **STATEMENT),
+    nodes = materialize(html_nodes(spread(ad.statement_pages(spark, d), "doc_id", always=True), **STATEMENT),
                         as_table=True)
     return stm.statement_frame(nodes)
 
@@ -257,8 +258,8 @@ def q_proxy_texts(spark, d):
     rich = _links_rich(spark, d)
     chosen = pl.latest_text_per_ticker(rich)
     pages = ad.filing_pages(spark, d).join(chosen.select(F.col("doc_url").alias("url")), "url", "left_semi")
-    nodes = html_nodes(spread(pages, "doc_id", force=True), **ONLY_TEXT)
-    texts = hx.page_text(nodes).join(pages.select("doc_id", F.col("url").alias("doc_url")), "doc_id")
+    nodes = html_nodes(spread(pages, "doc_id", always=True), **ONLY_TEXT)
+    texts = hx.page_text(nodes, pages).join(pages.select("doc_id", F.col("url").alias("doc_url")), "doc_id")
     return pl.proxy_texts(rich, texts.select("doc_url", "text"), TEXT_MARKER)
 
 
@@ -268,7 +269,7 @@ def q_lite_prompts(spark, d):
     links = _links_rich(spark, d).select("doc_url", flt.summary_url(F.col("doc_url")).alias("url"))
     pages = ad.statement_pages(spark, d).join(links.select("url"), "url", "left_semi")
     # text, images and tables each read the node table: parse once
-    nodes = materialize(html_nodes(spread(pages, "doc_id", force=True), **TABLE_TEXT), as_table=True)
+    nodes = materialize(html_nodes(spread(pages, "doc_id", always=True), **TABLE_TEXT), as_table=True)
     docs = (hx.extract_documents(pages, nodes).join(pages.select("doc_id", "url"), "doc_id")
             .join(links, "url").select("doc_url", "document.text", "document.tables"))
     return pr.flatten_messages(sm.lite_answer_prompts(docs, ["doc_url"]), ["doc_url"])
@@ -285,7 +286,7 @@ def q_company_statements(spark, d):
     latest = fx.latest_filing_of_form(filings, "10-K").select(
         F.regexp_replace(archive_url(F.col("cik"), F.col("accessionNumber"), F.lit("")), r"/$", "").alias("folder"))
     pages = pages.withColumn("folder", folder).join(latest, "folder", "left_semi").drop("folder")
-    nodes = materialize(html_nodes(spread(pages, "doc_id", force=True), **STATEMENT), as_table=True)
+    nodes = materialize(html_nodes(spread(pages, "doc_id", always=True), **STATEMENT), as_table=True)
     values, _ = fu.company_statements(filings, summary, nodes, pages.select("doc_id", "url"), statement_keys(spark))
     return _rounded(values)
 

@@ -315,7 +315,7 @@ SQL = {
       SELECT p.ticker, p.doc_url,
              chr(10) || 'Part I' || chr(10) || 'Summary' || chr(10) || toc.t || chr(10) || secs.t || chr(10)
                || 'End of filing ' || CAST(p.o_orderkey AS VARCHAR) AS text
-      FROM pick p JOIN toc ON toc.doc_id = p.o_orderkey JOIN secs ON secs.doc_id = p.o_orderkey""",
+      FROM pick p LEFT JOIN toc ON toc.doc_id = p.o_orderkey LEFT JOIN secs ON secs.doc_id = p.o_orderkey""",
     "lite_prompts": f"""{LINKS},
       sp AS (SELECT o_orderkey AS k, left(o_orderpriority, 1) AS p1,
                     strftime(o_orderdate, '%b. %-d, %Y') AS d0,

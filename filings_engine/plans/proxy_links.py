@@ -69,7 +69,7 @@ def latest_text_per_ticker(rich_links: DataFrame, keep: str = "oldest") -> DataF
 def proxy_texts(links: DataFrame, texts: DataFrame, marker: str, keep: str = "oldest") -> DataFrame:
     """H6: ``(ticker, doc_url, text)``: per ticker one filing (A8), the text
     of its document (``texts``: ``(doc_url, text)``, e.g. H2 of the fetched
-    pages) cut after the marker (P15)."""
+    pages) cut after the marker (P15); null when the page is missing."""
     from filings_engine.functions.strings import after_marker
-    return (latest_text_per_ticker(links, keep).join(texts, "doc_url")
+    return (latest_text_per_ticker(links, keep).join(texts, "doc_url", "left")
             .select("ticker", "doc_url", after_marker(F.col("text"), marker).alias("text")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,12 +41,18 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+#: Estimated bytes of one partition made by ``spread``.
+SPREAD_BYTES = 64 << 20
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     Only when the session names none (local tests) is a scratch folder set.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="fe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -85,19 +92,16 @@ def materialize(df: DataFrame, eager: bool = True, as_table: bool = False,
     return spark.table(name)
 
 
-def spread(df: DataFrame, key: str | None = None, partitions: int | None = None,
-           force: bool = False) -> DataFrame:
-    """Hash-repartition a CPU-heavy input (parsing, regex over whole texts)
-    over the cluster when its source gives fewer splits than there are task
-    slots (e.g. one large row group).  A well-split scan is left alone, so
-    at scale this adds no shuffle.  ``force`` repartitions regardless (after
-    a small shuffle that adaptive execution would coalesce into one task)."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        splits = None if force else df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Connect session exposes no RDDs
-        return df.repartition(partitions, key) if (force and partitions and key) else df
-    target = partitions or 4 * slots     # several tasks per slot balance uneven documents
-    if not force and splits >= slots:
+def spread(df: DataFrame, key: str | None = None, always: bool = False) -> DataFrame:
+    """Repartition a CPU-heavy input (parsing, regex over whole texts) whose
+    source gives fewer splits than there are task slots (e.g. one large row
+    group).  A well-split scan is left alone.  ``always`` is for inputs behind a
+    small shuffle that adaptive execution would coalesce into one task; the
+    partitions then follow the estimated size, ``SPREAD_BYTES`` each, and are
+    never fewer than a few per slot."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if not always and df.rdd.getNumPartitions() >= slots:
         return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    target = max(4 * slots, -(-size // SPREAD_BYTES))
     return df.repartition(target, key) if key else df.repartition(target)

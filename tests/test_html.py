@@ -47,3 +47,18 @@ def test_contents_and_sections(spark):
     sec = {r.id: r.text for r in hx.toc_sections(nodes, ids).collect()}
     # 'b' -> next id 'zz' is missing: skipped; last 'a' runs to the last sibling
     assert sec == {"a": "alpha beta B gamma deep delta"}
+
+
+def test_bad_markup_keeps_the_page(spark):
+    pages = spark.createDataFrame([(1, '<p>a<img src="http://[bad">b<![foo[ x ]]>c</p>', "http://h.org/"), (2, None, None), (3, "<p> </p>", None)], "doc_id int, html string, url string")
+    nodes = html_nodes(pages)
+    text = {r.doc_id: r.text for r in hx.page_text(nodes, pages).collect()}
+    assert set(text) == {1, 2, 3} and text[1].split("\n")[:2] == ["a", "b"] and text[2] == text[3] == ""
+    assert hx.page_images(nodes).count() == 0
+
+
+def test_adjacent_anchors_give_an_empty_section(spark):
+    pages = spark.createDataFrame([(1, '<div><a id="a"></a><a id="b"></a><p>text</p></div>')], "doc_id int, html string")
+    nodes = html_nodes(pages, url=None)
+    ids = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "doc_id int, k int, id string")
+    assert {r.id: r.text for r in hx.toc_sections(nodes, ids).collect()} == {"a": "", "b": "text"}

@@ -67,3 +67,19 @@ def test_tfidf_scores_rank_term_overlap(spark):
                                "doc_id long, chunk_id long, chunk string")
     s = {r.chunk_id: r.score for r in rt.tfidf_scores(ch, "What were the bonus targets?").collect()}
     assert s[0] > 0 and s[1] == 0.0 and s[2] is None
+
+
+def test_answers_beyond_the_json_attempts(spark):
+    rows = [(1, 7, '{"a": "x"}'), (2, 1, '{"a": "x"} trailing }'), (2, 2, '{"a": "y"}'), (3, 1, "junk"), (3, 6, '{"a": "x"}'), (4, 1, '{"a": 1}, {"b": 2}'), (5, 1, None)]
+    parsed = pr.parse_answers(spark.createDataFrame(rows, "doc_id int, attempt int, content string"), ["doc_id"])
+    got = {r.doc_id: (r.is_json, r.answer) for r in parsed.collect()}
+    assert got == {1: (False, '{"a": "x"}'), 2: (True, '{"a": "y"}'), 3: (False, '{"a": "x"}'), 4: (False, '{"a": 1}, {"b": 2}'), 5: (False, None)}
+    assert pr.parse_answers(spark.createDataFrame(rows, "doc_id int, attempt int, content string"), ["doc_id"], json_attempts=7).where("doc_id = 1").first().is_json
+
+
+def test_chunks_of_any_overlap(spark):
+    text = "".join(chr(97 + i % 26) for i in range(57)) + "\n😀z"
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    for size, overlap in ((10, 3), (10, 9), (7, 0), (100, 40)):
+        got = [r.chunk for r in rt.chunk_text(df, size=size, overlap=overlap).orderBy("chunk_id").collect()]
+        assert got == [text[i:i + size] for i in range(0, len(text), size - overlap)]
