@@ -1,8 +1,8 @@
 """Document jobs over the H1 node table.
 
-Containment ("descendants of X") uses each node's ancestor ``path``: an
-``explode`` + equi-join (or an array filter when only the ancestor's tag
-matters), linear in nodes x depth, instead of a quadratic interval join.
+Containment ("descendants of X") is an interval of pre-order positions: a
+binned interval join, whose work follows the matches, never a pair of every
+node with every element of a page.
 """
 
 from __future__ import annotations
@@ -32,31 +32,6 @@ def text_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind") == "text")
 
 
-def ancestors(nodes: DataFrame, tags: list[str] | None = None) -> DataFrame:
-    """J9 helper: one row per (node, ancestor), optionally only ancestors
-    with the given tags: ``(<node columns>, anc_pos, anc_tag)``.  Indexed
-    tags use their own ancestor lists (a plain explode)."""
-    from filings_engine.operators.html_nodes import INDEXED_TAGS
-    if tags and all(t in INDEXED_TAGS for t in tags) and all(f"{t}_path" in nodes.columns for t in tags):
-        parts = [F.transform(f"{t}_path", lambda p, t=t: F.struct(p.alias("anc_pos"), F.lit(t).alias("anc_tag")))
-                 for t in tags]
-        if len(tags) == 1:
-            return nodes.select("*", F.explode(f"{tags[0]}_path").alias("anc_pos")).withColumn(
-                "anc_tag", F.lit(tags[0]))
-        return nodes.select("*", F.inline(F.concat(*parts)))
-    z = F.arrays_zip(F.col("path").alias("anc_pos"), F.col("path_tags").alias("anc_tag"))
-    if tags:
-        z = F.filter(z, lambda a: a["anc_tag"].isin(tags))
-    return nodes.select("*", F.inline(z))
-
-
-def descendants(nodes: DataFrame, outer: DataFrame, outer_pos: str = "pos") -> DataFrame:
-    """Nodes inside each ``outer`` element (equi-join on the ancestor
-    position).  ``outer`` carries ``doc_id`` and ``outer_pos``."""
-    o = outer.withColumnRenamed(outer_pos, "anc_pos")
-    return ancestors(nodes).join(o, ["doc_id", "anc_pos"])
-
-
 def interval_join(points: DataFrame, intervals: DataFrame, pos: str, lo: str, hi: str,
                   key: str = "doc_id", bin_size: int = 64) -> DataFrame:
     """J9 as a binned range join: points with ``lo < pos < hi`` of the same
@@ -72,6 +47,21 @@ def interval_join(points: DataFrame, intervals: DataFrame, pos: str, lo: str, hi
             .drop("_bin"))
 
 
+def descendants(nodes: DataFrame, outer: DataFrame) -> DataFrame:
+    """Nodes inside each ``outer`` element ``(doc_id, outer_pos,
+    outer_end, ...)``; a node inside nested outer elements has a row for each."""
+    o = outer.withColumn("_hi", F.col("outer_end") + 1)
+    return interval_join(nodes, o, "pos", "outer_pos", "_hi").drop("_hi")
+
+
+def element_texts(nodes: DataFrame, elements: DataFrame, sep: str = "") -> DataFrame:
+    """``(doc_id, outer_pos, text)``: the strings inside each element
+    ``(doc_id, outer_pos, outer_end)`` joined in document order; an element
+    without strings has no row."""
+    strings = text_nodes(nodes).select("doc_id", "pos", "text")
+    return descendants(strings, elements).groupBy("doc_id", "outer_pos").agg(_joined("text", sep).alias("text"))
+
+
 def _joined(text: str, sep: str, order: str = "pos") -> Column:
     """Strings of a group joined by ``sep`` in ``order`` (ordered listagg)."""
     return F.expr(f"listagg({text}, '{sep}') WITHIN GROUP (ORDER BY {order})")
@@ -102,7 +92,7 @@ def page_tables(nodes: DataFrame) -> DataFrame:
     tables without text are dropped."""
     t = (text_nodes(nodes).select("doc_id", "pos", "table_path", strip("text").alias("s"))
          .filter(F.col("s") != ""))
-    a = ancestors(t, ["table"]).select("doc_id", F.col("anc_pos").alias("table_pos"), "pos", "s")
+    a = t.select("doc_id", F.explode("table_path").alias("table_pos"), "pos", "s")
     return a.groupBy("doc_id", "table_pos").agg(_joined("s", " ").alias("text"))
 
 
@@ -133,12 +123,20 @@ def extract_documents(pages: DataFrame, nodes: DataFrame, doc_id: str = "doc_id"
 
 # --- H7: table-of-contents entries -------------------------------------------
 
-def element_texts(nodes: DataFrame, tags: list[str] | None = None, sep: str = "") -> DataFrame:
-    """``(doc_id, anc_pos, text)``: each element's strings joined (``.text``)."""
-    cols = [f"{t}_path" for t in (tags or [])]
-    keep = cols if tags and all(c in nodes.columns for c in cols) else ["path", "path_tags"]
-    a = ancestors(text_nodes(nodes).select("doc_id", "pos", *keep, "text"), tags)
-    return a.groupBy("doc_id", "anc_pos").agg(_joined("text", sep).alias("text"))
+def contents_heading(nodes: DataFrame, heading: str = TOC_HEADING) -> DataFrame:
+    """``(doc_id, toc_pos)``: the first div/span whose joined strings hold the
+    heading, also when it is split over several elements.  The heading's places
+    in the page's joined strings are compared with the elements' offsets."""
+    n = len(heading)
+    pages = (text_nodes(nodes).groupBy("doc_id").agg(_joined("text", "").alias("t"))
+             .filter(F.col("t").contains(heading)))
+    before = F.slice(F.split("t", f"\\Q{heading}\\E", -1), 1, F.size(F.split("t", f"\\Q{heading}\\E", -1)) - 1)
+    places = F.aggregate(before, F.array().cast("array<int>"), lambda acc, piece: F.array_append(
+        acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + n, F.lit(0)) + F.length(piece)))
+    places = pages.select("doc_id", places.alias("places"))
+    boxes = nodes.filter(F.col("tag").isin(TOC_CONTAINERS)).select("doc_id", "pos", "text_start", "text_end")
+    holds = F.exists("places", lambda p: (p >= F.col("text_start")) & (p + n <= F.col("text_end")))
+    return boxes.join(places, "doc_id").filter(holds).groupBy("doc_id").agg(F.min("pos").alias("toc_pos"))
 
 
 def toc_entries(nodes: DataFrame) -> DataFrame:
@@ -147,36 +145,32 @@ def toc_entries(nodes: DataFrame) -> DataFrame:
     The contents heading is the first div/span whose text holds the heading
     phrase; every table after it is read (no break); a row with at least two
     cells, a non-empty first cell not containing the skip word, gives value,
-    title and the hrefs of the second cell with ``#`` removed."""
-    heads = (element_texts(nodes, TOC_CONTAINERS).filter(F.col("text").contains(TOC_HEADING))
-             .groupBy("doc_id").agg(F.min("anc_pos").alias("toc_pos")))
-    tables = (nodes.filter(F.col("tag") == "table").select("doc_id", F.col("pos").alias("table_pos"))
-              .join(heads, "doc_id").filter(F.col("table_pos") > F.col("toc_pos")))
-    rows = (ancestors(nodes.filter(F.col("tag") == "tr").select("doc_id", "pos", "table_path"), ["table"])
-            .select("doc_id", F.col("anc_pos").alias("table_pos"), F.col("pos").alias("row_pos"))
-            .join(tables.select("doc_id", "table_pos"), ["doc_id", "table_pos"]))
-    cells = (ancestors(nodes.filter(F.col("tag") == "td").select("doc_id", "pos", "tr_path"), ["tr"])
-             .select("doc_id", F.col("anc_pos").alias("row_pos"), F.col("pos").alias("cell_pos")))
-    w = Window.partitionBy("doc_id", "row_pos").orderBy("cell_pos")
-    cells = cells.withColumns({"cell_no": F.row_number().over(w), "n_cells": F.count(F.lit(1)).over(
-        Window.partitionBy("doc_id", "row_pos"))}).filter((F.col("cell_no") <= 2) & (F.col("n_cells") >= 2))
-    ctext = element_texts(nodes, ["td"]).select("doc_id", F.col("anc_pos").alias("cell_pos"), "text")
-    cells = cells.join(ctext, ["doc_id", "cell_pos"], "left").withColumn("text", strip(F.coalesce("text", F.lit(""))))
-    anchors_with_href = nodes.filter((F.col("tag") == "a") & F.col("attrs").getItem("href").isNotNull()).select(
-        "doc_id", "pos", F.col("attrs")["href"].alias("href"), "td_path")
-    hrefs = (ancestors(anchors_with_href, ["td"])
-             .select("doc_id", F.col("anc_pos").alias("cell_pos"), "pos",
-                     F.replace(strip("href"), F.lit("#"), F.lit("")).alias("id")))
-    hrefs = (hrefs.groupBy("doc_id", "cell_pos")
-             .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_h"))
-             .select("doc_id", "cell_pos", F.transform("_h", lambda h: h["id"]).alias("ids")))
-    first = cells.filter("cell_no = 1").select("doc_id", "row_pos", F.col("text").alias("value"))
-    second = (cells.filter("cell_no = 2").join(hrefs, ["doc_id", "cell_pos"], "left")
-              .select("doc_id", "row_pos", F.col("text").alias("title"),
-                      F.coalesce("ids", F.array().cast("array<string>")).alias("ids")))
-    entries = (rows.join(first, ["doc_id", "row_pos"]).join(second, ["doc_id", "row_pos"])
-               .filter((F.col("value") != "") & ~F.lower("value").contains(TOC_SKIP_WORD)))
-    return entries.select("doc_id", "table_pos", "row_pos", "value", "title", "ids")
+    title and the hrefs of the second cell with ``#`` removed.
+
+    Strings and links meet the two cells in one interval join, and one
+    aggregation per row builds the entry."""
+    rows = nodes.filter((F.col("tag") == "tr") & (F.size("cells") >= 2)).select(
+        "doc_id", F.col("pos").alias("row_pos"), "cells", "cell_ends", "table_path")
+    rows = rows.join(contents_heading(nodes), "doc_id").select(
+        "doc_id", "row_pos", "cells", "cell_ends",
+        F.filter("table_path", lambda t: t > F.col("toc_pos")).alias("tables")).filter(F.size("tables") > 0)
+    cells = rows.select("doc_id", "row_pos", "tables", F.posexplode(F.arrays_zip(
+        F.col("cells").alias("outer_pos"), F.col("cell_ends").alias("outer_end"))).alias("cell_no", "c")).select(
+        "doc_id", "row_pos", "tables", "cell_no", "c.*")
+    href = F.when(F.col("tag") == "a", F.col("attrs")["href"])
+    parts = (nodes.filter((F.col("kind") == "text") | href.isNotNull())
+             .select("doc_id", "pos", F.when(F.col("kind") == "text", F.col("text")).alias("text"),
+                     F.replace(strip(href), F.lit("#"), F.lit("")).alias("id")))
+    inside = descendants(parts, cells).select(
+        "doc_id", "row_pos", "tables", "pos", F.when(F.col("cell_no") == 0, F.col("text")).alias("first"),
+        F.when(F.col("cell_no") == 1, F.col("text")).alias("second"),
+        F.when((F.col("cell_no") == 1) & F.col("id").isNotNull(), F.struct("pos", "id")).alias("link"))
+    entries = inside.groupBy("doc_id", "row_pos").agg(
+        F.first("tables").alias("tables"), strip(_joined("first", "")).alias("value"),
+        F.coalesce(strip(_joined("second", "")), F.lit("")).alias("title"),
+        F.transform(F.array_sort(F.collect_list("link")), lambda x: x["id"]).alias("ids"))
+    entries = entries.filter((F.col("value") != "") & ~F.lower("value").contains(TOC_SKIP_WORD))
+    return entries.select("doc_id", F.explode("tables").alias("table_pos"), "row_pos", "value", "title", "ids")
 
 
 def toc_ids(entries: DataFrame) -> DataFrame:

@@ -38,6 +38,15 @@ METRICS_SYSTEM = (ANALYST_SYSTEM + " Your goal is to return the metrics used for
 EXTRACT_SYSTEM = ANALYST_SYSTEM + " Your goal is to extract data."
 TARGETS_QUESTION = ("For each of these metrics {metrics}, please give me the proxy target and actual "
                     "values. Keep your response as short as possible.")
+REFORMAT_SYSTEM = """You are an expert computer scientiest. Your task is to help me extract the following data in JSON format. Return your answer in JSON format return it as a JSON object:
+        
+        **CEO name**
+        **Year covered**
+        **Names of metrics used to evaluate performance**
+        **Total CEO Compensation $**
+
+        If any information is not found in the provided text, mark it as "NA". Please do not start your response with "json", and instead just return the dictionary."""
+DATA_PREFIX = "Data:"
 QUERY_PREFIX, CONTEXT_PREFIX = "Query: ", "\n Relevant texts:"
 # answer routing: (substring of the lower-cased key, output field); first hit wins
 ANSWER_ROUTES = [("ceo name", "CEO"), ("year", "Year Covered"), ("metric", "Metrics"),
@@ -83,6 +92,13 @@ def metric_targets_prompts(metric_answers: DataFrame, contexts: DataFrame, keys:
     return j.select(*keys, conversation(EXTRACT_SYSTEM, user_message(q, context)).alias(out))
 
 
+def reformat_prompts(parsed: DataFrame, keys: Sequence[str], answer: str = "answer", out: str = "messages") -> DataFrame:
+    """L1 for answers that are no JSON object (L2 output of the first
+    attempts with ``is_json`` false): one conversation that asks for the data of the raw answer."""
+    user = F.concat(F.lit(DATA_PREFIX), F.coalesce(_c(answer), F.lit("")))
+    return parsed.filter(~F.col("is_json")).select(*keys, conversation(REFORMAT_SYSTEM, user).alias(out))
+
+
 def flatten_messages(df: DataFrame, keys: Sequence[str], messages: str = "messages") -> DataFrame:
     """``(*keys, turn, role, content)`` rows of a conversation column."""
     return (df.select(*keys, F.posexplode(messages).alias("turn", "m"))

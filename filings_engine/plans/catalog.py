@@ -166,20 +166,26 @@ def q_answer_fields(spark, d):
     return pr.answer_fields(parsed, ["doc_id"])
 
 
+def q_reformat_prompts(spark, d):
+    """L1 for the first answers that did not parse: one extraction conversation each."""
+    parsed = pr.parse_answers(ad.model_answers(spark, d).filter("attempt = 0"), ["doc_id"])
+    return pr.flatten_messages(pr.reformat_prompts(parsed, ["doc_id"]), ["doc_id"])
+
+
 def q_rate_audit(spark, d):
     ev = ad.table(spark, d, "events")
     return au.request_rate_audit(ev, "user_id", "ts", limit=10, period_us=3_600_000_000)
 
 
 # parser projections: each job asks only for the nodes and columns it reads
-ONLY_TEXT = dict(elements=[], id_elements=False, blank_text=False, paths=[], generic_path=False)
-ONLY_LINKS = dict(elements=["a"], id_elements=False, text=False, paths=[], generic_path=False)
-ONLY_IMAGES = dict(elements=["img"], id_elements=False, text=False, paths=[], generic_path=False)
-TABLE_TEXT = dict(elements=[], id_elements=False, blank_text=False, paths=["table"], generic_path=False)
-CONTENTS = dict(elements=["div", "span", "table", "tr", "td", "a"], paths=["table", "tr", "td", "div", "span"],
-                generic_path=False)
-STATEMENT = dict(paths=["table", "tr", "td", "th"], generic_path=False)
-
+TEXT_COLUMNS = ["pos", "kind", "text"]
+ONLY_TEXT = dict(elements=[], id_elements=False, blank_text=False, columns=TEXT_COLUMNS)
+ONLY_LINKS = dict(elements=["a"], id_elements=False, text=False, columns=["pos", "tag", "attrs"])
+ONLY_IMAGES = dict(elements=["img"], id_elements=False, text=False, columns=["pos", "tag", "link"])
+TABLE_TEXT = dict(elements=["img"], id_elements=False, blank_text=False, columns=[*TEXT_COLUMNS, "tag", "link", "table_path"])
+CONTENTS = dict(elements=["div", "span", "tr", "a"],
+                columns=["pos", "end_pos", "parent_pos", "parent_end", "kind", "tag", "attrs", "text", "text_start", "text_end",
+                         "cells", "cell_ends", "table_path"])
 
 def _page_nodes(spark, d, **projection):
     pages = ad.table(spark, d, "pages").withColumnRenamed("page_id", "doc_id")
@@ -228,9 +234,9 @@ def q_statement_files(spark, d):
 
 
 def _statement(spark, d):
-    nodes = materialize(html_nodes(spread(ad.statement_pages(spark, d), "doc_id", always=True), **STATEMENT),
-                        as_table=True)
-    return stm.statement_frame(nodes)
+    pages = ad.statement_pages(spark, d)
+    nodes = materialize(html_nodes(spread(pages, "doc_id", always=True), **stm.STATEMENT_NODES), as_table=True)
+    return stm.statement_frame(nodes, ad.order_ids(spark, d))
 
 
 def _rounded(values):
@@ -275,20 +281,25 @@ def q_lite_prompts(spark, d):
     return pr.flatten_messages(sm.lite_answer_prompts(docs, ["doc_url"]), ["doc_url"])
 
 
-def q_company_statements(spark, d):
-    """statements of every company's latest 10-K (summary -> key match ->
-    statement URL -> page -> values, de-duplicated).  Only the pages of
-    those filings are parsed."""
-    filings = ad.filings(spark, d)
+def _company_statements(spark, d):
+    """the three statements of every company's latest 10-K (summary -> key
+    match -> statement address -> page -> values, de-duplicated).  Only the
+    wanted pages are rendered and parsed."""
+    filings, keys = ad.filings(spark, d), statement_keys(spark)
     summary = ef.parse_filing_summary(ad.filing_summaries(spark, d), key_cols=["accession"])
-    pages = ad.statement_pages(spark, d)
-    folder = F.regexp_replace("url", r"/[^/]*$", "")
-    latest = fx.latest_filing_of_form(filings, "10-K").select(
-        F.regexp_replace(archive_url(F.col("cik"), F.col("accessionNumber"), F.lit("")), r"/$", "").alias("folder"))
-    pages = pages.withColumn("folder", folder).join(latest, "folder", "left_semi").drop("folder")
-    nodes = materialize(html_nodes(spread(pages, "doc_id", always=True), **STATEMENT), as_table=True)
-    values, _ = fu.company_statements(filings, summary, nodes, pages.select("doc_id", "url"), statement_keys(spark))
-    return _rounded(values)
+    wanted = fu.wanted_statements(filings, summary, keys)
+    pages = ad.all_statement_pages(spark, d).join(wanted.select("url"), "url", "left_semi")
+    pages = materialize(spread(pages, "doc_id", always=True), as_table=True)
+    nodes = materialize(html_nodes(spread(pages, "doc_id"), **stm.STATEMENT_NODES), as_table=True)
+    return fu.company_statements(filings, summary, nodes, pages.select("doc_id", "url"), keys)
+
+
+def q_company_statements(spark, d):
+    return _rounded(_company_statements(spark, d)[0])
+
+
+def q_company_statement_errors(spark, d):
+    return _company_statements(spark, d)[1]
 
 
 def q_identifiers_parsed(spark, d):
@@ -340,6 +351,8 @@ QUERIES = {
     "proxy_texts": q_proxy_texts,
     "lite_prompts": q_lite_prompts,
     "company_statements": q_company_statements,
+    "company_statement_errors": q_company_statement_errors,
+    "reformat_prompts": q_reformat_prompts,
     "identifiers_parsed": q_identifiers_parsed,
     "submissions_parsed": q_submissions_parsed,
 }

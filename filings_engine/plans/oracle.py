@@ -140,7 +140,7 @@ def tfidf_ranked(source: str, question: str, top: int) -> str:
 TOKEN_RE = "'[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\t\\n\\x0B\\f\\r ]'"
 
 # Prompt texts restated for the oracle (same fixed values as the operator).
-from filings_engine.operators.prompts import ANALYST_SYSTEM, SUMMARY_QUESTION  # noqa: E402
+from filings_engine.operators.prompts import ANALYST_SYSTEM, REFORMAT_SYSTEM, SUMMARY_QUESTION  # noqa: E402
 from filings_engine.plans.summaries import LITE_QUESTION, LITE_SYSTEM  # noqa: E402
 
 ORDER_LINES = f"""ol AS (
@@ -176,16 +176,22 @@ STATEMENT_LINES = """sl AS (
          'us-gaap_P' || CAST(l_partkey AS VARCHAR) AS concept, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS qty,
          l_extendedprice AS price
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-good AS (SELECT * FROM sl WHERE NOT (doc_id % 101 = 0 OR (doc_id % 103 = 0 AND p1 <> '2'))),
+good AS (SELECT * FROM sl WHERE NOT (doc_id % 89 = 0 OR doc_id % 101 = 0 OR (doc_id % 103 = 0 AND p1 <> '2'))),
 vals AS (
-  SELECT doc_id, r AS "row", concept, CAST(0 AS INTEGER) AS period, odate AS period_end,
+  SELECT doc_id, r AS "row", concept, CAST(0 AS INTEGER) AS period, odate AS period_end, p1 = '2' AS special,
          CASE WHEN p1 = '2' OR r = 2 THEN NULL ELSE round(qty * CASE WHEN p1 = '1' THEN 1000 ELSE 1 END, 6) END AS value
   FROM good
   UNION ALL
-  SELECT doc_id, r, concept, CAST(1 AS INTEGER), CAST(odate - INTERVAL 365 DAY AS DATE),
+  SELECT doc_id, r, concept, CAST(1 AS INTEGER), CAST(odate - INTERVAL 365 DAY AS DATE), p1 = '2',
          CASE WHEN p1 = '2' THEN NULL ELSE round(-price * CASE WHEN p1 = '1' THEN 1000 ELSE 1 END, 6) END
   FROM good)"""
 
+# the three statements of each latest 10-K (always priority 3) and whether a page is there
+WANTED = """wanted AS (
+  SELECT cik, k, 'balance_sheet' AS statement, CASE WHEN k % 16 < (k + 3) % 16 THEN 'page' ELSE 'no page' END AS state FROM latest
+  UNION ALL SELECT cik, k, 'income_statement', 'page' FROM latest
+  UNION ALL SELECT cik, k, 'cash_flow_statement', CASE WHEN k % 7 = 0 THEN 'no statement file' ELSE 'page' END FROM latest)"""
+
 SQL = {
     "proxy_links": f"{LINKS} SELECT {LINK_COLS} FROM links",
     "links_view": f"{LINKS} {VIEW}",
@@ -299,8 +305,9 @@ SQL = {
       keep AS (SELECT doc_id, min("row") AS "row" FROM vec GROUP BY doc_id, v0, v1)
       SELECT v.* FROM vals v SEMI JOIN keep k ON v.doc_id = k.doc_id AND v."row" = k."row" """,
     "statement_errors": """SELECT o_orderkey AS doc_id,
-        CASE WHEN o_orderkey % 101 = 0 THEN 'unparsable date' ELSE 'more cells than dates' END AS reason
-      FROM orders WHERE (o_orderkey % 101 = 0 OR (o_orderkey % 103 = 0 AND left(o_orderpriority, 1) <> '2'))
+        CASE WHEN o_orderkey % 89 = 0 THEN 'empty' WHEN o_orderkey % 101 = 0 THEN 'unparsable date'
+             ELSE 'more cells than dates' END AS reason
+      FROM orders WHERE (o_orderkey % 89 = 0 OR o_orderkey % 101 = 0 OR (o_orderkey % 103 = 0 AND left(o_orderpriority, 1) <> '2'))
         AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
     "proxy_texts": f"""{LINKS},
       pick AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY ticker
@@ -338,8 +345,8 @@ SQL = {
       ctx AS (SELECT k,
                 array_to_string(list_filter(parts, lambda x: regexp_matches(x, '\\p{{Nd}}')), ' ') AS lines,
                 array_to_string(parts, ' ') AS tab FROM page),
-      fullctx AS (SELECT k, lines || CASE WHEN regexp_matches(tab, '\\b2024\\b|\\b20\\s24\\b') THEN ''
-                                       ELSE ' ' || tab END AS context FROM ctx)
+      fullctx AS (SELECT k, CASE WHEN k % 89 = 0 THEN '' ELSE lines || CASE WHEN regexp_matches(tab, '\\b2024\\b|\\b20\\s24\\b') THEN ''
+                                       ELSE ' ' || tab END END AS context FROM ctx)
       SELECT l.doc_url, 0 AS turn, 'system' AS role, {sql_str(LITE_SYSTEM)} AS content
       FROM links l JOIN fullctx f ON f.k = l.o_orderkey
       UNION ALL
@@ -348,14 +355,29 @@ SQL = {
     "company_statements": f"""WITH {FILINGS},
       latest AS (SELECT cik, o_orderkey AS k FROM filings WHERE form = '10-K'
                  QUALIFY row_number() OVER (PARTITION BY cik ORDER BY odate DESC, o_orderkey) = 1),
-      bs AS (SELECT cik, k FROM latest WHERE k % 16 < (k + 3) % 16),
+      {WANTED},
       {STATEMENT_LINES},
       vec AS (SELECT doc_id, "row", max(value) FILTER (WHERE period = 0) AS v0,
                      max(value) FILTER (WHERE period = 1) AS v1 FROM vals GROUP BY ALL),
       keep AS (SELECT doc_id, min("row") AS "row" FROM vec GROUP BY doc_id, v0, v1)
-      SELECT bs.cik, 'balance_sheet' AS statement, v."row", v.concept, v.period, v.period_end, v.value
+      SELECT w.cik, w.statement, v."row", v.concept, v.period, v.period_end, v.special, v.value
       FROM vals v SEMI JOIN keep k ON v.doc_id = k.doc_id AND v."row" = k."row"
-      JOIN bs ON bs.k = v.doc_id""",
+      JOIN wanted w ON w.k = v.doc_id AND w.state = 'page'""",
+    "company_statement_errors": f"""WITH {FILINGS},
+      latest AS (SELECT cik, o_orderkey AS k FROM filings WHERE form = '10-K'
+                 QUALIFY row_number() OVER (PARTITION BY cik ORDER BY odate DESC, o_orderkey) = 1),
+      {WANTED},
+      r AS (SELECT cik, statement, CASE WHEN state <> 'page' THEN state
+                   WHEN k NOT IN (SELECT l_orderkey FROM lineitem) THEN 'no page'
+                   WHEN k % 89 = 0 THEN 'empty' WHEN k % 101 = 0 THEN 'unparsable date'
+                   WHEN k % 103 = 0 THEN 'more cells than dates' END AS reason FROM wanted)
+      SELECT * FROM r WHERE reason IS NOT NULL""",
+    "reformat_prompts": f"""WITH bad AS (SELECT c_custkey AS doc_id, 'json' || chr(10) || '{{"CEO name":"' || c_name || '","Year covered":'
+          || CAST(1990 + c_nationkey AS VARCHAR) || ',"Names of metrics used to evaluate performance":["' || c_mktsegment
+          || '","Revenue"],"Total CEO Compensation $":"' || printf('$%.2f', c_acctbal) || '"}}' AS answer
+        FROM customer WHERE c_custkey % 7 = 0)
+      SELECT doc_id, 0 AS turn, 'system' AS role, {sql_str(REFORMAT_SYSTEM)} AS content FROM bad
+      UNION ALL SELECT doc_id, 1, 'user', 'Data:' || answer FROM bad""",
     "identifiers_parsed": f"WITH {IDENTIFIERS} SELECT cik_str, ticker, title FROM identifiers",
     "submissions_parsed": f"""WITH {FILINGS}
       SELECT cik, accessionNumber, filingDate, reportDate, form, fileNumber, filmNumber, primaryDocument,

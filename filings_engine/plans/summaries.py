@@ -59,7 +59,7 @@ def lite_answer_prompts(docs: DataFrame, keys: Sequence[str], text: str = "text"
                         exclude_year: int = 2024) -> DataFrame:
     """Q2: summary page (H5 output: text + tables) -> numeric context
     -> one lite conversation per document, no chunking or ranking."""
-    ctx = rt.numeric_context(docs, text, tables, exclude_year)
+    ctx = rt.numeric_context(docs, text, tables, exclude_year, flatten_tables=False)
     return pr.prompt_rows(ctx, keys, "context", LITE_QUESTION, LITE_SYSTEM)
 
 

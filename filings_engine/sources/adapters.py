@@ -182,7 +182,8 @@ def filing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X7 filing pages ``(doc_id, url, status, html)`` rendered per order: a
     contents heading split over two elements, a contents table linking one
     anchor per line item, then per line an anchored heading, a paragraph, an
-    image and a table with a nested table, and a closing paragraph."""
+    image and a table with a nested table, and a closing paragraph.  Every 83rd
+    page ends in an image without a valid address and an unknown section."""
     base = _order_lines(spark, sf_dir)
 
     def s(c):
@@ -202,7 +203,9 @@ def filing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<!DOCTYPE html><html><head><title>Filing "), s(F.col("doc_id")),
         F.lit("</title><style>td{padding:0}</style></head><body>\n<div>TABLE OF <b>CONTENTS</b></div>\n"
               "<table><tr><td>Part I</td><td>Summary</td></tr>"), toc_rows, F.lit("</table>\n"),
-        sections, F.lit("\n<p>End of filing "), s(F.col("doc_id")), F.lit("</p></body></html>"))
+        sections, F.lit("\n<p>End of filing "), s(F.col("doc_id")), F.lit("</p>"),
+        F.when(F.col("doc_id") % 83 == 0, F.lit("<img src=\"http://[bad\"><![odd[ section ]]>")).otherwise(F.lit("")),
+        F.lit("</body></html>"))
     return base.select("doc_id", "url", F.lit(200).alias("status"), html.alias("html"))
 
 
@@ -252,14 +255,15 @@ def filing_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
                     xml.alias("value"))
 
 
-def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X6 statement pages ``(doc_id, url, html)`` per order: two period
+def _statement_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X6 statement page of each order ``(doc_id, folder, html)``: two period
     columns (order date, one year earlier), one row per line item with the
     part as concept, quantity as a positive and price as a negative amount.
     Units: ``in Millions`` for priority 1, ``unless otherwise specified``
     for priority 2, else ``in Thousands``.  The third line's first amount is
     a text cell.  Every 101st order has an unreadable date, every 103rd one
-    row with an extra amount cell."""
+    row with an extra amount cell, every 97th leaves its cells and rows unclosed
+    and every 89th has no markup at all (a failed fetch)."""
     base = _order_lines(spark, sf_dir)
     k = F.col("doc_id")
     p1 = F.substring("o_orderpriority", 1, 1)
@@ -286,9 +290,31 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               "CONSOLIDATED BALANCE SHEETS - USD ($)<br> "), unit,
         F.lit("</strong></div></th><th class=\"th\"><div>"), d0, F.lit("</div></th><th class=\"th\"><div>"), d1,
         F.lit("</div></th></tr>"), F.array_join(F.transform("lines", row), ""), F.lit("</table></body></html>"))
-    # the statement page is the filing's summary page R2.htm
-    url = F.concat(F.regexp_replace("url", r"/[^/]*$", ""), F.lit("/R2.htm"))
-    return base.select("doc_id", url.alias("url"), html.alias("html"))
+    html = (F.when(k % 89 == 0, F.lit(None))
+            .when(k % 97 == 0, F.regexp_replace(html, "</t[dr]>", "")).otherwise(html))
+    return base.select("doc_id", F.regexp_replace("url", r"/[^/]*$", "").alias("folder"), html.alias("html"))
+
+
+def order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id)`` of the orders that have line items, hence a rendered page."""
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")).join(keys, "doc_id", "left_semi")
+
+
+def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balance sheets ``(doc_id, url, html)``: a filing's summary page R2.htm."""
+    return _statement_html(spark, sf_dir).select("doc_id", F.concat("folder", F.lit("/R2.htm")).alias("url"), "html")
+
+
+def all_statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance sheet, income and cash-flow page of each order ``(doc_id, url,
+    html)``, named as in its filing summary and identified by the address; the
+    second balance sheet (R5) was not fetched."""
+    income = F.when(F.col("doc_id") % 5 == 0, F.lit("/R3.xml")).otherwise(F.lit("/R3.htm"))
+    pages = _statement_html(spark, sf_dir).select(
+        F.explode(F.array(F.lit("/R2.htm"), income, F.lit("/R4.htm"))).alias("file"), "folder", "html")
+    url = F.concat("folder", "file")
+    return pages.select(url.alias("doc_id"), url.alias("url"), "html")
 
 
 def identifier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

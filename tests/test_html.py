@@ -10,10 +10,10 @@ PAGE = ("<!DOCTYPE html><html><head><title>T &amp; Co</title><script>var t=\"</p
 
 def test_tokenizer_rules():
     rows = parse_nodes(PAGE, "http://h.org/x/y.htm")
-    kinds = {(r[4], r[7]) for r in rows if r[4] != "element"}
+    kinds = {(r.kind, r.text) for r in rows if r.kind != "element"}
     assert ("script", 'var t="</p>";') in kinds and ("text", "T & Co") in kinds
     assert ("template", "hidden") in kinds and ("comment", " c ") in kinds
-    imgs = [r[10] for r in rows if r[5] == "img"]
+    imgs = [r.link for r in rows if r.tag == "img"]
     assert imgs == ["http://h.org/x/a/i.png", None]
 
 
@@ -62,3 +62,32 @@ def test_adjacent_anchors_give_an_empty_section(spark):
     nodes = html_nodes(pages, url=None)
     ids = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "doc_id int, k int, id string")
     assert {r.id: r.text for r in hx.toc_sections(nodes, ids).collect()} == {"a": "", "b": "text"}
+
+
+def test_unclosed_cells_cost_linear_space():
+    page = "<table>" + "<tr><td>x" * 3000
+    for implied in (False, True):
+        rows = parse_nodes(page, None, implied)
+        assert len(rows) == 9001
+        assert sum(len(v) for r in rows for v in (r.table_path, r.row_path, r.cell_path, r.cells) if v) < 10 * len(rows)
+    cells = [r for r in parse_nodes(page, None, True) if r.tag == "td"]
+    assert {c.text for c in cells} == {"x"} and cells[0].end_pos == cells[0].pos + 1
+
+
+def test_pages_the_tokenizer_rejects_give_an_error_row(spark, monkeypatch):
+    from filings_engine.operators import html_nodes as hn
+
+    def fail(self, data):
+        raise AssertionError("bad page")
+    monkeypatch.setattr(hn._NodeRecorder, "feed", fail)
+    only = hn.parse_nodes("<p>x")
+    assert [(n.kind, n.text) for n in only] == [("error", "AssertionError: bad page")]
+
+
+def test_heading_split_over_elements_and_descendants(spark):
+    html = "<div>x</div><div><span>TABLE OF </span><b>CON</b>TENTS</div><table><tr><td>1<td>Title <a href='#q'>t</a></table>"
+    nodes = html_nodes(spark.createDataFrame([("p", html)], "doc_id string, html string"), url=None)
+    e = hx.toc_entries(nodes).first()
+    assert (e.doc_id, e.ids) == ("p", ["q"])
+    divs = nodes.filter("tag = 'div'").selectExpr("doc_id", "pos AS outer_pos", "end_pos AS outer_end")
+    assert [r.text for r in hx.element_texts(nodes, divs).orderBy("outer_pos").collect()] == ["x", "TABLE OF CONTENTS"]

@@ -47,15 +47,17 @@ def test_multi_step_prompts(spark):
 def test_company_statements(spark):
     filings = ad.filings(spark, SF)
     summary = ef.parse_filing_summary(ad.filing_summaries(spark, SF), key_cols=["accession"])
-    pages = ad.statement_pages(spark, SF)
-    nodes = materialize(html_nodes(pages), as_table=True)
+    pages = ad.all_statement_pages(spark, SF)
+    nodes = materialize(html_nodes(pages, **stm.STATEMENT_NODES), as_table=True)
     values, errors = fu.company_statements(filings, summary, nodes, pages.select("doc_id", "url"),
                                            statement_keys(spark))
-    latest = filings.filter("form = '10-K'").groupBy("cik").agg(F.min_by("accessionNumber", "ordinal").alias("a"))
-    # every company with a 10-K whose balance-sheet file is R2.htm (the rendered page) has values or an error
-    got = values.select("cik").union(errors.select("cik")).distinct()
-    assert got.join(latest, "cik", "left_anti").count() == 0
-    assert set(r.statement for r in values.select("statement").distinct().collect()) <= {"balance_sheet"}
+    # every statement kind of every latest 10-K has values or one error
+    wanted = fu.wanted_statements(filings, summary, statement_keys(spark)).select("cik", "statement")
+    got = values.select("cik", "statement").distinct()
+    bad = errors.select("cik", "statement")
+    assert wanted.exceptAll(got.union(bad)).count() == 0 and got.union(bad).exceptAll(wanted).count() == 0
+    assert {r.statement for r in got.select("statement").distinct().collect()} == set(fu.STATEMENTS)
+    assert {fu.NO_FILE, fu.NO_PAGE} <= {r.reason for r in errors.collect()}
     v, _ = stm.statement_frame(nodes)
     assert values.count() <= v.count()
 
@@ -66,8 +68,8 @@ def test_company_profile_agrees_with_registered_queries(spark):
     facts = ef.parse_company_facts(ad.company_facts_documents(spark, SF), doc_order="doc_order")
     concept = ef.parse_company_concept(ad.company_concept_documents(spark, SF, "NO"), doc_order="doc_order")
     summary = ef.parse_filing_summary(ad.filing_summaries(spark, SF), key_cols=["accession"])
-    pages = ad.statement_pages(spark, SF)
-    nodes = materialize(html_nodes(pages), as_table=True)
+    pages = ad.all_statement_pages(spark, SF)
+    nodes = materialize(html_nodes(pages, **stm.STATEMENT_NODES), as_table=True)
     prof = fu.company_profile(filings, facts, concept, summary, nodes, pages.select("doc_id", "url"),
                               statement_keys(spark))
     annual = prof.annual.withColumn("value", F.round("value", 6))
@@ -77,3 +79,15 @@ def test_company_profile_agrees_with_registered_queries(spark):
     expected = E.queries()["company_statements"](spark, SF)
     assert stmts.exceptAll(expected).count() == 0 and expected.exceptAll(stmts).count() == 0
     assert prof.facts.count() == E.queries()["facts_dedup"](spark, SF).count()
+
+
+def test_lite_prompts_keep_line_breaks_of_tables(spark):
+    docs = spark.createDataFrame([(1, "a 1\nb 2\nno", ["x 3\ny"])], "doc_id int, text string, tables array<string>")
+    content = sm.lite_answer_prompts(docs, ["doc_id"]).first().messages[1].content
+    assert content.endswith(" Relevant texts:a 1 b 2 x 3\ny")
+
+
+def test_reformat_prompts_ask_for_unread_answers(spark):
+    parsed = spark.createDataFrame([(1, True, "{}"), (2, False, "raw"), (3, False, None)], "doc_id int, is_json boolean, answer string")
+    got = {r.doc_id: r.messages[1].content for r in pr.reformat_prompts(parsed, ["doc_id"]).collect()}
+    assert got == {2: "Data:raw", 3: "Data:"}

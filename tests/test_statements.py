@@ -34,10 +34,10 @@ def test_statement_values_and_errors(spark):
         (6, _page("unless otherwise specified", two, [("us-gaap_A", "<td class=\"nump\">1</td><td class=\"num\">2</td>"
                                                                     "<td class=\"num\">3</td>")])),
     ]
-    df = spark.createDataFrame([(i, "u", h) for i, h in pages], "doc_id long, url string, html string")
-    values, errors = stm.statement_frame(html_nodes(df))
+    df = spark.createDataFrame([(i, "u", h) for i, h in pages] + [(7, "u", None)], "doc_id long, url string, html string")
+    values, errors = stm.statement_frame(html_nodes(df, **stm.STATEMENT_NODES), df)
     err = {r.doc_id: r.reason for r in errors.collect()}
-    assert err == {2: "more cells than dates", 3: "bad number", 4: "unparsable date", 5: "link without onclick"}
+    assert err == {2: "more cells than dates", 3: "bad number", 4: "unparsable date", 5: "link without onclick", 7: "empty"}
     v1 = sorted((r.row, r.concept, r.period, r.period_end, r.value) for r in values.filter("doc_id = 1").collect())
     assert v1 == [(0, "us-gaap_A", 0, dt.date(2023, 12, 31), 12000.0), (0, "us-gaap_A", 1, dt.date(2022, 9, 30), -3000.0),
                   (1, "us-gaap_B", 0, dt.date(2023, 12, 31), None), (1, "us-gaap_B", 1, dt.date(2022, 9, 30), -3000.0),
@@ -61,3 +61,15 @@ def test_match_lowest_priority(spark):
     got = stm.match_statement_files(summary, statement_keys(spark), ["accession"]).collect()
     assert [(r.statement, r.file_name) for r in got] == [("balance_sheet", "R2.htm")]
     assert statement_keys(spark).count() == 48
+
+
+def test_unclosed_cells_and_nested_tables(spark):
+    page = _page("$ in Millions", ["Dec. 31, 2023", "2022-12-31"],
+                 [("us-gaap_A", "<td class=\"nump\">1</td><td class=\"num\">2<table><tr><td>n</td></tr></table></td>")])
+    open_page = page.replace("</td>", "").replace("</tr>", "")
+    df = spark.createDataFrame([(1, page), (2, open_page)], "doc_id int, html string")
+    values, errors = stm.statement_frame(html_nodes(df, url=None, **stm.STATEMENT_NODES), df)
+    assert errors.count() == 0
+    for i in (1, 2):
+        got = sorted((r.concept, r.period, r.value, r.special) for r in values.filter(f"doc_id = {i}").collect())
+        assert got == [("us-gaap_A", 0, 1000.0, False), ("us-gaap_A", 1, -2000.0, False)]
