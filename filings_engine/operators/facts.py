@@ -22,16 +22,25 @@ def dedupe_facts(facts: DataFrame, keys=("cik", "fact", "end", "val")) -> DataFr
             .select(*facts.columns))
 
 
-def periodic_facts(facts: DataFrame, filings: DataFrame, form: str) -> DataFrame:
+def periodic_facts(facts: DataFrame, filings: DataFrame, form: str, min_days: int | None = None,
+                   max_days: int | None = None) -> DataFrame:
     """A4: mean value per (cik, fact, label, end) over the facts that belong
     to an accession of ``form`` (J3) and whose end date equals a report date
     of such a filing of the same company (J4, independent of J3).
+    ``min_days``/``max_days`` bound the days from start to end of facts with a
+    duration (a year's and a quarter's value may end on one day); facts
+    without a start date, such as balances, stay.
 
     Both are left-semi joins: the filing side is reduced to distinct keys
     first; Spark sizes them (broadcast when small, else sort-merge)."""
     f = filings.filter(F.col("form") == form)
     acc = f.select("cik", F.col("accessionNumber").alias("accn")).distinct()
     rep = f.select("cik", parse_iso_date("reportDate").alias("end")).where(F.col("end").isNotNull()).distinct()
+    days = F.datediff("end", "start")
+    if min_days is not None:
+        facts = facts.filter(F.coalesce(days >= min_days, F.lit(True)))
+    if max_days is not None:
+        facts = facts.filter(F.coalesce(days <= max_days, F.lit(True)))
     sel = facts.join(acc, ["cik", "accn"], "left_semi").join(rep, ["cik", "end"], "left_semi")
     return (sel.groupBy("cik", "fact", "label", "end")
             .agg(F.avg("val").alias("value")))

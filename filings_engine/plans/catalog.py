@@ -20,7 +20,7 @@ from filings_engine.operators import prompts as pr
 from filings_engine.operators import retrieval as rt
 from filings_engine.operators import filters as flt
 from filings_engine.plans import proxy_links as pl
-from filings_engine.functions import archive_url
+from filings_engine.functions.strings import display_amount
 from filings_engine.plans import fundamentals as fu
 from filings_engine.plans import summaries as sm
 from filings_engine.sources import adapters as ad
@@ -62,10 +62,7 @@ def q_cik_lookup(spark, d):
 
 
 def q_latest_filing(spark, d):
-    f = ad.filings(spark, d).filter(F.col("form") == "10-K")
-    return (f.groupBy("cik")
-            .agg(F.min_by("accessionNumber", "ordinal").alias("accessionNumber"),
-                 F.min_by("primaryDocument", "ordinal").alias("primaryDocument")))
+    return fx.latest_filing_of_form(ad.filings(spark, d), "10-K").drop("reportDate")
 
 
 def q_first_filing(spark, d):
@@ -157,8 +154,18 @@ def q_context(spark, d):
 def q_prompts(spark, d):
     """Q3 on documents: numeric context -> chunks -> TF-IDF ranking (top
     100) -> context -> one conversation per document."""
-    ctx = rt.retrieve_context(rt.numeric_context(_docs(spark, d)), pr.SUMMARY_QUESTION, ["doc_id"])
-    return pr.flatten_messages(pr.prompt_rows(ctx, ["doc_id"]), ["doc_id"])
+    return pr.flatten_messages(sm.summary_prompts(_docs(spark, d), ["doc_id"], tables=None), ["doc_id"])
+
+
+def q_multi_step_prompts(spark, d):
+    """Q4 on documents: the metrics conversation, the targets conversation
+    (over first answers rendered from the language) and the third one."""
+    docs = _docs(spark, d)
+    ctx, first = sm.multi_step_prompts(docs, ["doc_id"], tables=None)
+    answers = docs.select("doc_id", F.concat(F.lit("Revenue, "), F.coalesce("lang", F.lit("none"))).alias("content"))
+    steps = [first, pr.metric_targets_prompts(answers, ctx, ["doc_id"]), sm.third_step_prompts(ctx, ["doc_id"])]
+    rows = [pr.flatten_messages(s, ["doc_id"]).withColumn("step", F.lit(i + 1)) for i, s in enumerate(steps)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def q_answer_fields(spark, d):
@@ -258,15 +265,32 @@ def q_statement_errors(spark, d):
 TEXT_MARKER = "CONTENTS"
 
 
+def _documents(pages):
+    """H5 of filing pages.  Text, images and tables each read the node table:
+    the pages are parsed once."""
+    nodes = materialize(html_nodes(spread(pages, "doc_id", always=True), **TABLE_TEXT), as_table=True)
+    return hx.extract_documents(pages, nodes)
+
+
+def _listed(df):
+    """Lists as lines, so that results compare as plain values."""
+    return df.withColumns({c: F.array_join(c, "\n") for c in ("images", "tables")})
+
+
+def q_filing_documents(spark, d):
+    """H5 of every filing page; every 71st fetch failed and gives no document."""
+    pages = ad.filing_pages(spark, d).withColumn("status", F.when(F.col("doc_id") % 71 == 0, 404).otherwise(F.col("status")))
+    return _listed(_documents(pages).select("doc_id", "document.*"))
+
+
 def q_proxy_texts(spark, d):
     """H6 + A8 on the rendered filing pages: only the pages of the chosen
     filings are parsed (semi-join before the parse)."""
     rich = _links_rich(spark, d)
     chosen = pl.latest_text_per_ticker(rich)
     pages = ad.filing_pages(spark, d).join(chosen.select(F.col("doc_url").alias("url")), "url", "left_semi")
-    nodes = html_nodes(spread(pages, "doc_id", always=True), **ONLY_TEXT)
-    texts = hx.page_text(nodes, pages).join(pages.select("doc_id", F.col("url").alias("doc_url")), "doc_id")
-    return pl.proxy_texts(rich, texts.select("doc_url", "text"), TEXT_MARKER)
+    docs = _documents(pages).join(pages.select("doc_id", F.col("url").alias("doc_url")), "doc_id")
+    return _listed(pl.proxy_texts(rich, docs.select("doc_url", "document"), TEXT_MARKER))
 
 
 def q_lite_prompts(spark, d):
@@ -287,11 +311,17 @@ def _company_statements(spark, d):
     wanted pages are rendered and parsed."""
     filings, keys = ad.filings(spark, d), statement_keys(spark)
     summary = ef.parse_filing_summary(ad.filing_summaries(spark, d), key_cols=["accession"])
+    pages, nodes = _wanted_pages(spark, d, filings, summary, keys)
+    return fu.company_statements(filings, summary, nodes, pages, keys)
+
+
+def _wanted_pages(spark, d, filings, summary, keys):
+    """The addresses and the nodes of the wanted statement pages."""
     wanted = fu.wanted_statements(filings, summary, keys)
     pages = ad.all_statement_pages(spark, d).join(wanted.select("url"), "url", "left_semi")
     pages = materialize(spread(pages, "doc_id", always=True), as_table=True)
     nodes = materialize(html_nodes(spread(pages, "doc_id"), **stm.STATEMENT_NODES), as_table=True)
-    return fu.company_statements(filings, summary, nodes, pages.select("doc_id", "url"), keys)
+    return pages.select("doc_id", "url"), nodes
 
 
 def q_company_statements(spark, d):
@@ -302,6 +332,52 @@ def q_company_statement_errors(spark, d):
     return _company_statements(spark, d)[1]
 
 
+def q_company_profile(spark, d):
+    """rows of every part of the bundle per company."""
+    filings, keys = ad.filings(spark, d), statement_keys(spark)
+    summary = ef.parse_filing_summary(ad.filing_summaries(spark, d), key_cols=["accession"])
+    pages, nodes = _wanted_pages(spark, d, filings, summary, keys)
+    concept = ef.parse_company_concept(ad.company_concept_documents(spark, d, "NO"), doc_order="doc_order")
+    p = fu.company_profile(filings, _facts(spark, d), concept, summary, nodes, pages, keys)
+    parts = [df.select("cik", F.lit(name).alias("part")) for name, df in vars(p).items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("cik", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_accessions_of_form(spark, d):
+    return flt.accessions_of_form(ad.filings(spark, d), "10-Q")
+
+
+def q_requested_companies(spark, d):
+    """P1 + P2 over a request table: each supplier asks for three companies."""
+    s = ad.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    requests = s.select(F.concat(F.lit(" t"), "k", F.lit(" ,T"), F.col("k") + 10, F.lit(",no such")).alias("tickers"))
+    found = flt.filter_by_tickers(ad.identifiers(spark, d), flt.explode_tickers(requests))
+    return found.select("cik_str", "ticker", "title")
+
+
+def q_company_slices(spark, d):
+    """The links of the companies that a request names."""
+    return flt.company_slices(q_proxy_links(spark, d, sort=False), "t1, T4 ,t22,none")
+
+
+def q_statement_urls(spark, d):
+    """P16 for every matched statement file (J6) of every filing."""
+    files = q_statement_files(spark, d)
+    filings = ad.filings(spark, d).select("cik", "accessionNumber", F.replace("accessionNumber", F.lit("-"), F.lit("")).alias("accession"))
+    return flt.with_statement_url(filings.join(files, "accession")).drop("accession")
+
+
+def q_fact_matrix(spark, d):
+    """The largest value of each fact, one column a fact and back to rows,
+    with its display form."""
+    top = fx.dedupe_facts(_facts(spark, d)).groupBy("cik", "fact").agg(F.max("val").alias("value"))
+    long = fx.to_long(fx.to_wide(top, "cik", "fact", "value", ["AF", "NF", "NO", "RF"]), "cik", "fact")
+    return long.withColumn("shown", display_amount("value"))
+
+
 def q_identifiers_parsed(spark, d):
     """S1 round trip: identifier JSON records -> rows (CIK zero-padded)."""
     docs = ad.identifier_documents(spark, d)
@@ -355,4 +431,12 @@ QUERIES = {
     "reformat_prompts": q_reformat_prompts,
     "identifiers_parsed": q_identifiers_parsed,
     "submissions_parsed": q_submissions_parsed,
+    "multi_step_prompts": q_multi_step_prompts,
+    "filing_documents": q_filing_documents,
+    "company_profile": q_company_profile,
+    "accessions_of_form": q_accessions_of_form,
+    "requested_companies": q_requested_companies,
+    "company_slices": q_company_slices,
+    "statement_urls": q_statement_urls,
+    "fact_matrix": q_fact_matrix,
 }

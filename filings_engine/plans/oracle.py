@@ -140,8 +140,8 @@ def tfidf_ranked(source: str, question: str, top: int) -> str:
 TOKEN_RE = "'[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\t\\n\\x0B\\f\\r ]'"
 
 # Prompt texts restated for the oracle (same fixed values as the operator).
-from filings_engine.operators.prompts import ANALYST_SYSTEM, REFORMAT_SYSTEM, SUMMARY_QUESTION  # noqa: E402
-from filings_engine.plans.summaries import LITE_QUESTION, LITE_SYSTEM  # noqa: E402
+from filings_engine.operators.prompts import ANALYST_SYSTEM, EXTRACT_SYSTEM, METRICS_SYSTEM, REFORMAT_SYSTEM, SUMMARY_QUESTION  # noqa: E402
+from filings_engine.plans.summaries import LITE_QUESTION, LITE_SYSTEM, METRICS_QUESTION, THIRD_QUESTION  # noqa: E402
 
 ORDER_LINES = f"""ol AS (
   SELECT o_orderkey AS doc_id, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk,
@@ -192,6 +192,20 @@ WANTED = """wanted AS (
   UNION ALL SELECT cik, k, 'income_statement', 'page' FROM latest
   UNION ALL SELECT cik, k, 'cash_flow_statement', CASE WHEN k % 7 = 0 THEN 'no statement file' ELSE 'page' END FROM latest)"""
 
+# text after the contents heading, images and tables of each rendered filing page
+DOCUMENT_PARTS = """body AS (
+  SELECT doc_id, chr(10) || 'Part I' || chr(10) || 'Summary' || chr(10)
+      || string_agg(CAST(r AS VARCHAR) || '.' || chr(10) || 'Item ' || CAST(r AS VARCHAR), chr(10) ORDER BY r) || chr(10)
+      || string_agg('Item ' || CAST(r AS VARCHAR) || chr(10) || 'Part ' || CAST(pk AS VARCHAR) || ' ships '
+           || strftime(ship, '%Y-%m-%d') || chr(10) || 'Qty' || chr(10) || qty || chr(10) || 'Supplier' || chr(10)
+           || 'S' || CAST(sk AS VARCHAR), chr(10) ORDER BY r)
+      || chr(10) || 'End of filing ' || CAST(doc_id AS VARCHAR) AS body,
+    string_agg(folder || 'img/' || CAST(pk AS VARCHAR) || '.png', chr(10) ORDER BY r) AS images,
+    'Part I Summary ' || string_agg(CAST(r AS VARCHAR) || '. Item ' || CAST(r AS VARCHAR), ' ' ORDER BY r) || chr(10)
+      || string_agg('Qty ' || qty || ' Supplier S' || CAST(sk AS VARCHAR) || chr(10) || 'S' || CAST(sk AS VARCHAR),
+                    chr(10) ORDER BY r) AS tables
+  FROM ol GROUP BY doc_id)"""
+
 SQL = {
     "proxy_links": f"{LINKS} SELECT {LINK_COLS} FROM links",
     "links_view": f"{LINKS} {VIEW}",
@@ -312,17 +326,13 @@ SQL = {
     "proxy_texts": f"""{LINKS},
       pick AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY ticker
                ORDER BY filingDate, o_orderkey DESC) = 1),
-      {ORDER_LINES},
-      toc AS (SELECT doc_id, string_agg(CAST(r AS VARCHAR) || '.' || chr(10) || 'Item ' || CAST(r AS VARCHAR),
-                                        chr(10) ORDER BY r) AS t FROM ol GROUP BY doc_id),
-      secs AS (SELECT doc_id, string_agg('Item ' || CAST(r AS VARCHAR) || chr(10) || 'Part ' || CAST(pk AS VARCHAR)
-                 || ' ships ' || strftime(ship, '%Y-%m-%d') || chr(10) || 'Qty' || chr(10) || qty || chr(10)
-                 || 'Supplier' || chr(10) || 'S' || CAST(sk AS VARCHAR), chr(10) ORDER BY r) AS t
-               FROM ol GROUP BY doc_id)
-      SELECT p.ticker, p.doc_url,
-             chr(10) || 'Part I' || chr(10) || 'Summary' || chr(10) || toc.t || chr(10) || secs.t || chr(10)
-               || 'End of filing ' || CAST(p.o_orderkey AS VARCHAR) AS text
-      FROM pick p LEFT JOIN toc ON toc.doc_id = p.o_orderkey LEFT JOIN secs ON secs.doc_id = p.o_orderkey""",
+      {ORDER_LINES}, {DOCUMENT_PARTS}
+      SELECT p.ticker, p.doc_url, b.body AS text, b.images, b.tables FROM pick p LEFT JOIN body b ON b.doc_id = p.o_orderkey""",
+    "filing_documents": f"""WITH {ORDER_LINES}, {DOCUMENT_PARTS}
+      SELECT doc_id, CASE WHEN doc_id % 71 <> 0 THEN 'Filing ' || CAST(doc_id AS VARCHAR) || chr(10) || 'TABLE OF' || chr(10)
+                          || 'CONTENTS' || body END AS text,
+             CASE WHEN doc_id % 71 <> 0 THEN images END AS images, CASE WHEN doc_id % 71 <> 0 THEN tables END AS tables
+      FROM body""",
     "lite_prompts": f"""{LINKS},
       sp AS (SELECT o_orderkey AS k, left(o_orderpriority, 1) AS p1,
                     strftime(o_orderdate, '%b. %-d, %Y') AS d0,
@@ -382,4 +392,38 @@ SQL = {
     "submissions_parsed": f"""WITH {FILINGS}
       SELECT cik, accessionNumber, filingDate, reportDate, form, fileNumber, filmNumber, primaryDocument,
              primaryDocDescription FROM filings""",
+    "accessions_of_form": f"WITH {FILINGS} SELECT cik, reportDate, accessionNumber FROM filings WHERE form = '10-Q'",
+    "requested_companies": f"""WITH {IDENTIFIERS}
+      SELECT cik_str, ticker, title FROM identifiers
+      WHERE ticker IN (SELECT 'T' || CAST(s_suppkey AS VARCHAR) FROM supplier
+                       UNION ALL SELECT 'T' || CAST(s_suppkey + 10 AS VARCHAR) FROM supplier)""",
+    "company_slices": f"{LINKS} SELECT {LINK_COLS} FROM links WHERE ticker IN ('T1', 'T4', 'T22', 'NONE')",
+    "statement_urls": f"""WITH sf AS ({STATEMENT_FILES}), {FILINGS}
+      SELECT f.cik, f.accessionNumber, sf.statement, sf.file_name,
+             'https://www.sec.gov/Archives/edgar/data/' || f.cik || '/' || sf.accession || '/' || sf.file_name AS statement_url,
+             'https://www.sec.gov/Archives/edgar/data/' || ltrim(f.cik, '0') || '/' || sf.accession || '/FilingSummary.xml'
+               AS summary_file_url,
+             CASE WHEN sf.file_name LIKE '%.xml' THEN 'xml' ELSE 'html' END AS parser
+      FROM sf JOIN filings f ON replace(f.accessionNumber, '-', '') = sf.accession""",
+    "fact_matrix": f"""WITH {DEDUP},
+      t AS (SELECT cik, fact, max(val) AS v FROM dd GROUP BY ALL),
+      g AS (SELECT cik, unnest(['AF', 'NF', 'NO', 'RF']) AS fact FROM (SELECT DISTINCT cik FROM dd))
+      SELECT g.cik, g.fact, t.v AS value,
+             CASE WHEN t.v = floor(t.v) THEN format('{{:,}}', CAST(t.v AS BIGINT)) ELSE format('{{:,.2f}}', t.v) END AS shown
+      FROM g LEFT JOIN t ON t.cik = g.cik AND t.fact = g.fact""",
+    "multi_step_prompts": f"""WITH {tfidf_ranked("SELECT doc_id, replace(" + digit_text('text') + ", chr(10), ' ') AS text FROM documents",
+                                                 METRICS_QUESTION, 50)},
+      ctx AS (SELECT doc_id, chr(10) || ' Relevant texts:' || string_agg(chunk, ' ' ORDER BY rank) AS c FROM rk GROUP BY doc_id)
+      SELECT doc_id, 1 AS step, 0 AS turn, 'system' AS role, {sql_str(METRICS_SYSTEM)} AS content FROM ctx
+      UNION ALL SELECT doc_id, 1, 1, 'user', 'Query: ' || {sql_str(METRICS_QUESTION)} || c FROM ctx
+      UNION ALL SELECT doc_id, s, 0, 'system', {sql_str(EXTRACT_SYSTEM)} FROM ctx, (VALUES (2), (3)) v(s)
+      UNION ALL SELECT ctx.doc_id, 2, 1, 'user', 'Query: For each of these metrics Revenue, ' || coalesce(lang, 'none')
+        || ', please give me the proxy target and actual values. Keep your response as short as possible.' || c
+        FROM ctx JOIN documents USING (doc_id)
+      UNION ALL SELECT doc_id, 3, 1, 'user', 'Query ' || {sql_str(THIRD_QUESTION)} || c FROM ctx""",
 }
+SQL["company_profile"] = " UNION ALL ".join(
+    f"SELECT cik, '{part}' AS part, count(*) AS n FROM ({SQL[query]}) GROUP BY cik"
+    for part, query in [("facts", "facts_dedup"), ("annual", "annual_facts"), ("quarterly", "quarterly_facts"),
+                        ("statements", "company_statements"), ("statement_errors", "company_statement_errors"),
+                        ("assets", "concept_series")])

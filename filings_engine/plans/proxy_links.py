@@ -66,10 +66,12 @@ def latest_text_per_ticker(rich_links: DataFrame, keep: str = "oldest") -> DataF
     return rich_links.groupBy("ticker").agg(pick(F.struct(*cols), key).alias("_l")).select("_l.*")
 
 
-def proxy_texts(links: DataFrame, texts: DataFrame, marker: str, keep: str = "oldest") -> DataFrame:
-    """H6: ``(ticker, doc_url, text)``: per ticker one filing (A8), the text
-    of its document (``texts``: ``(doc_url, text)``, e.g. H2 of the fetched
-    pages) cut after the marker (P15); null when the page is missing."""
+def proxy_texts(links: DataFrame, documents: DataFrame, marker: str, keep: str = "oldest") -> DataFrame:
+    """H6: ``(ticker, doc_url, text, images, tables)``: per ticker one filing
+    (A8), the text of its document (``documents``: ``(doc_url, document)`` of
+    H5) cut after the marker (P15), its image addresses and table texts; null
+    when the page is missing or its fetch failed."""
     from filings_engine.functions.strings import after_marker
-    return (latest_text_per_ticker(links, keep).join(texts, "doc_url", "left")
-            .select("ticker", "doc_url", after_marker(F.col("text"), marker).alias("text")))
+    return (latest_text_per_ticker(links, keep).join(documents, "doc_url", "left")
+            .select("ticker", "doc_url", after_marker(F.col("document.text"), marker).alias("text"),
+                    "document.images", "document.tables"))

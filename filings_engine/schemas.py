@@ -1,18 +1,10 @@
 """Fixed schemas (no inference: an absent key must not change a schema)."""
 
-from pyspark.sql.types import (ArrayType, DateType, DoubleType, IntegerType, LongType,
+from pyspark.sql.types import (ArrayType, DateType, DoubleType, LongType,
                                MapType, StringType, StructField, StructType)
 
 S = StringType()
 
-# D1 company identifiers
-IDENTIFIER = StructType([
-    StructField("ordinal", LongType()), StructField("cik_str", S),
-    StructField("ticker", S), StructField("title", S)])
-# one record of the identifier file, keyed by its object key
-IDENTIFIER_RECORD = StructType([
-    StructField("cik_str", LongType()), StructField("ticker", S), StructField("title", S)])
-
 # D2/D3 submission index: filings.recent is a struct of parallel arrays
 FILING_FIELDS = ["accessionNumber", "filingDate", "reportDate", "form", "fileNumber",
                  "filmNumber", "primaryDocument", "primaryDocDescription"]
@@ -20,9 +12,6 @@ SUBMISSIONS_JSON = StructType([
     StructField("cik", S), StructField("name", S),
     StructField("filings", StructType([
         StructField("recent", StructType([StructField(f, ArrayType(S)) for f in FILING_FIELDS]))]))])
-FILING = StructType([
-    StructField("cik", S), StructField("ordinal", LongType()),
-    *[StructField(f, S) for f in FILING_FIELDS]])
 
 # D4 proxy-links table (the fixed output of the links finder)
 LINK_COLUMNS = ["ticker", "title", "form", "filingDate", "primaryDocDescription", "doc_url",
@@ -41,11 +30,6 @@ FACT_DETAIL = StructType([
 COMPANY_FACTS_JSON = StructType([
     StructField("cik", LongType()), StructField("entityName", S),
     StructField("facts", MapType(S, MapType(S, FACT_DETAIL)))])
-FACT = StructType([
-    StructField("cik", S), StructField("taxonomy", S), StructField("fact", S),
-    StructField("label", S), StructField("unit", S), StructField("start", DateType()),
-    StructField("end", DateType()), StructField("val", DoubleType()), StructField("accn", S),
-    StructField("form", S), StructField("filed", S)])
 
 # D6 company concept
 COMPANY_CONCEPT_JSON = StructType([
@@ -58,16 +42,3 @@ REPORT = StructType([
     StructField("HtmlFileName", S), StructField("XmlFileName", S)])
 FILING_SUMMARY_XML = StructType([
     StructField("MyReports", StructType([StructField("Report", ArrayType(REPORT))]))])
-
-# H1 node table
-NODE = StructType([
-    StructField("doc_id", LongType()), StructField("pos", IntegerType()),
-    StructField("end_pos", IntegerType()), StructField("parent_pos", IntegerType()),
-    StructField("depth", IntegerType()), StructField("kind", S), StructField("tag", S),
-    StructField("attrs", MapType(S, S)), StructField("text", S),
-    StructField("table_pos", IntegerType()), StructField("row_pos", IntegerType()),
-    StructField("cell_pos", IntegerType())])
-
-# D11 document
-DOCUMENT = StructType([
-    StructField("text", S), StructField("images", ArrayType(S)), StructField("tables", ArrayType(S))])

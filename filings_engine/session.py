@@ -18,8 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # joins on (doc, pos) may reuse a partitioning on doc alone (co-located
-    # per-document jobs over bucketed node tables)
+    # joins on (doc, pos) may reuse a partitioning on doc alone (the statement
+    # jobs shuffle the nodes of a page once)
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
@@ -60,36 +60,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df: DataFrame, eager: bool = True, as_table: bool = False,
-                bucket_by: str | None = None, buckets: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, eager: bool = True, as_table: bool = False) -> DataFrame:
     """Cut lineage in the shared checkpoint folder (survives executor loss,
     unlike a local checkpoint).
 
     ``as_table=True`` writes a parquet table there and reads it back: later
     scans prune columns and push filters down, which a checkpointed RDD
-    cannot; use it for wide tables read by many branches.
-
-    ``bucket_by`` additionally buckets the table on that key (e.g. the
-    document id).  Every later aggregation, window and join keyed by
-    (key, ...) is then co-located: no exchange after the scan.  This relies
-    on ``spark.sql.requireAllClusterKeysForCoPartition=false`` (set here),
-    which lets a join on (key, x) reuse a partitioning on key alone."""
-    spark = df.sparkSession
-    d = checkpoint_dir(spark)
-    if not as_table and not bucket_by:
+    cannot; use it for wide tables read by many branches."""
+    d = checkpoint_dir(df.sparkSession)
+    if not as_table:
         return df.checkpoint(eager=eager)
-    name = f"fe_{uuid.uuid4().hex}"
-    path = f"{d.rstrip('/')}/tables/{name}"
-    if not bucket_by:
-        df.write.mode("error").parquet(path)
-        return spark.read.parquet(path)
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    n = buckets or 4 * spark.sparkContext.defaultParallelism
-    # inputs hash-partitioned on the key upstream (see ``spread``) write one
-    # file per bucket per task; no extra shuffle of the wide rows here
-    (df.write.mode("error").format("parquet").option("path", path)
-     .bucketBy(n, bucket_by).saveAsTable(name))
-    return spark.table(name)
+    path = f"{d.rstrip('/')}/tables/fe_{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def spread(df: DataFrame, key: str | None = None, always: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ Parsing is pure Catalyst (from_json/from_xml + explode): no Python.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filings_engine import schemas as S
 from filings_engine.functions import pad_cik
@@ -133,11 +133,27 @@ def read_filing_summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 # S6 -------------------------------------------------------------------------
+#: Declared charsets that are read as one byte a character; all else is UTF-8.
+SINGLE_BYTE_CHARSETS = ["iso-8859-1", "latin1", "latin-1", "us-ascii", "windows-1252", "cp1252"]
+CHARSET = r"""(?i)charset\s*=\s*["']?([a-z0-9_-]+)"""
+CHARSET_BYTES = 2048            # a declaration stands at the start of a page
+
+
+def page_html(content) -> Column:
+    """The text of a page's bytes by its declared charset; bytes that are no
+    UTF-8 become the replacement character, never an error."""
+    c = F.col(content) if isinstance(content, str) else content
+    head = F.decode(F.substring(c, 1, CHARSET_BYTES), "ISO-8859-1")
+    single = F.lower(F.regexp_extract(head, CHARSET, 1)).isin(SINGLE_BYTE_CHARSETS)
+    return F.when(single, F.decode(c, "ISO-8859-1")).otherwise(F.make_valid_utf8(c.cast("string")))
+
+
 def read_filing_html(spark: SparkSession, path: str) -> DataFrame:
-    """Landed filing pages: ``(doc_id, url, html)``; one file = one page."""
-    files = _whole_files(spark, path)
-    return files.select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("url"),
-                        F.col(TEXT).alias("html"))
+    """Landed filing pages: ``(doc_id, url, status, html)``; one file = one
+    page, known by its path; a landed page was fetched, so its status is 200."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("path").alias("doc_id"), F.col("path").alias("url"), F.lit(200).alias("status"),
+                        page_html("content").alias("html"))
 
 
 def fetched_pages(pages: DataFrame, status: str = "status") -> DataFrame:

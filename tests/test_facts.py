@@ -43,6 +43,32 @@ def test_periodic_facts_mean_of_durations(spark):
     assert latest[0].accessionNumber == "a1"
 
 
+def test_periodic_facts_within_a_duration(spark):
+    import datetime as dt
+    end = dt.date(2020, 12, 31)
+    rows = [("c", "Rev", "R", s, end, v, "a1") for s, v in [(dt.date(2020, 1, 1), 10.0), (dt.date(2020, 10, 1), 3.0), (None, 7.0)]]
+    facts = spark.createDataFrame(rows, "cik string, fact string, label string, start date, end date, val double, accn string")
+    filings = spark.createDataFrame([("c", "a1", "2020-12-31", "10-K")], "cik string, accessionNumber string, reportDate string, form string")
+    assert fx.periodic_facts(facts, filings, "10-K", min_days=300).first().value == 8.5
+    assert fx.periodic_facts(facts, filings, "10-K", max_days=100).first().value == 5.0
+
+
+def test_display_amounts(spark):
+    from filings_engine.functions.strings import display_amount
+    df = spark.createDataFrame([(1234567.0,), (-1234.5,), (0.0,), (None,)], "v double")
+    assert [r.s for r in df.select(display_amount("v").alias("s")).collect()] == ["1,234,567", "-1,234.50", "0", None]
+
+
+def test_pages_of_other_charsets(spark, tmp_path):
+    (tmp_path / "a.htm").write_bytes(b'<meta charset="ISO-8859-1"><p>caf\xe9 \xa3</p>')
+    (tmp_path / "b.htm").write_bytes("<p>café £</p>".encode())
+    (tmp_path / "c.htm").write_bytes(b"<p>caf\xe9</p>")
+    (tmp_path / "d.htm").write_bytes(b"")
+    pages = ef.fetched_pages(ef.read_filing_html(spark, str(tmp_path)))
+    got = {r.url[-5]: r.html for r in pages.collect()}
+    assert got["a"].endswith("<p>café £</p>") and got["b"] == "<p>café £</p>" and got["c"] == "<p>caf\ufffd</p>" and got["d"] == ""
+
+
 def test_file_sources(spark, tmp_path):
     sub = {"cik": "42", "filings": {"recent": {
         "accessionNumber": ["a2", "a1"], "filingDate": ["2021-01-01", "2020-01-01"],

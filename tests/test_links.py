@@ -100,3 +100,13 @@ def test_links_view_columns(ids, filings):
 def test_year_options(spark):
     r = spark.range(1).select(cov.year_options(2019, 2022).alias("y")).first().y
     assert r == [2022, 2021, 2020, 2019]
+
+
+def test_text_bundle_keeps_images_tables_and_failed_pages(spark):
+    from filings_engine.plans.proxy_links import proxy_texts
+    links = spark.createDataFrame([("A", "u1", dt.date(2020, 1, 1), 0), ("A", "u2", dt.date(2021, 1, 1), 1), ("B", "u3", dt.date(2020, 1, 1), 2)],
+                                  "ticker string, doc_url string, filingDate date, ordinal long")
+    docs = spark.createDataFrame([("u1", ("x MARK y", ["i"], ["t"])), ("u3", None)],
+                                 "doc_url string, document struct<text: string, images: array<string>, tables: array<string>>")
+    got = {r.ticker: (r.text, r.images, r.tables) for r in proxy_texts(links, docs, "MARK").collect()}
+    assert got == {"A": (" y", ["i"], ["t"]), "B": (None, None, None)}

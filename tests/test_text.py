@@ -69,6 +69,19 @@ def test_tfidf_scores_rank_term_overlap(spark):
     assert s[0] > 0 and s[1] == 0.0 and s[2] is None
 
 
+def test_frequent_terms_change_no_score(spark, monkeypatch):
+    chunks = [(i, 0, "the bonus " + " ".join(f"w{(i * k) % 37}" for k in range(1, 9))) for i in range(60)]
+    ch = spark.createDataFrame(chunks, "doc_id long, chunk_id long, chunk string")
+
+    def scores():
+        return {r.doc_id: round(r.score, 12) for r in rt.tfidf_scores(ch, "the bonus w3 w5").collect()}
+    expected = None
+    for most in (0, 10, 1000):                  # none, a few, all terms go by broadcast
+        monkeypatch.setattr(rt, "FREQUENT_TERMS", most)
+        expected = expected or scores()
+        assert scores() == expected
+
+
 def test_answers_beyond_the_json_attempts(spark):
     rows = [(1, 7, '{"a": "x"}'), (2, 1, '{"a": "x"} trailing }'), (2, 2, '{"a": "y"}'), (3, 1, "junk"), (3, 6, '{"a": "x"}'), (4, 1, '{"a": 1}, {"b": 2}'), (5, 1, None)]
     parsed = pr.parse_answers(spark.createDataFrame(rows, "doc_id int, attempt int, content string"), ["doc_id"])
