@@ -150,7 +150,8 @@ def page_html(content) -> Column:
 
 def read_filing_html(spark: SparkSession, path: str) -> DataFrame:
     """Landed filing pages: ``(doc_id, url, status, html)``; one file = one
-    page, known by its path; a landed page was fetched, so its status is 200."""
+    page, known by its path; a landed page was fetched, so its status is 200.
+    Spark's file scan skips files without a byte: they have no row here."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.col("path").alias("doc_id"), F.col("path").alias("url"), F.lit(200).alias("status"),
                         page_html("content").alias("html"))
