@@ -13,7 +13,14 @@ def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentence_spans.repeated_sentences(table(spark, sf_dir, "documents"))
+    return _spans(sentence_spans.repeated_sentences(table(spark, sf_dir, "documents")))
+
+
+def op2_whole_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(sentence_spans.repeated_sentences(table(spark, sf_dir, "documents"), whole=True))
+
+
+def _spans(found: DataFrame) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.size("sentences").cast("long").alias("n_removed"),
                         F.array_join(F.col("sentences").cast("array<string>"), ",").alias("sentences"), F.col("first_key").alias("first_doc_id"))
 
@@ -55,7 +62,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_tool_calls, op2_sentence_spans, op3_sharding, op4_url_filter, op5_template_decontam, op6_language_id, op7_pii, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_tree)}
+    op1_tool_calls, op2_sentence_spans, op2_whole_passages, op3_sharding, op4_url_filter, op5_template_decontam, op6_language_id, op7_pii, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_tree)}
 
 _HEX = "".join(f"replace(" for _ in range(16))
 _BITS = _HEX + "translate(md5(coalesce(doc_id::varchar, chr(0))), '01', 'gh')" + "".join(

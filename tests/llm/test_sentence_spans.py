@@ -56,3 +56,24 @@ def test_planted_passages(spark):
     rows = [(i, text(80) + (" " + passage + " " if i % 4 == 0 else " ") + text(60)) for i in range(40)]
     got = {x.key: x.first_key for x in S.repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 0 for i in range(4, 40, 4)}
+
+
+def test_whole_passages(spark):
+    long = "the only sentence of this copied passage has quite a few words but no end"
+    short = "".join(f"w{i}. " for i in range(30))
+    tabs, han = "\t".join(f"c{i}" for i in range(14)) + "\n", "这是一个没有空格的很长的句子而且是复制的\n"
+    rows = [(1, long), (2, long), (3, "Ahead of it. " + long + ". Some more."), (4, "One. " + long + ". Two."),
+            (5, short + "x y."), (6, "Other. " + short + "z."), (7, "a.\n" + tabs + "b."), (8, "c.\n" + tabs + "d."), (9, "e\n" + han + "f"), (10, "g\n" + han + "h"), (11, "Few words."), (12, "Few words.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.key for r in S.repeated_sentences(docs).collect()} == set()
+    out = {r.doc_id: r.text for r in S.remove_repeats(docs, whole=True).collect()}
+    assert out[1] == long and out[2] == "" and out[4] == "One. Two."
+    assert out[6] == "Other. z." and out[8] == "c.\nd." and out[10] == "g\nh"
+    assert all(out[k] == dict(rows)[k] for k in (1, 3, 5, 7, 9, 11, 12))
+
+
+def test_whole_keeps_what_the_pairs_find(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pairs = {(r.key, r.row): set(r.sentences) for r in S.repeated_sentences(docs).collect()}
+    whole = {(r.key, r.row): set(r.sentences) for r in S.repeated_sentences(docs, whole=True).collect()}
+    assert pairs and all(s <= whole[k] for k, s in pairs.items())
