@@ -89,13 +89,19 @@ def holds(kind: Column, span: Column) -> Column:
             .otherwise(F.length(d).between(9, 15)))
 
 
+def gates() -> dict[str, dict[bool, Column]]:
+    """Whether a text(text, digit) can hold a match at all, where digits do not tell: each
+    form of ``AT`` implies the gate of the email generator."""
+    low = F.lower("text")
+    return {"email": {True: F.col("text").contains("@"), False: F.col("text").contains("@") | low.contains(" at ") | low.contains(" dot ") | low.rlike(r"[\[(]\x20?(?:dot|at|\.|@)")},
+            "phone": {True: F.col("text").contains("+") & F.col("digit"), False: F.col("digit")}}
+
+
 def matches(docs: DataFrame) -> DataFrame:
     """(key, row, kind, base, start, end, span, before) of every match of
     every pattern in docs(key, text)."""
     rows = docs.where("text is not null").select("key", F.xxhash64("text").alias("row"), "text").withColumn("digit", F.col("text").rlike("[0-9]"))
-    low = F.lower("text")
-    gate = {"email": {True: F.col("text").contains("@"), False: F.col("text").contains("@") | low.contains(" dot ") | low.rlike(r"[\[(]\x20?(?:dot|at|\.|@)")},
-            "phone": {True: F.col("text").contains("+") & F.col("digit"), False: F.col("digit")}}
+    gate = gates()
     sets = []
     for k, kind in enumerate(KINDS):
         for base in (True, False):

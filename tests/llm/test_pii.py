@@ -3,6 +3,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from filings_engine.llm import pii as P
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -73,3 +75,12 @@ def test_redaction(spark, monkeypatch):
     got = sorted((tuple(r) for r in P.redact(docs).collect()), key=lambda r: r[2])
     assert got == [(1, "write to [EMAIL] or [IP] é", "a"), (2, "nothing here", "b"), (None, None, "c"), (3, "x" * 14 + " [EMAIL]", "d"), (1, "write to [EMAIL] or [IP] é", "e"),
                    (4, "no [CARD] end\n.", "f"), (5, "", "g")]
+
+
+def test_gate_is_implied(spark, monkeypatch):
+    texts = ["john at example.com", "John AT example.com", "john (at) example.com", "john[ @ ]example.com", "john at example dot com", "john@example (dot) com", "look at this", "none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    proposed = lambda: sorted((r.key, r.start, r.end) for r in P.matches(docs).where("kind = 0 and not base").collect())
+    got = proposed()
+    monkeypatch.setattr(P, "gates", lambda: {k: {True: F.lit(True), False: F.lit(True)} for k in ("email", "phone")})
+    assert got == proposed() and (0, 0, 19) in got and (1, 0, 19) in got
