@@ -35,7 +35,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return template_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+    return template_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_case=True).drop("row")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,10 @@ names is caught, a chance mix of slots is not.  A document is contaminated by an
 item if consistent placements cover ``min_share`` of the item's windows or
 ``min_run`` words.
 
+Capitals decide what is a name, so a copy in other case has other templates.  With
+``any_case`` the lower-cased words themselves are searched as well, by the same windows; the
+query and ``keep_clean`` do so.
+
 The benchmark's windows are broadcast only if their counted rows are at most
 ``broadcast_rows``; beyond that they are landed and joined by shuffle, where
 adaptive execution can split a hot window.
@@ -67,6 +71,11 @@ def template_hashes(words: Column, digits: Column) -> Column:
     return F.when(digits, full).otherwise(plain)
 
 
+def plain_hashes(words: Column) -> Column:
+    """Hash of each lower-cased word as it stands, apart from those of templates."""
+    return F.transform(words, lambda w: F.xxhash64(F.translate(w, NAME, ""), F.lit(1)))
+
+
 def with_windows(hashed: DataFrame, k: int) -> DataFrame:
     """hashed(.., h, n: size of h) with ``w``: the hashes of all windows of k entries,
     built by doubling.  Each level is a projection of its own, so it is evaluated once;
@@ -83,8 +92,9 @@ def with_windows(hashed: DataFrame, k: int) -> DataFrame:
     return df.withColumn("w", F.slice(name, 1, F.greatest(F.col("n") - (k - 1), F.lit(0))))
 
 
-def benchmark_windows(items: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """(item, at, k, hash, n_windows, n_words, fillers) of the windows to search."""
+def benchmark_windows(items: DataFrame, key: str, text: str, window: int, any_case: bool) -> DataFrame:
+    """(item, at, k, h: word hashes, n_windows, n_words, fillers, plain) of the windows to
+    search; ``plain`` ones hold lower-cased words instead of templates."""
     t = items.select(F.col(key).alias("item"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
     t = t.groupBy("words").agg(F.min("item").alias("item"))
     before = F.concat(F.array(F.lit("")), F.col("words"))
@@ -95,39 +105,49 @@ def benchmark_windows(items: DataFrame, key: str, text: str, window: int) -> Dat
     literals = F.size(F.filter("part", lambda x: x["kind"].isNull()))
     t = t.where(literals >= MIN_LITERALS)
     fillers = F.transform("part", lambda x: F.when(x["kind"].isNotNull(), x["w"]))
-    template = F.transform("part", lambda x: F.coalesce(x["kind"], x["w"]))
-    return t.select("item", F.col("n").alias("n_words"), (F.col("n") - F.col("k") + 1).alias("n_windows"), "at", "k",
-                    fillers.alias("fillers"), template.alias("template"))
+    template = F.transform("part", lambda x: F.xxhash64(F.coalesce(x["kind"], x["w"])))
+    forms = [F.struct(F.lit(False).alias("plain"), template.alias("h"), fillers.alias("fillers"))]
+    if any_case:
+        none = F.transform("part", lambda x: F.lit(None).cast("string"))
+        forms.append(F.struct(F.lit(True).alias("plain"), plain_hashes(F.transform("part", lambda x: x["w"])).alias("h"), none.alias("fillers")))
+    t = t.withColumn("form", F.explode(F.array(*forms)))
+    return t.select("item", F.col("n").alias("n_words"), (F.col("n") - F.col("k") + 1).alias("n_windows"), "at", "k", "form.*")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-                 window: int = WINDOW, min_share: float = MIN_SHARE, min_run: int = MIN_RUN, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                 window: int = WINDOW, min_share: float = MIN_SHARE, min_run: int = MIN_RUN, broadcast_rows: int = BROADCAST_ROWS,
+                 any_case: bool = False) -> DataFrame:
     """(key, item_id, matched_windows, item_windows, longest_run_words, first_word,
     row), one row per contaminated document and item; ``row`` is the hash of the
     text, and first_word the document's word where the earliest placement starts."""
     # the hashing of a short window must agree with the doubling on the documents' side
-    known = benchmark_windows(items, item_key, item_text, window)
+    known = benchmark_windows(items, item_key, item_text, window, any_case)
     lengths = sorted(r.k for r in known.select("k").distinct().collect())       # at most ``window`` values
-    known = known.withColumn("h", F.transform("template", lambda w: F.xxhash64(w))).withColumn("n", F.size("h"))
+    known = known.withColumn("n", F.size("h"))
     sized = [with_windows(known.where(F.col("k") == k), k).withColumn("hash", F.col("w")[0]).select("hash", *known.columns) for k in lengths]
     known = cut_lineage(reduce(DataFrame.unionByName, sized) if sized else known.withColumn("hash", F.lit(0).cast("long")).limit(0))
+    plain = known.where("plain").limit(1).count() > 0
     small = known.count() <= broadcast_rows
-    index = known.select("item", "at", "k", "hash", "n_words", "n_windows", F.exists("fillers", lambda x: x.isNotNull()).alias("slots"))
+    index = known.select("item", "at", "k", "hash", "n_words", "n_windows", "plain", F.exists("fillers", lambda x: x.isNotNull()).alias("slots"))
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
     found = None
     hashed = rows.select("key", F.xxhash64("text").alias("row"), F.col("text").rlike("[0-9]").alias("digits"), words_of(F.col("text")).alias("words"))
-    hashed = hashed.select("key", "row", template_hashes(F.col("words"), F.col("digits")).alias("h")).withColumn("n", F.size("h"))
+    # the plain words follow the template words; a window across both matches nothing
+    both = template_hashes(F.col("words"), F.col("digits"))
+    both = F.concat(both, plain_hashes(F.col("words"))) if plain else both
+    hashed = hashed.select("key", "row", F.size("words").alias("size"), both.alias("h")).withColumn("n", F.size("h"))
     for k in lengths:
         # outer: a plain one infers a filter on the array, which would be built twice for it
-        w = with_windows(hashed, k).select("key", "row", F.posexplode_outer("w").alias("pos", "hash"))
+        w = with_windows(hashed, k).select("key", "row", "size", F.posexplode_outer("w").alias("pos", "hash"))
         side = index.where(F.col("k") == k).drop("k")
         m = w.join(F.broadcast(side) if small else side, "hash").withColumn("k", F.lit(k))
         found = m if found is None else found.unionByName(m)
     if found is None:
-        found = (hashed.select("key", "row", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("hash"))
+        found = (hashed.select("key", "row", "size", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("hash"))
                  .join(index.drop("k"), "hash").withColumn("k", F.lit(1)).limit(0))
     placed = ["key", "row", "item", "diagonal"]
+    found = found.withColumn("pos", F.col("pos") - F.when(F.col("plain"), F.col("size")).otherwise(0)).drop("size", "plain")
     found = cut_lineage(found.withColumn("diagonal", F.col("pos") - F.col("at")).drop("hash").distinct())
 
     # only placements with slots need the documents' fillers
@@ -146,7 +166,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                .where("pairs > a or pairs > b").select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.col("item").alias("_item"), F.col("diagonal").alias("_diagonal")))
         found = found.join(bad, F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")) & (F.col("item") == F.col("_item")) & (F.col("diagonal") == F.col("_diagonal")), "left_anti")
 
-    runs = found.groupBy(*placed).agg(F.count("*").alias("n"), F.first("k").alias("k"), F.min("pos").alias("pos"))
+    runs = found.groupBy(*placed).agg(F.count_distinct("pos").alias("n"), F.first("k").alias("k"), F.min("pos").alias("pos"))
     longest = runs.groupBy("key", "row", "item").agg(F.max(F.col("n") + F.col("k") - 1).alias("longest_run_words"))
     share = found.groupBy("key", "row", "item", "n_windows", "n_words").agg(F.count_distinct("at").alias("matched_windows"), F.min("pos").cast("long").alias("first_word"))
     longest = longest.select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.col("item").alias("_item"), "longest_run_words")
@@ -158,5 +178,5 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, all columns."""
-    hits = contaminated(docs, items, key, text).select(F.col(key).alias("_key"), F.col("row").alias("_row")).distinct()
+    hits = contaminated(docs, items, key, text, any_case=True).select(F.col(key).alias("_key"), F.col("row").alias("_row")).distinct()
     return docs.join(hits, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_row")), "left_anti")

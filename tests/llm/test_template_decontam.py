@@ -85,3 +85,10 @@ def test_against_plain_search(spark):
     got = T.contaminated(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"))
     got = {(r.doc_id, r.item_id) for r in got.collect()}
     assert want and got >= want and len(got - want) <= 0.05 * len(want)
+
+
+def test_exact_copies_in_changed_case(spark):
+    item = QUESTION + " Say, Who Pays, and Where Is Karl, Or Eva, of Rome then?"
+    texts = [(1, item.upper()), (2, item.lower()), (3, item.title()), (4, "well, " + item), (5, "plain text about nothing of the kind that the item asks for"), (6, item.swapcase())]
+    assert find(spark, texts, [(1, item)], any_case=True) == [(False, i, 1) for i in (1, 2, 3, 4, 6)]
+    assert find(spark, texts, [(1, item)], any_case=True, broadcast_rows=0) == [(False, i, 1) for i in (1, 2, 3, 4, 6)]
