@@ -5,10 +5,10 @@ numbers, names (a capital after a lower-case word, comma or semicolon) and units
 (after a number) become typed placeholders.  Every window of ``window`` template
 words is hashed; benchmark windows with at least ``MIN_LITERALS`` literal words
 are joined with the windows of all documents.  Matches of a document and an item
-on one diagonal (document position minus item position) are one placement.  A
-placement counts if its slots are consistent: each filler of the item meets one
-filler of the document and the reverse, so a question with other numbers or
-names is caught, a chance mix of slots is not.  A document is contaminated by an
+on one diagonal (document position minus item position) are one placement.  Its
+slots are consistent if each filler of the item meets one filler of the document
+and the reverse; windows with a slot that conflicts do not count, the others do.  So
+a question with other numbers or names is caught, a chance mix of slots is not.  A document is contaminated by an
 item if consistent placements cover ``min_share`` of the item's windows or
 ``min_run`` words.
 
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filings_engine.llm.common import cut_lineage
 
@@ -152,7 +152,6 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
     # only placements with slots need the documents' fillers
     open_slots = found.where("slots").select(*placed, "pos", "at", "k")
-    bad = None
     if open_slots.limit(1).count():
         wanted = open_slots.select("key", "row").distinct().withColumnRenamed("key", "_key").withColumnRenamed("row", "_row")
         again = rows.withColumn("row", F.xxhash64("text")).join(wanted, F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")), "left_semi")
@@ -161,10 +160,17 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         slots = (open_slots.join(items_slots, (F.col("item") == F.col("_item")) & (F.col("at") == F.col("_at")) & (F.col("k") == F.col("_k")))
                  .select("key", "row", "item", "diagonal", (F.col("pos") + F.col("o")).alias("p"), "item_filler").distinct())
         met = slots.withColumnRenamed("key", "_key").join(again, F.col("_key").eqNullSafe(F.col("key")) & (slots["row"] == again["row"]) & (slots["p"] == again["p"]))
-        met = met.select(F.col("_key").alias("key"), slots["row"], "item", "diagonal", "item_filler", "doc_filler")
-        bad = (met.groupBy(*placed).agg(F.countDistinct("item_filler", "doc_filler").alias("pairs"), F.countDistinct("item_filler").alias("a"), F.countDistinct("doc_filler").alias("b"))
-               .where("pairs > a or pairs > b").select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.col("item").alias("_item"), F.col("diagonal").alias("_diagonal")))
-        found = found.join(bad, F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")) & (F.col("item") == F.col("_item")) & (F.col("diagonal") == F.col("_diagonal")), "left_anti")
+        met = cut_lineage(met.select(F.col("_key").alias("key"), slots["row"], "item", "diagonal", slots["p"], "item_filler", "doc_filler"))
+        # a pair of fillers conflicts if one of the two has another partner in the placement
+        pairs = met.select(*placed, "item_filler", "doc_filler").distinct()
+        partners = [F.count("*").over(Window.partitionBy(*placed, side)) > 1 for side in ("item_filler", "doc_filler")]
+        pairs = pairs.withColumn("bad", partners[0]).withColumn("bad", F.col("bad") | partners[1]).where("bad")
+        pairs = pairs.select(*[F.col(c).alias(f"_{c}") for c in (*placed, "item_filler", "doc_filler")])
+        same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")) & (F.col("item") == F.col("_item")) & (F.col("diagonal") == F.col("_diagonal"))
+        bad = met.join(pairs, same & (F.col("item_filler") == F.col("_item_filler")) & (F.col("doc_filler") == F.col("_doc_filler")), "left_semi")
+        bad = bad.join(open_slots.select(*[F.col(c).alias(f"_{c}") for c in placed], "k").distinct(), same)
+        bad = bad.select(*[F.col(c).alias(f"_{c}") for c in placed], F.explode(F.sequence(F.col("p") - F.col("k") + 1, F.col("p"))).alias("_pos")).distinct()
+        found = found.join(bad, same & (F.col("pos") == F.col("_pos")) & F.col("slots"), "left_anti")
 
     runs = found.groupBy(*placed).agg(F.count_distinct("pos").alias("n"), F.first("k").alias("k"), F.min("pos").alias("pos"))
     longest = runs.groupBy("key", "row", "item").agg(F.max(F.col("n") + F.col("k") - 1).alias("longest_run_words"))

@@ -92,3 +92,14 @@ def test_exact_copies_in_changed_case(spark):
     texts = [(1, item.upper()), (2, item.lower()), (3, item.title()), (4, "well, " + item), (5, "plain text about nothing of the kind that the item asks for"), (6, item.swapcase())]
     assert find(spark, texts, [(1, item)], any_case=True) == [(False, i, 1) for i in (1, 2, 3, 4, 6)]
     assert find(spark, texts, [(1, item)], any_case=True, broadcast_rows=0) == [(False, i, 1) for i in (1, 2, 3, 4, 6)]
+
+
+def test_conflicts_leave_the_other_windows(spark):
+    words = " ".join(f"word{c}" for c in "abcdefghijklmnopqrst")
+    item = words + " costs 3 coins or 5 coins in the end"
+    texts = [(1, item.replace("3", "4").replace("5", "4")), (2, words[:60] + " costs 4 coins or 4 coins in the end"), (None, item.replace("3", "4").replace("5", "4"))]
+    assert find(spark, texts, [(1, item)], min_share=0.7) == [(False, 1, 1), (True, None, 1)]
+    twice = "so 3 old men of the far west had 3 hats and " + words
+    assert find(spark, [(1, twice.replace("3 hats", "7 hats"))], [(1, twice)], min_share=1) == [(False, 1, 1)]
+    short = "so 3 old men of the far west had 3 hats"
+    assert find(spark, [(1, short.replace("3 hats", "7 hats"))], [(1, short)], min_run=99) == []
