@@ -12,6 +12,11 @@ a question with other numbers or names is caught, a chance mix of slots is not.
 item if consistent placements cover ``min_share`` of the item's windows or
 ``min_run`` words.
 
+Windows with fewer literals are searched by their lower-cased words, so a verbatim copy
+of them counts; the share is that of all windows or of the template windows alone,
+whichever is larger.  An item's first word is searched as a name and as a literal, since
+the text before a copy decides which it is there.
+
 Capitals decide what is a name, so a copy in other case has other templates.  With
 ``any_case`` the lower-cased words themselves are searched as well, by the same windows; the
 query and ``keep_clean`` do so.
@@ -93,25 +98,39 @@ def with_windows(hashed: DataFrame, k: int) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame, key: str, text: str, window: int, any_case: bool) -> DataFrame:
-    """(item, at, k, h: word hashes, n_windows, n_words, fillers, plain) of the windows to
-    search; ``plain`` ones hold lower-cased words instead of templates."""
-    t = items.select(F.col(key).alias("item"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
-    t = t.groupBy("words").agg(F.min("item").alias("item"))
+    """(item, at, k, h: word hashes, n_windows, n_open, n_words, fillers, plain, open) of the
+    windows to search; ``plain`` ones hold lower-cased words instead of templates, ``open``
+    ones (``n_open`` of an item) have enough literals for a template."""
+    t = items.select(F.col(key).alias("item"), words_of(F.col(text)).alias("words"),
+                     F.col(text).rlike(r"^[^\p{L}\p{M}\p{N}]*\p{Lu}").alias("capital")).where(F.size("words") > 0)
+    t = t.groupBy("words").agg(F.min("item").alias("item"), F.bool_or("capital").alias("capital"))
     before = F.concat(F.array(F.lit("")), F.col("words"))
-    t = t.select("item", F.zip_with("words", F.slice(before, 1, F.size("words")), lambda w, b: F.struct(w.alias("w"), kind_of(w, b).alias("kind"))).alias("slots"))
+    start = F.col("words")[0]
+    turned = F.when(start.startswith(NAME), F.translate(start, NAME, "")).when(F.col("capital"), F.concat(F.lit(NAME), start))
+    t = t.select("item", turned.alias("turned"), F.zip_with("words", F.slice(before, 1, F.size("words")), lambda w, b: F.struct(w.alias("w"), kind_of(w, b).alias("kind"))).alias("slots"))
     t = t.withColumn("n", F.size("slots")).withColumn("k", F.least(F.lit(window), F.col("n")))
-    t = t.select("item", "n", "k", "slots", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k"))).alias("at"))
-    t = t.withColumn("part", F.slice("slots", F.col("at") + 1, F.col("k")))
-    literals = F.size(F.filter("part", lambda x: x["kind"].isNull()))
-    t = t.where(literals >= MIN_LITERALS)
-    fillers = F.transform("part", lambda x: F.when(x["kind"].isNotNull(), x["w"]))
-    template = F.transform("part", lambda x: F.xxhash64(F.coalesce(x["kind"], x["w"])))
-    forms = [F.struct(F.lit(False).alias("plain"), template.alias("h"), fillers.alias("fillers"))]
-    if any_case:
-        none = F.transform("part", lambda x: F.lit(None).cast("string"))
-        forms.append(F.struct(F.lit(True).alias("plain"), plain_hashes(F.transform("part", lambda x: x["w"])).alias("h"), none.alias("fillers")))
-    t = t.withColumn("form", F.explode(F.array(*forms)))
-    return t.select("item", F.col("n").alias("n_words"), (F.col("n") - F.col("k") + 1).alias("n_windows"), "at", "k", "form.*")
+    literals = lambda part: F.size(F.filter(part, lambda x: x["kind"].isNull()))
+    t = t.where(literals(F.col("slots")) >= MIN_LITERALS)
+    window_at = lambda at: F.slice("slots", at + 1, F.col("k"))
+    ats = F.sequence(F.lit(0), F.col("n") - F.col("k"))
+    t = t.withColumn("n_open", F.size(F.filter(ats, lambda a: literals(window_at(a)) >= MIN_LITERALS)))
+    t = t.select("item", "turned", "n", "n_open", "k", "slots", F.explode(ats).alias("at"))
+    t = t.withColumn("part", window_at(F.col("at")))
+    other = F.when((F.col("at") == 0) & F.col("turned").isNotNull(), F.concat(
+        F.array(F.struct(F.col("turned").alias("w"), kind_of(F.col("turned"), F.lit("")).alias("kind"))), F.slice("slots", F.lit(2), F.col("k") - 1)))
+    t = t.withColumn("other", other)
+
+    def form(part):
+        fillers = F.transform(part, lambda x: F.when(x["kind"].isNotNull(), x["w"]))
+        template = F.transform(part, lambda x: F.xxhash64(F.coalesce(x["kind"], x["w"])))
+        return F.when(literals(F.col(part)) >= MIN_LITERALS, F.struct(F.lit(False).alias("plain"), template.alias("h"), fillers.alias("fillers")))
+
+    dense = literals(F.col("part")) < MIN_LITERALS
+    none = F.transform("part", lambda x: F.lit(None).cast("string"))
+    plain = F.struct(F.lit(True).alias("plain"), plain_hashes(F.transform("part", lambda x: x["w"])).alias("h"), none.alias("fillers"))
+    wanted = F.lit(any_case) | dense | F.coalesce(F.col("other").isNotNull() & (literals(F.col("other")) < MIN_LITERALS), F.lit(False))
+    t = t.withColumn("open", ~dense).withColumn("form", F.explode(F.filter(F.array(form("part"), form("other"), F.when(wanted, plain)), lambda x: x.isNotNull())))
+    return t.select("item", F.col("n").alias("n_words"), (F.col("n") - F.col("k") + 1).alias("n_windows"), "n_open", "open", "at", "k", "form.*")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
@@ -128,7 +147,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     known = cut_lineage(reduce(DataFrame.unionByName, sized) if sized else known.withColumn("hash", F.lit(0).cast("long")).limit(0))
     plain = known.where("plain").limit(1).count() > 0
     small = known.count() <= broadcast_rows
-    index = known.select("item", "at", "k", "hash", "n_words", "n_windows", "plain", F.exists("fillers", lambda x: x.isNotNull()).alias("slots"))
+    index = known.select("item", "at", "k", "hash", "n_words", "n_windows", "n_open", "open", "plain", F.exists("fillers", lambda x: x.isNotNull()).alias("slots"))
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
     found = None
@@ -174,10 +193,12 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
     runs = found.groupBy(*placed).agg(F.count_distinct("pos").alias("n"), F.first("k").alias("k"), F.min("pos").alias("pos"))
     longest = runs.groupBy("key", "row", "item").agg(F.max(F.col("n") + F.col("k") - 1).alias("longest_run_words"))
-    share = found.groupBy("key", "row", "item", "n_windows", "n_words").agg(F.count_distinct("at").alias("matched_windows"), F.min("pos").cast("long").alias("first_word"))
+    windows = found.groupBy("key", "row", "item", "n_windows", "n_open", "n_words", "at", "open").agg(F.min("pos").alias("pos"))
+    share = windows.groupBy("key", "row", "item", "n_windows", "n_open", "n_words").agg(F.count("*").alias("matched_windows"), F.count_if("open").alias("matched_open"), F.min("pos").cast("long").alias("first_word"))
     longest = longest.select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.col("item").alias("_item"), "longest_run_words")
     out = share.join(longest, F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")) & (F.col("item") == F.col("_item")))
-    out = out.where((F.col("matched_windows") >= min_share * F.col("n_windows")) | (F.col("longest_run_words") >= min_run))
+    out = out.where((F.col("matched_windows") >= min_share * F.col("n_windows")) |
+                    ((F.col("n_open") > 0) & (F.col("matched_open") >= min_share * F.col("n_open"))) | (F.col("longest_run_words") >= min_run))
     return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "matched_windows", F.col("n_windows").cast("long").alias("item_windows"),
                       F.col("longest_run_words").cast("long").alias("longest_run_words"), "first_word", "row")
 

@@ -103,3 +103,13 @@ def test_conflicts_leave_the_other_windows(spark):
     assert find(spark, [(1, twice.replace("3 hats", "7 hats"))], [(1, twice)], min_share=1) == [(False, 1, 1)]
     short = "so 3 old men of the far west had 3 hats"
     assert find(spark, [(1, short.replace("3 hats", "7 hats"))], [(1, short)], min_run=99) == []
+
+
+def test_dense_windows_and_first_words(spark):
+    dense = "Add 3 and 4 then 5 6 7 8 9 10 11 12 or 13 14"
+    half = "what is the total of all these numbers 1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 10 11 12"
+    short, bare = "Paris lies on the river Seine", "1 2 3"
+    items = [(1, dense), (2, half), (3, short), (4, bare)]
+    texts = [(1, "so: " + dense + " end"), (2, "so: " + half.replace("1 2 3", "1 2 4")), (3, "they say Paris lies on the river Seine"), (4, "1 2 3"), (5, dense.replace(" 8 ", " 80 ")), (6, "in short, Rome lies on the river Tiber")]
+    for rows in (T.BROADCAST_ROWS, 0):
+        assert find(spark, texts, items, min_run=99, broadcast_rows=rows) == [(False, 1, 1), (False, 2, 2), (False, 3, 3), (False, 6, 3)]
