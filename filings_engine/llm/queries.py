@@ -9,7 +9,7 @@ from filings_engine.llm.common import table
 
 
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.link_calls(*tool_calls.calls_of_turns(table(spark, sf_dir, "conversations")), tool_calls.SCHEMAS)
+    return tool_calls.link_calls(*tool_calls.calls_of_turns(table(spark, sf_dir, "conversations")), tool_calls.SCHEMAS, every=True)
 
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

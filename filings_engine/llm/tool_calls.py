@@ -18,6 +18,12 @@ are counted in ``repeats``; a call without result is ``no_result``, a result wit
 ``no_call`` (null position); dependencies on unknown identifiers are ignored; arguments that are null, not
 JSON, or not finite are invalid with a reason and canonicalised as null; unknown tools
 are invalid.  Extra columns do not take part.
+
+With ``every``, as the query runs it, each input call and result has its row: the calls of
+one identifier are numbered in turn order, ``repeats`` counts those before, and the nth call
+meets the nth result.  Results beyond the calls are ``no_call``, too, or ``extra_result`` if
+the identifier has calls; results without conversation or identifier are ``no_id_result``.
+A dependency is on the last call of its identifier before the asking one, else on the first.
 """
 
 from __future__ import annotations
@@ -128,30 +134,72 @@ def positions(calls: DataFrame) -> DataFrame:
             .withColumn("position", F.col("offset") + F.col("inside") - 1).drop("block", "inside", "offset"))
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows(conv, id, turn, ...) with ``nth``, the place among those of its identifier
+    from 0 on, counted per block of turns and summed."""
+    block = rows.withColumn("block", F.floor(F.col("turn") / TURNS_A_BLOCK))
+    sizes = block.groupBy("conv", "id", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv", "id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("conv", "id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("conv", "id", "block").orderBy("turn", *order))
+    return (block.withColumn("inside", inside).join(sizes, ["conv", "id", "block"])
+            .withColumn("nth", F.col("offset") + F.col("inside") - 1).drop("block", "inside", "offset"))
+
+
+def needed_calls(calls: DataFrame) -> DataFrame:
+    """(conv, id, needed) between the calls(conv, id, turn, nth, needs) themselves, each
+    named by struct(id, nth)."""
+    node = F.struct("id", "nth")
+    at = F.struct("turn", "id", "nth")
+    # each call takes the dependencies behind it up to the next one of its identifier
+    until = F.lead(at).over(Window.partitionBy("conv", "id").orderBy("nth"))
+    asked = calls.select("conv", F.col("id").alias("name"), node.alias("needed"), at.alias("since"), until.alias("until"))
+    asks = calls.select("conv", node.alias("id"), at.alias("at"), F.explode("needs").alias("name"))
+    behind = (F.col("needed.nth") == 0) | (F.col("since") < F.col("at"))
+    met = asks.join(asked.withColumnRenamed("conv", "c").withColumnRenamed("name", "n"), (F.col("conv") == F.col("c")) & (F.col("name") == F.col("n")) & behind & (F.col("until").isNull() | (F.col("at") <= F.col("until"))))
+    return met.select("conv", "id", "needed")
+
+
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict, every: bool = False) -> DataFrame:
     """calls(conv_id, turn, call_id, name, arguments, needs array<string>) and
     results(conv_id, turn, call_id, content) -> (conv_id, position, call_id, name, status,
     repeats, valid, errors, record canonical JSON)."""
     c = calls.select(F.col("conv_id").alias("conv"), F.col("call_id").alias("id"), F.coalesce(F.col("turn"), F.lit(0)).cast("long").alias("turn"), "name", "arguments", "needs")
     r = results.select(F.col("conv_id").alias("conv"), F.col("call_id").alias("id"), F.coalesce(F.col("turn"), F.lit(0)).cast("long").alias("turn"), "content")
     named = F.col("conv").isNotNull() & F.col("id").isNotNull()
-    first = (c.where(named).groupBy("conv", "id").agg(F.min(F.struct("turn", "name", "arguments", "needs")).alias("x"), (F.count("*") - 1).alias("repeats"))
-             .select("conv", "id", "x.*", "repeats"))
+    if every:
+        first = numbered(c.where(named), ["name", "arguments", "needs"]).withColumn("repeats", F.col("nth"))
+        answer = numbered(r.where(named), ["content"]).select("conv", "id", "nth", "content", F.lit(True).alias("answered"))
+    else:
+        first = (c.where(named).groupBy("conv", "id").agg(F.min(F.struct("turn", "name", "arguments", "needs")).alias("x"), (F.count("*") - 1).alias("repeats"))
+                 .select("conv", "id", "x.*", "repeats", F.lit(0).cast("long").alias("nth")))
+        answer = r.where(named).groupBy("conv", "id").agg(F.min(F.struct("turn", "content")).alias("a")).select("conv", "id", F.lit(0).cast("long").alias("nth"), "a.content", F.lit(True).alias("answered"))
     first = cut_lineage(first)
-    answer = r.where(named).groupBy("conv", "id").agg(F.min(F.struct("turn", "content")).alias("a")).select("conv", "id", "a.content", F.lit(True).alias("answered"))
-    needs = first.select("conv", "id", F.explode("needs").alias("needed"))
-    ordered = positions(first.select("conv", "id", "turn").join(levels(first.select("conv", "id", "turn"), needs), ["conv", "id"]))
-    linked = first.drop("turn").join(ordered.select("conv", "id", "position", "cycle"), ["conv", "id"]).join(answer, ["conv", "id"], "full")
-    status = (F.when(F.col("repeats").isNull(), "no_call").when(F.col("cycle"), "cycle").when(F.col("answered").isNull(), "no_result").otherwise("linked"))
-    linked = linked.select("conv", "position", "id", "name", "arguments", "content", status.alias("status"), F.coalesce("repeats", F.lit(0)).cast("long").alias("repeats"))
-    loose = c.where(~named).select("conv", F.lit(None).cast("long").alias("position"), "id", "name", "arguments", F.lit(None).cast("string").alias("content"), F.lit("no_id").alias("status"), F.lit(0).cast("long").alias("repeats"))
+    nodes = first.select("conv", F.struct("id", "nth").alias("id"), "turn")
+    ordered = positions(nodes.join(levels(nodes, needed_calls(first)), ["conv", "id"])).select("conv", "id.id", "id.nth", "position", "cycle")
+    linked = first.drop("turn").join(ordered, ["conv", "id", "nth"]).join(answer, ["conv", "id", "nth"], "full")
+    status = (F.when(F.col("repeats").isNull(), F.when(F.col("nth") > 0, "extra_result").otherwise("no_call")).when(F.col("cycle"), "cycle").when(F.col("answered").isNull(), "no_result").otherwise("linked"))
+    linked = linked.select("conv", "position", "id", "nth", "name", "arguments", "content", status.alias("status"), F.coalesce("repeats", F.lit(0)).cast("long").alias("repeats"))
+    if every:
+        # a result beyond the first of an identifier that has no call at all
+        known = first.where("nth = 0").select(F.col("conv").alias("c"), F.col("id").alias("i"))
+        lost = linked.where("status = 'extra_result'")
+        none = lost.join(known, (F.col("conv") == F.col("c")) & (F.col("id") == F.col("i")), "left_anti").withColumn("status", F.lit("no_call"))
+        some = lost.join(known, (F.col("conv") == F.col("c")) & (F.col("id") == F.col("i")), "left_semi")
+        linked = linked.where("status <> 'extra_result'").unionByName(none).unionByName(some)
+    linked = linked.drop("nth")
+    none = {k: F.lit(None).cast(t) for k, t in (("position", "long"), ("text", "string"))}
+    loose = c.where(~named).select("conv", none["position"].alias("position"), "id", "name", "arguments", none["text"].alias("content"), F.lit("no_id").alias("status"), F.lit(0).cast("long").alias("repeats"))
+    if every:
+        loose = loose.unionByName(r.where(~named).select("conv", none["position"].alias("position"), "id", none["text"].alias("name"), none["text"].alias("arguments"), "content",
+                                                        F.lit("no_id_result").alias("status"), F.lit(0).cast("long").alias("repeats")))
     linked = linked.unionByName(loose)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             valid, errors, records = [], [], []
             for row in zip(*[b.column(k).to_pylist() for k in ("id", "name", "arguments", "content", "status")]):
-                value, bad = check_arguments(row[1], row[2], schemas) if row[4] != "no_call" else (None, [])
+                value, bad = check_arguments(row[1], row[2], schemas) if row[4] not in ("no_call", "extra_result", "no_id_result") else (None, [])
                 valid.append(not bad)
                 errors.append("; ".join(bad))
                 records.append(canonical({"arguments": value, "id": row[0], "name": row[1], "result": row[3], "status": row[4]}))

@@ -70,3 +70,17 @@ def test_conversations(spark):
     turns = spark.createDataFrame([(1, 0, "user", "find\nit"), (1, 1, "assistant", "found"), (1, 2, "user", None), (None, 0, "user", "x"), (2, 0, None, "x"), (2, 1, "assistant", "y"), (1, 0, "user", "find\nit")], "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.call_id): r.status for r in T.link_calls(*T.calls_of_turns(turns), T.SCHEMAS).collect()}
     assert got == {(1, "call_0"): "linked", (1, "call_2"): "no_result", (None, "call_0"): "no_id", (2, "call_0"): "no_call"}
+
+
+def test_every_call_and_result_has_a_row(spark):
+    ok, bad = '{"a": 1}', "{"
+    calls = [(1, 0, "c", "f", ok, [], ""), (1, 2, "c", "f", bad, ["c"], ""), (1, 3000, "c", "f", ok, ["c", "d"], ""), (1, 4, "d", "f", ok, ["c"], ""),
+             (None, 0, "c", "f", ok, [], ""), (2, 0, "s", "f", ok, ["s"], ""), (2, 1, "s", "f", ok, ["s"], "")]
+    results = [(1, 1, "c", "r0", ""), (1, 3, "c", "r1", ""), (1, 5, "d", "r2", ""), (1, 6, "d", "r3", ""), (1, 7, "q", "r4", ""), (1, 8, "q", "r5", ""), (None, 9, "c", "r6", ""), (1, 9, None, "r7", "")]
+    got = T.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), SCHEMA, every=True).collect()
+    rows = [(r.conv_id, r.position, r.call_id, r.status, r.repeats, r.valid, json.loads(r.record)["result"]) for r in got]
+    assert sorted(rows, key=str) == sorted([
+        (1, 0, "c", "linked", 0, True, "r0"), (1, 1, "c", "linked", 1, False, "r1"), (1, 2, "d", "linked", 0, True, "r2"), (1, 3, "c", "no_result", 2, True, None),
+        (None, None, "c", "no_id", 0, True, None), (2, 0, "s", "cycle", 0, True, None), (2, 1, "s", "cycle", 1, True, None),
+        (1, None, "d", "extra_result", 0, True, "r3"), (1, None, "q", "no_call", 0, True, "r4"), (1, None, "q", "no_call", 0, True, "r5"),
+        (None, None, "c", "no_id_result", 0, True, "r6"), (1, None, None, "no_id_result", 0, True, "r7")], key=str)
