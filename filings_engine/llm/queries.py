@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filings_engine.llm import bpe_tree, host_reputation, language_id, line_quality, pii, sentence_spans, sharding, simhash, template_decontam, tool_calls
+from filings_engine.llm import (bpe_tree, host_reputation, language_id, line_quality, maxscore, periodic_runs, pii, sentence_spans, sharding, simhash,
+                                template_decontam, tool_calls)
 from filings_engine.llm.common import table
 
 
@@ -61,8 +62,17 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(bpe_tree.encode_texts(table(spark, sf_dir, "documents")))
 
 
+def op11_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.plant_repeats(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_tool_calls, op2_sentence_spans, op2_whole_passages, op3_sharding, op4_url_filter, op5_template_decontam, op6_language_id, op7_pii, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_tree)}
+    op1_tool_calls, op2_sentence_spans, op2_whole_passages, op3_sharding, op4_url_filter, op5_template_decontam, op6_language_id, op7_pii, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_tree,
+    op11_maxscore, op13_periodic_runs)}
 
 _HEX = "".join(f"replace(" for _ in range(16))
 _BITS = _HEX + "translate(md5(coalesce(doc_id::varchar, chr(0))), '01', 'gh')" + "".join(
@@ -120,4 +130,9 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com
         "STRENGTH", """greatest(2.0, least(1000.0, CASE
              WHEN sum(mean * (1 - mean) * (n - 1)) > 0 AND sum(n * (good / n - mean) ** 2) > sum(mean * (1 - mean))
              THEN sum(mean * (1 - mean) * (n - 1)) / (sum(n * (good / n - mean) ** 2) - sum(mean * (1 - mean))) - 1 ELSE 1000.0 END))"""),
+    "op11_maxscore": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS t FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.t, c.t)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20""",
 }
