@@ -131,8 +131,8 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com
              WHEN sum(mean * (1 - mean) * (n - 1)) > 0 AND sum(n * (good / n - mean) ** 2) > sum(mean * (1 - mean))
              THEN sum(mean * (1 - mean) * (n - 1)) / (sum(n * (good / n - mean) ** 2) - sum(mean * (1 - mean))) - 1 ELSE 1000.0 END))"""),
     "op11_maxscore": """
-WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS t FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS t FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
      s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.t, c.t)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20""",
 }
