@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filings_engine.llm import (bpe_tree, host_reputation, language_id, line_quality, maxscore, periodic_runs, pii, sentence_spans, sharding, simhash,
-                                template_decontam, tool_calls)
+                                template_decontam, token_alignment, tool_calls)
 from filings_engine.llm.common import table
 
 
@@ -66,13 +66,17 @@ def op11_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digests(token_alignment.align_texts(table(spark, sf_dir, "documents")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.plant_repeats(table(spark, sf_dir, "documents"))))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_tool_calls, op2_sentence_spans, op2_whole_passages, op3_sharding, op4_url_filter, op5_template_decontam, op6_language_id, op7_pii, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_tree,
-    op11_maxscore, op13_periodic_runs)}
+    op11_maxscore, op12_token_alignment, op13_periodic_runs)}
 
 _HEX = "".join(f"replace(" for _ in range(16))
 _BITS = _HEX + "translate(md5(coalesce(doc_id::varchar, chr(0))), '01', 'gh')" + "".join(
