@@ -6,9 +6,12 @@ the defaults a user of the links finder would pass for this data
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import Window, functions as F
 
-from filings_engine.session import materialize, spread
+from filings_engine.session import checkpoint_dir, materialize, spread
 from filings_engine.operators import audit as au
 from filings_engine.operators import coverage as cov
 from filings_engine.operators import facts as fx
@@ -25,6 +28,7 @@ from filings_engine.plans import fundamentals as fu
 from filings_engine.plans import summaries as sm
 from filings_engine.sources import adapters as ad
 from filings_engine.sources import edgar_files as ef
+from filings_engine.sources import file_checks as fc
 
 START, END = 1996, 1999
 YEARS = list(range(START, END + 1))
@@ -390,6 +394,42 @@ def q_submissions_parsed(spark, d):
     return ef.parse_submissions(ad.submission_documents(spark, d)).select("cik", *FILING_FIELDS)
 
 
+def _checked(spark, d):
+    """S1-S5 over documents some of which are spoilt: accounts, errors and rows."""
+    summaries = ad.filing_summaries(spark, d).withColumn("doc_order", F.substring("accession", 1, 10).cast("long"))
+    docs = {"identifiers": ad.identifier_documents(spark, d), "submissions": ad.submission_documents(spark, d),
+            "facts": ad.company_facts_documents(spark, d), "concept": ad.company_concept_documents(spark, d, "NO"), "summary": summaries}
+    return {k: fc.check_documents(ad.broken_documents(df, k), k, ["doc_order"]) for k, df in docs.items()}
+
+
+def q_source_files(spark, d):
+    """Every document with its number of rows and what is wrong with it."""
+    parts = [c.files.select(F.lit(k).alias("kind"), "doc_order", "n_rows", "reason") for k, c in _checked(spark, d).items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def q_submissions_checked(spark, d):
+    """The filings of the submission indexes that can be read."""
+    return _checked(spark, d)["submissions"].rows.select("cik", "accessionNumber", "form", "filingDate")
+
+
+def q_facts_checked(spark, d):
+    """S3: the facts of the documents that can be read; a value that is no number is null."""
+    return _checked(spark, d)["facts"].rows.select(FACT_COLS)
+
+
+def q_links_written(spark, d):
+    """The links of all companies are written, one folder a company, then
+    those of every third company again with their newest link only; read back."""
+    links = q_proxy_links(spark, d, sort=False).withColumn("company", F.col("ticker"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/links-{uuid.uuid4().hex}"
+    ef.write_links(links, path, "parquet", partition_by="company")
+    again = links.where(F.col("cik").cast("long") % 3 == 0)
+    newest = again.groupBy("ticker").agg(F.max(F.struct("filingDate", "accessionNumber")).alias("n")).select(F.col("n.accessionNumber").alias("accessionNumber"))
+    ef.write_links(again.join(newest, "accessionNumber", "left_semi").select(links.columns), path, "parquet", partition_by="company")
+    return ef.read_links(spark, path, links, "parquet").drop("company")
+
+
 QUERIES = {
     "proxy_links": q_proxy_links,
     "links_view": q_links_view,
@@ -439,4 +479,8 @@ QUERIES = {
     "company_slices": q_company_slices,
     "statement_urls": q_statement_urls,
     "fact_matrix": q_fact_matrix,
+    "source_files": q_source_files,
+    "submissions_checked": q_submissions_checked,
+    "facts_checked": q_facts_checked,
+    "links_written": q_links_written,
 }

@@ -206,6 +206,27 @@ DOCUMENT_PARTS = """body AS (
                     chr(10) ORDER BY r) AS tables
   FROM ol GROUP BY doc_id)"""
 
+# what is wrong with the document of a key, by kind of document
+def fault(kind: str) -> str:
+    json = kind != "summary"
+    return f"""CASE WHEN k % 53 = 0 THEN 'malformed' WHEN k % 59 = 0 THEN 'empty'
+      WHEN k % 61 = 0 THEN {"'wrong type'" if json else "'missing part'"}
+      {"WHEN k % 67 = 0 THEN 'malformed'" if json else ""}
+      WHEN k % 71 = 0 THEN {"'no rows'" if kind == "identifiers" else "'missing part'"}
+      {"WHEN k % 73 = 0 THEN 'unequal arrays'" if kind == "submissions" else ""} END"""
+
+
+SOURCE_DOCUMENTS = {
+    "identifiers": "SELECT c_custkey AS k, 1 AS n, 0 AS if_wrong FROM customer",
+    "submissions": "SELECT o_orderkey AS k, 1 AS n, 0 AS if_wrong FROM orders",
+    "facts": "SELECT l_orderkey AS k, count(*) AS n, count(*) AS if_wrong FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    "concept": "SELECT l_orderkey AS k, count(*) AS n, count(*) AS if_wrong FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+               "WHERE l_returnflag || l_linestatus = 'NO' GROUP BY 1",
+    "summary": "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 3 ELSE 4 END AS n, 0 AS if_wrong FROM orders"}
+SOURCE_FILES = " UNION ALL ".join(f"""SELECT '{kind}' AS kind, k AS doc_order,
+      CAST(CASE WHEN reason IS NULL THEN n WHEN reason = 'wrong type' THEN if_wrong ELSE 0 END AS BIGINT) AS n_rows, reason
+      FROM (SELECT *, {fault(kind)} AS reason FROM ({docs}) d) x""" for kind, docs in SOURCE_DOCUMENTS.items())
+
 SQL = {
     "proxy_links": f"{LINKS} SELECT {LINK_COLS} FROM links",
     "links_view": f"{LINKS} {VIEW}",
@@ -421,9 +442,12 @@ SQL = {
         || ', please give me the proxy target and actual values. Keep your response as short as possible.' || c
         FROM ctx JOIN documents USING (doc_id)
       UNION ALL SELECT doc_id, 3, 1, 'user', 'Query ' || {sql_str(THIRD_QUESTION)} || c FROM ctx""",
+    "source_files": SOURCE_FILES,
+    "submissions_checked": f"""WITH {FILINGS} SELECT cik, accessionNumber, form, filingDate FROM (SELECT *, o_orderkey AS k FROM filings) f
+      WHERE {fault('submissions')} IS NULL""",
+    "facts_checked": f"""WITH {FACT_LINES}, f AS (SELECT *, l_orderkey AS k FROM fl), g AS (SELECT *, {fault('facts')} AS reason FROM f)
+      SELECT cik, taxonomy, fact, label, unit, start, "end", CASE WHEN reason IS NULL THEN val END AS val, accn, form, filed FROM g
+      WHERE coalesce(reason, 'wrong type') = 'wrong type'""",
+    "links_written": f"""{LINKS}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY filingDate DESC, accessionNumber DESC) AS n FROM links)
+      SELECT {LINK_COLS} FROM r WHERE CAST(cik AS BIGINT) % 3 <> 0 OR n = 1""",
 }
-SQL["company_profile"] = " UNION ALL ".join(
-    f"SELECT cik, '{part}' AS part, count(*) AS n FROM ({SQL[query]}) GROUP BY cik"
-    for part, query in [("facts", "facts_dedup"), ("annual", "annual_facts"), ("quarterly", "quarterly_facts"),
-                        ("statements", "company_statements"), ("statement_errors", "company_statement_errors"),
-                        ("assets", "concept_series")])

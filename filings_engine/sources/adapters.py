@@ -336,4 +336,26 @@ def submission_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filings_engine.schemas import FILING_FIELDS
     recent = F.struct(*[F.array(F.col(c)).alias(c) for c in FILING_FIELDS])
     doc = F.struct(F.col("cik"), F.struct(recent.alias("recent")).alias("filings"))
-    return f.select("ordinal", F.to_json(doc).alias("value"))
+    return f.select("ordinal", F.col("filmNumber").cast("long").alias("doc_order"), F.to_json(doc).alias("value"))
+
+
+# --- fixed values of the broken documents: key modulo -> what is wrong ------
+CUT_OFF, EMPTY, WRONG_TYPE, TEXT_BEHIND, NO_PART, UNEQUAL = 53, 59, 61, 67, 71, 73
+# ---------------------------------------------------------------------------
+
+
+def broken_documents(docs: DataFrame, kind: str, key: str = "doc_order") -> DataFrame:
+    """``docs`` with some documents spoilt by key: cut off, empty, with a value of
+    another type, with text behind the object, without the records, and (submission
+    indexes) with arrays of different length."""
+    k, v = F.col(key), F.col("value")
+    wrong = {"identifiers": F.regexp_replace(v, '"cik_str":[0-9]+', '"cik_str":[1]'),
+             "submissions": F.replace(v, F.lit('"recent":{'), F.lit('"recent":"x","other":{')),
+             "summary": F.regexp_replace(v, "(?s)<MyReports>.*</MyReports>", "<MyReports>none</MyReports>")}
+    wrong = wrong.get(kind, F.regexp_replace(v, '"val":[0-9.]+', '"val":"n/a"'))
+    json = kind != "summary"
+    value = (F.when(k % CUT_OFF == 0, F.expr("left(value, length(value) - 9)")).when(k % EMPTY == 0, F.when(k % 2 == 0, F.lit(" \n")))
+             .when(k % WRONG_TYPE == 0, wrong).when((k % TEXT_BEHIND == 0) & json, F.concat(v, F.lit(" {}")))
+             .when(k % NO_PART == 0, F.lit("{}" if json else "<FilingSummary/>"))
+             .when((k % UNEQUAL == 0) & (kind == "submissions"), F.replace(v, F.lit('"form":['), F.lit('"form":["x",'))).otherwise(v))
+    return docs.withColumn("value", value)

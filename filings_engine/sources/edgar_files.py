@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filings_engine import schemas as S
 from filings_engine.functions import pad_cik
+from filings_engine.session import materialize
 
 TEXT = "value"
 
@@ -115,14 +116,18 @@ def parse_filing_summary(df: DataFrame, col: str = TEXT, key_cols: list[str] | N
     met twice keeps the last file."""
     keys = key_cols or []
     x = F.from_xml(col, S.FILING_SUMMARY_XML)
-    rep = (df.select(*keys, F.posexplode(x["MyReports"]["Report"]).alias("pos", "r"))
-           .select(*keys, "pos", F.lower("r.ShortName").alias("short_name"),
-                   F.col("r.LongName").alias("long_name"),
-                   F.coalesce("r.HtmlFileName", "r.XmlFileName", F.lit("")).alias("file_name")))
-    ok = (F.col("short_name").isNotNull() & F.col("long_name").isNotNull()
-          & (F.col("file_name") != "") & F.col("long_name").contains("Statement"))
-    return (rep.filter(ok).groupBy(*keys, "short_name")
-            .agg(F.max_by("file_name", "pos").alias("file_name")))
+    reports = (df.select(*keys, F.posexplode(x["MyReports"]["Report"]).alias("pos", "r")).filter(is_statement_report(F.col("r")))
+               .select(*keys, "pos", F.lower("r.ShortName").alias("short_name"), report_file(F.col("r")).alias("file_name")))
+    return reports.groupBy(*keys, "short_name").agg(F.max_by("file_name", "pos").alias("file_name"))
+
+
+def report_file(report: Column) -> Column:
+    return F.coalesce(report["HtmlFileName"], report["XmlFileName"], F.lit(""))
+
+
+def is_statement_report(report: Column) -> Column:
+    return (report["ShortName"].isNotNull() & report["LongName"].isNotNull()
+            & (report_file(report) != "") & report["LongName"].contains("Statement"))
 
 
 def read_filing_summary(spark: SparkSession, path: str) -> DataFrame:
@@ -164,14 +169,42 @@ def fetched_pages(pages: DataFrame, status: str = "status") -> DataFrame:
 
 # S8 -------------------------------------------------------------------------
 def write_links(df: DataFrame, path: str, fmt: str = "csv", partition_by: str | None = None,
-                mode: str = "overwrite") -> None:
+                mode: str | None = None, check: bool = True) -> None:
     """Write the links table.  All columns stay strings/dates, so CIKs keep
-    their leading zeros in CSV; ``partition_by='ticker'`` gives one folder
-    per company (the per-company tables)."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(partition_by)
+    their leading zeros in CSV.
+
+    ``partition_by='ticker'`` gives one folder per company (the per-company
+    tables).  Only the companies in ``df`` are replaced (dynamic partition
+    overwrite); the folders of all others stay.  The rows of a company go to one
+    task and one file; adaptive execution splits a company beyond its partition
+    size into several.  A null and an empty company share Spark's default folder.
+
+    Without ``partition_by`` an existing table is an error unless ``mode`` says
+    otherwise.  ``check`` reads the written rows back and compares their number
+    per company with ``df``; a difference is an error."""
+    company = [partition_by] if partition_by else []
+    if check:           # the same rows are counted and written, also if df reads the table that it replaces
+        df = materialize(df, as_table=True)
+    w = df.hint("rebalance", *company) if company else df
+    w = w.write.mode(mode or ("overwrite" if company else "error")).format(fmt)
+    if company:
+        w = w.partitionBy(*company).option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
-        w.option("header", True).csv(path)
-    else:
-        w.format(fmt).save(path)
+        w = w.option("header", True)
+    w.save(path)
+    if not check or mode in ("append", "ignore"):
+        return
+    back = read_links(df.sparkSession, path, df, fmt)
+    names = [F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in company] or [F.lit(None).cast("string").alias("_all")]
+    was = df.select(*names).groupBy(*[F.col(x).alias("company") for x in (company or ["_all"])]).agg(F.count("*").alias("rows"))
+    now = back.select(*names).groupBy(*[F.col(x).alias("found") for x in (company or ["_all"])]).agg(F.count("*").alias("n"))
+    wrong = was.join(now, F.col("company").eqNullSafe(F.col("found")), "left").where(~F.col("rows").eqNullSafe(F.col("n")))
+    first = wrong.limit(1).collect()
+    if first:
+        raise RuntimeError(f"links written to {path}: {first[0].rows} rows of {first[0].company!r} became {first[0].n}")
+
+
+def read_links(spark: SparkSession, path: str, like: DataFrame, fmt: str = "csv") -> DataFrame:
+    """The table of ``write_links`` with the columns and types of ``like``."""
+    r = spark.read.schema(like.schema).format(fmt)
+    return (r.option("header", True) if fmt == "csv" else r).load(path).select(like.columns)
