@@ -19,6 +19,7 @@ from filings_engine.operators import html as hx
 from filings_engine.operators import statements as stm
 from filings_engine.sources.keys import statement_keys
 from filings_engine.operators.html_nodes import html_nodes
+from filings_engine.operators import positions as ps
 from filings_engine.operators import prompts as pr
 from filings_engine.operators import retrieval as rt
 from filings_engine.operators import filters as flt
@@ -188,6 +189,20 @@ def q_rate_audit(spark, d):
     return au.request_rate_audit(ev, "user_id", "ts", limit=10, period_us=3_600_000_000)
 
 
+def q_rate_audit_hot(spark, d):
+    """W5 with a key that sends a third of all requests, over a year."""
+    ev = ad.table(spark, d, "events").withColumn("sender", F.when(F.col("event_id") % 3 == 0, -1).otherwise(F.col("user_id")))
+    return au.request_rate_ranks(ev, "sender", "ts", limit=100, period_us=365 * 86_400_000_000)
+
+
+def q_links_listing(spark, d):
+    """O1: the place of every link in the whole listing: companies in file order,
+    newest filings first."""
+    rich = _links_rich(spark, d)
+    order = [F.col("id_ordinal").asc(), F.col("filingDate").desc_nulls_last(), F.col("ordinal").asc()]
+    return ps.with_position(rich, order).select("position", "ticker", "accessionNumber", "filingDate")
+
+
 # parser projections: each job asks only for the nodes and columns it reads
 TEXT_COLUMNS = ["pos", "kind", "text"]
 ONLY_TEXT = dict(elements=[], id_elements=False, blank_text=False, columns=TEXT_COLUMNS)
@@ -419,15 +434,15 @@ def q_facts_checked(spark, d):
 
 
 def q_links_written(spark, d):
-    """The links of all companies are written, one folder a company, then
-    those of every third company again with their newest link only; read back."""
-    links = q_proxy_links(spark, d, sort=False).withColumn("company", F.col("ticker"))
+    """The links are written, one folder for each of 25 desks, then those of
+    every third desk again with the newest link of a company only; read back."""
+    links = q_proxy_links(spark, d, sort=False).withColumn("desk", F.concat(F.lit("d"), F.col("cik").cast("long") % 25))
     path = f"{checkpoint_dir(spark).rstrip('/')}/links-{uuid.uuid4().hex}"
-    ef.write_links(links, path, "parquet", partition_by="company")
-    again = links.where(F.col("cik").cast("long") % 3 == 0)
+    ef.write_links(links, path, "parquet", partition_by="desk")
+    again = links.where(F.col("cik").cast("long") % 25 % 3 == 0)
     newest = again.groupBy("ticker").agg(F.max(F.struct("filingDate", "accessionNumber")).alias("n")).select(F.col("n.accessionNumber").alias("accessionNumber"))
-    ef.write_links(again.join(newest, "accessionNumber", "left_semi").select(links.columns), path, "parquet", partition_by="company")
-    return ef.read_links(spark, path, links, "parquet").drop("company")
+    ef.write_links(again.join(newest, "accessionNumber", "left_semi").select(links.columns), path, "parquet", partition_by="desk")
+    return ef.read_links(spark, path, links, "parquet").drop("desk")
 
 
 QUERIES = {
@@ -479,6 +494,8 @@ QUERIES = {
     "company_slices": q_company_slices,
     "statement_urls": q_statement_urls,
     "fact_matrix": q_fact_matrix,
+    "rate_audit_hot": q_rate_audit_hot,
+    "links_listing": q_links_listing,
     "source_files": q_source_files,
     "submissions_checked": q_submissions_checked,
     "facts_checked": q_facts_checked,

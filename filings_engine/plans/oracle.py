@@ -449,5 +449,11 @@ SQL = {
       SELECT cik, taxonomy, fact, label, unit, start, "end", CASE WHEN reason IS NULL THEN val END AS val, accn, form, filed FROM g
       WHERE coalesce(reason, 'wrong type') = 'wrong type'""",
     "links_written": f"""{LINKS}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY filingDate DESC, accessionNumber DESC) AS n FROM links)
-      SELECT {LINK_COLS} FROM r WHERE CAST(cik AS BIGINT) % 3 <> 0 OR n = 1""",
+      SELECT {LINK_COLS} FROM r WHERE CAST(cik AS BIGINT) % 25 % 3 <> 0 OR n = 1""",
+    "rate_audit_hot": """WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS sender, event_id, ts FROM events),
+      r AS (SELECT *, count(*) OVER (PARTITION BY sender ORDER BY epoch_us(ts)
+                       RANGE BETWEEN 31535999999999 PRECEDING AND CURRENT ROW) - 1 AS n_recent FROM e)
+      SELECT sender, event_id, ts, n_recent, n_recent >= 100 AS over_limit FROM r""",
+    "links_listing": f"""{LINKS} SELECT row_number() OVER (ORDER BY id_ordinal, filingDate DESC, odate DESC, o_orderkey) AS position,
+      ticker, accessionNumber, filingDate FROM links""",
 }
