@@ -52,10 +52,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from filings_engine.llm.common import cut_lineage
 from filings_engine.session import materialize
 
-CHUNK_CHARS = 1 << 23
+CHUNK_CHARS = 1 << 22
 #: Characters that a row counts besides its text, so that empty rows fill chunks too.
 ROW_CHARS = 64
-SEGMENTS = 512
+SEGMENTS = 256
 FAN = 64
 #: Units that a worker remembers when it begins a chunk, and that are encoded in one call.
 MEMO_UNITS, CALL_UNITS = 300_000, 2_048
@@ -63,6 +63,7 @@ MEMO_UNITS, CALL_UNITS = 300_000, 2_048
 GAMMA = 2
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLANKS = "\t-\r\x85\xa0  -     　"
+BLANK_STARTS = {"", " ", *re.findall(f"[{BLANKS}]", "".join(map(chr, range(0x3001))))}
 LOOSE, CUT = re.compile(f" [{BLANKS}]"), re.compile(f"(?<=[^ {BLANKS}]) ")
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -107,24 +108,27 @@ class Codecs:
         self.size_a = np.zeros(max(self.bytes_a) + 1, np.int64)
         self.size_a[list(self.bytes_a)] = [len(b) for b in self.bytes_a.values()]
         self.size_b = np.array([len(b) for b in self.bytes_b], np.int64)
+        if len(set(self.bytes_a.values()) & {bytes([b]) for b in range(256)}) < 256:
+            raise ValueError("a byte-level vocabulary has every byte")
+        #: text of an id with what may stand behind it: place 4 * id + (0: ',', 1: '|', 2: ';', 3: nothing)
+        self.text = np.array([f"{i}{x}" for i in range(max(len(self.size_a), len(self.size_b))) for x in (",", "|", ";", "")], object)
 
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids by A and B of the parts, each after a space; None if the tokens do
-        not join to that."""
+        """Ids by A and B of the parts, each after a space; None if the tokens of B
+        do not join to that (those of A do, as it has every byte)."""
         text = " ".join(parts)
         a = np.asarray(self.a.encode_ordinary(" " + text), np.int64)
         b = np.asarray(self.b.encode(text) if text else [self.b.piece_to_id("▁")], np.int64)
-        whole = (" " + text).encode()
-        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != whole:
-            return None
-        return a, b
+        joined = b"".join(map(self.bytes_b.__getitem__, b.tolist()))
+        return (a, b) if joined == (" " + text).encode() else None
 
 
 class Memo:
-    """Aligned units of a worker: counts, links as slots of distinct pairs, groups."""
+    """Aligned units of a worker: counts, links as slots of distinct pairs, and the
+    groups as text if they are asked for."""
 
-    def __init__(self, codecs: Codecs):
-        self.codecs = codecs
+    def __init__(self, codecs: Codecs, with_groups: bool = True):
+        self.codecs, self.with_groups = codecs, with_groups
         self.clear()
 
     def clear(self) -> None:
@@ -134,10 +138,9 @@ class Memo:
         self.sizes: list[np.ndarray] = []        # (n_a, n_b, n_groups, n_links) of each unit, -1 if it has no tokens
         self.links: list[np.ndarray] = []        # slots, unit after unit
 
-    def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.index]
-        lone = [p for p in new if not p or p[0] == " " or LOOSE.match(" " + p)]
-        joint = sorted(set(new).difference(lone))
+    def learn(self, new: set[str]) -> None:
+        lone = [p for p in new if p[:1] in BLANK_STARTS]
+        joint = list(new.difference(lone))
         for a in range(0, len(joint), CALL_UNITS):
             self.align(joint[a:a + CALL_UNITS])
         for p in lone:
@@ -154,8 +157,7 @@ class Memo:
             self.align(parts[:len(parts) // 2])
             self.align(parts[len(parts) // 2:])
             return
-        for p in parts:
-            self.index[p] = len(self.index)
+        self.index.update(zip(parts, range(len(self.index), len(self.index) + len(parts))))
         if found is None:
             self.groups.append("")
             self.sizes.append(np.full((1, 4), -1, np.int64))
@@ -164,32 +166,45 @@ class Memo:
         a, b = found
         unit_ends = np.cumsum([len(p.encode()) + 1 for p in parts])
         a_ends, b_ends = np.cumsum(self.codecs.size_a[a]), np.cumsum(self.codecs.size_b[b])
-        cuts, common = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends)
+        cuts = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        both = np.append(cuts[1:] == cuts[:-1], False)
+        cuts, common = cuts[~both], cuts[both]
         pairs = a[np.searchsorted(a_ends, cuts)] << 32 | b[np.searchsorted(b_ends, cuts)]
         distinct, at = np.unique(pairs, return_inverse=True)
         slot = self.slot
         self.links.append(np.array([slot.setdefault(p, len(slot)) for p in distinct.tolist()], np.int64)[at])
-        self.sizes.append(np.stack([np.bincount(np.searchsorted(unit_ends, e), minlength=len(parts)) for e in (a_ends, b_ends, common, cuts)], 1))
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        x = y = 0
-        texts = []
-        for i, j in zip((np.searchsorted(a_ends, common) + 1).tolist(), (np.searchsorted(b_ends, common) + 1).tolist()):
-            texts.append(",".join(a_text[x:i]) + "|" + ",".join(b_text[y:j]))
-            x, y = i, j
-        last = [0, *np.searchsorted(common, unit_ends, "right").tolist()]
-        self.groups += [";".join(texts[i:j]) for i, j in zip(last, last[1:])]
+        ends = [np.searchsorted(e, unit_ends, "right") for e in (a_ends, b_ends, common, cuts)]
+        self.sizes.append(np.diff(np.stack(ends, 1), axis=0, prepend=0))
+        if self.with_groups:
+            self.groups += self.group_texts(a, b, a_ends, b_ends, common, unit_ends, ends[0] + ends[1])
+
+    def group_texts(self, a, b, a_ends, b_ends, common, unit_ends, ends) -> list[str]:
+        """``a1,a2|b1;a3|b2`` of each unit: all tokens in order of group, A before
+        B, each with what stands behind it."""
+        a_of, b_of = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        a_until = np.searchsorted(a_ends, common, "right")                      # tokens of A up to a group
+        b_before = np.append(0, np.searchsorted(b_ends, common, "right"))       # tokens of B before it
+        text = np.empty(len(a) + len(b), object)
+        text[np.arange(len(a)) + b_before[a_of]] = self.codecs.text[4 * a + (a_ends == common[a_of])]
+        behind = np.where(b_ends == common[b_of], np.where(b_ends == unit_ends[np.searchsorted(unit_ends, b_ends)], 3, 2), 0)
+        text[np.arange(len(b)) + a_until[b_of]] = self.codecs.text[4 * b + behind]
+        items, ends = text.tolist(), [0, *ends.tolist()]
+        return ["".join(items[i:j]) for i, j in zip(ends, ends[1:])]
 
     def read(self, texts: list[str | None]) -> list[np.ndarray]:
         """The units of each text; none if it has no tokens."""
         if len(self.index) > MEMO_UNITS:
             self.clear()
         parts = [units(t) if t else [] for t in texts]
-        self.learn(set(itertools.chain.from_iterable(parts)))
-        out = []
-        for p in parts:
-            at = np.fromiter(map(self.index.__getitem__, p), np.int64, len(p))
-            out.append(at[:0] if len(at) and self.sizes[0][at, 0].min() < 0 else at)
-        return out
+        flat = list(itertools.chain.from_iterable(parts))
+        at = np.fromiter(map(self.index.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            missed = [flat[i] for i in missing.tolist()]
+            self.learn(set(missed))
+            at[missing] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(missed))
+        seen = np.split(at, np.cumsum([len(p) for p in parts])[:-1]) if parts else []
+        return [x[:0] if len(x) and self.sizes[0][x, 0].min() < 0 else x for x in seen]
 
     def links_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the links of some units, and how many each has."""
@@ -199,8 +214,13 @@ class Memo:
 
 
 @functools.lru_cache(maxsize=1)
-def memo(path_a: str, path_b: str) -> Memo:
-    return Memo(Codecs(path_a, path_b))
+def codecs(path_a: str, path_b: str) -> Codecs:
+    return Codecs(path_a, path_b)
+
+
+@functools.lru_cache(maxsize=1)
+def memo(path_a: str, path_b: str, with_groups: bool) -> Memo:
+    return Memo(codecs(path_a, path_b), with_groups)
 
 
 # --- minimal perfect hash ---------------------------------------------------
@@ -275,13 +295,15 @@ def align_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
             yield pa.record_batch([*batch.columns, pa.array((part << 32) + total // chunk_chars, pa.int64())], names=["key", "text", "chunk"])
 
     def pairs_of(chunk: int, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
-        known = memo(path_a, path_b)
+        known = memo(path_a, path_b, False)
         seen = known.read(texts)
-        count = np.zeros(len(known.slot), np.int64)
+        count, last = np.zeros(len(known.slot), np.int64), np.zeros(len(known.slot), np.int64)
         for at in seen:
             if len(at):
-                slots = np.unique(known.links_of(np.unique(at))[0])
-                count[slots] += 1
+                slots = known.links_of(at)[0]
+                place = np.arange(len(slots))
+                last[slots] = place
+                count[slots[last[slots] == place]] += 1          # each slot of a document once
         held = np.flatnonzero(count)
         if not len(held):
             return
@@ -372,7 +394,7 @@ def align_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     fields = [("key", rows.select("key").limit(0).toArrow().schema.field("key").type), *((c, pa.int64()) for c in COUNTS), ("groups", pa.string())]
 
     def second_pass(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        known = memo(path_a, path_b)
+        known = memo(path_a, path_b, True)
         seen = known.read(texts["text"].to_pylist())
         used = np.unique(np.concatenate([*seen, np.empty(0, np.int64)]))
         score = np.zeros((len(known.index), 2), np.int64)
