@@ -21,6 +21,7 @@ from filings_engine.sources.keys import statement_keys
 from filings_engine.operators.html_nodes import html_nodes
 from filings_engine.operators import positions as ps
 from filings_engine.operators import prompts as pr
+from filings_engine.operators import questions as qs
 from filings_engine.operators import retrieval as rt
 from filings_engine.operators import filters as flt
 from filings_engine.plans import proxy_links as pl
@@ -110,6 +111,7 @@ def q_concept_series(spark, d):
 MARKER = "License"
 RANK_TOP = 25          # top-k per label of the vector ranking
 CONTEXT_TOP = 5        # top-k chunks per document for the context report
+QUESTION_TOP = 5       # top-k chunks of all documents per question
 
 
 def _docs(spark, d):
@@ -173,6 +175,31 @@ def q_multi_step_prompts(spark, d):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+def _term_model(spark, chunks):
+    return qs.fit_terms(chunks, f"{checkpoint_dir(spark).rstrip('/')}/terms-{uuid.uuid4().hex}")
+
+
+def q_question_chunks(spark, d):
+    """J8 for many questions: every benchmark text against all chunks of all documents."""
+    chunks = rt.chunk_text(_docs(spark, d), "text", ["doc_id"])
+    model = _term_model(spark, chunks)
+    asked = ad.table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    questions = materialize(qs.vectorize_chunks(asked, model, ["question_id"], "text"), as_table=True)
+    vectors = qs.vectorize_chunks(chunks, model, only=questions.select(F.explode("terms.term").alias("term")))
+    ranked = qs.rank_questions(materialize(vectors, as_table=True), questions, QUESTION_TOP)
+    return ranked.select("question_id", "doc_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_turn_vectors(spark, d):
+    """R3 without refitting: the turns of all conversations by the terms of the documents."""
+    model = _term_model(spark, rt.chunk_text(_docs(spark, d), "text", ["doc_id"]))
+    turns = ad.table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
+    found = qs.vectorize_chunks(turns, model, ["conv_id", "turn"], "text")
+    weights = F.transform("terms", lambda t: t["w"])
+    return found.select("conv_id", "turn", F.size("terms").cast("long").alias("n_terms"), F.round(F.array_max(weights), 6).alias("greatest"),
+                        F.round(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), 6).alias("total"))
+
+
 def q_answer_fields(spark, d):
     parsed = pr.parse_answers(ad.model_answers(spark, d), ["doc_id"])
     return pr.answer_fields(parsed, ["doc_id"])
@@ -494,6 +521,8 @@ QUERIES = {
     "company_slices": q_company_slices,
     "statement_urls": q_statement_urls,
     "fact_matrix": q_fact_matrix,
+    "question_chunks": q_question_chunks,
+    "turn_vectors": q_turn_vectors,
     "rate_audit_hot": q_rate_audit_hot,
     "links_listing": q_links_listing,
     "source_files": q_source_files,

@@ -206,6 +206,19 @@ DOCUMENT_PARTS = """body AS (
                     chr(10) ORDER BY r) AS tables
   FROM ol GROUP BY doc_id)"""
 
+# idf of the chunks of all documents, and the TF-IDF weights of a table of terms (keys, term, tf)
+CHUNK_IDF = f"""{chunks_of('SELECT doc_id, text FROM documents')},
+    tc AS (SELECT doc_id, chunk_id, term, count(*) AS tf FROM
+           (SELECT doc_id, chunk_id, unnest(regexp_extract_all(lower(chunk), {TERM_RE})) AS term FROM ch) GROUP BY ALL),
+    n AS (SELECT CAST(count(*) AS DOUBLE) + 1 AS n FROM ch),
+    idf AS (SELECT term, ln(any_value(n.n) / (count(*) + 1)) AS idf FROM tc, n GROUP BY term)"""
+
+
+def weighed(keys: str, counts: str) -> str:
+    return f"""(SELECT {keys}, term, w, sqrt(sum(w * w) OVER (PARTITION BY {keys})) AS norm
+      FROM (SELECT {keys}, term, tf * coalesce(idf, ln(n.n)) AS w FROM {counts} LEFT JOIN idf USING (term), n))"""
+
+
 # what is wrong with the document of a key, by kind of document
 def fault(kind: str) -> str:
     json = kind != "summary"
@@ -456,4 +469,19 @@ SQL = {
       SELECT sender, event_id, ts, n_recent, n_recent >= 100 AS over_limit FROM r""",
     "links_listing": f"""{LINKS} SELECT row_number() OVER (ORDER BY id_ordinal, filingDate DESC, odate DESC, o_orderkey) AS position,
       ticker, accessionNumber, filingDate FROM links""",
+    "question_chunks": f"""WITH {CHUNK_IDF},
+      qc AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), {TERM_RE})) AS term FROM benchmark) GROUP BY ALL),
+      c AS {weighed('doc_id, chunk_id', 'tc')}, q AS {weighed('item_id', 'qc')},
+      s AS (SELECT item_id, doc_id, chunk_id, sum(c.w / c.norm * (q.w / q.norm)) AS cs FROM q JOIN c USING (term)
+            WHERE c.norm > 0 AND q.norm > 0 GROUP BY ALL),
+      r AS (SELECT *, 1 - least(greatest(1 - cs, 0), 2) AS score FROM s)
+      SELECT item_id AS question_id, doc_id, chunk_id, rank, round(score, 6) AS score FROM
+        (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id, chunk_id) AS rank FROM r) WHERE rank <= 5""",
+    "turn_vectors": f"""WITH {CHUNK_IDF},
+      t AS (SELECT conv_id, turn, max(text) AS text FROM conversations GROUP BY ALL),
+      qc AS (SELECT conv_id, turn, term, count(*) AS tf FROM
+             (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), {TERM_RE})) AS term FROM t) GROUP BY ALL),
+      q AS {weighed('conv_id, turn', 'qc')}
+      SELECT conv_id, turn, count(*) FILTER (WHERE norm > 0) AS n_terms, round(max(w / nullif(norm, 0)), 6) AS greatest,
+             round(coalesce(sum(w / nullif(norm, 0)), 0), 6) AS total FROM q GROUP BY ALL""",
 }
