@@ -12,36 +12,47 @@ Two kinds of pieces:
 * a text is a list of runs between ASCII white space.  White space is a hard
   border of the tokenizer, so a whole run that comes out equal on either side
   proves that nothing beyond it can change.
-* a run of over ``RUN_CHARS`` ASCII letters is one unsplittable word.  There
-  the pieces are its tokens: an encoding is right exactly if every adjacent pair
-  of tokens is, so a token with the same place and id in the window and in a
-  side proves the rest of that side.
+* a run of over ``RUN_CHARS`` bytes that is one word of letters (already in the
+  tokenizer's normal form) cannot be split.  There the pieces are its tokens: an
+  encoding is right exactly if every adjacent pair of tokens is, so a token with the
+  same place and id in the window and in a side proves the rest of that side.  A word
+  cut by leaves keeps the tokens of both sides; only the windows are encoded anew.
 
 Defined results: null and empty texts have no tokens (decoded: empty text).
 Strings of special tokens in a text are those tokens, as in the tokenizers
 library.  Repeated rows and null keys each keep their row; extra columns of
-the input do not take part.
+the input do not take part.  Very long texts are encoded in leaves of bounded size;
+the joins of one text are one row of one task.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
+import itertools
 import os
-import re
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 LEAF_CHARS = 32_768
 RUN_CHARS = 2_048
-#: Words whose tokens a worker remembers before it starts again.
-MEMO_WORDS = 250_000
-LETTERS = re.compile(rb"[A-Za-z]+\Z")
+#: Words whose tokens a worker remembers before it starts again, and new ones encoded in one text.
+MEMO_WORDS, CALL_WORDS = 250_000, 512
+#: Texts of one step.
+ROWS = 256
+LETTERS = regex.compile(r"\p{L}+")
+CONTROLS = bytes([*range(32), 127])
 SPACE = b" \t\n\r\x0b\x0c"
 
 
+class Split(Exception):
+    """The library splits what was taken for one word."""
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
@@ -57,71 +68,124 @@ class Codec:
         self.library.no_truncation()
         self.library.no_padding()
         self.leaf_chars, self.run_chars = leaf_chars, run_chars
-        self.token = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        token = {i: t for t, i in vocab.items()}
+        names = [token.get(i, "") for i in range(max(token) + 1)]
+        self.shown = [t + " " for t in names]
+        self.ends_word = np.array([t.endswith("</w>") for t in names])
+        self.size = np.array([len(t.removesuffix("</w>")) for t in names], np.int64)      # a character is a byte
         self.memo: dict[bytes, tuple[bytes, str]] = {}
 
     def pack(self, ids: list[int]) -> tuple[bytes, str]:
-        return b"".join([i.to_bytes(4, "little") for i in ids]), "".join([self.token[i] + " " for i in ids])
+        return np.array(ids, "<u4").tobytes(), "".join(map(self.shown.__getitem__, ids))
 
     def encode_runs(self, runs: list[bytes]) -> list[tuple[bytes, str]]:
         """(packed ids, decoded text) of each run; new runs go to the library
         together."""
-        memo = self.memo
-        new = [r for r in set(runs) if r not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(runs))
-            short = [r for r in new if len(r) <= self.run_chars or not LETTERS.match(r)]
-            for r, e in zip(short, self.library.encode_batch_fast([r.decode() for r in short], add_special_tokens=False)):
-                memo[r] = self.pack(e.ids)
-            for r in new:
-                if r not in memo:
-                    memo[r] = self.pack([i for i, _ in self.encode_word(r.decode().lower())])
-        return [memo[r] for r in runs]
+        found = list(map(self.memo.get, runs))
+        if None in found:
+            new = {r for r, f in zip(runs, found) if f is None}
+            if len(self.memo) + len(new) > MEMO_WORDS:
+                self.memo.clear()
+                new = set(runs)
+            self.learn(new)
+            found = list(map(self.memo.__getitem__, runs))
+        return found
+
+    def encode_many(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
+        """(packed ids, decoded text) of whole texts."""
+        runs = [t.split() for t in texts]
+        found, out, a = self.encode_runs(list(itertools.chain.from_iterable(runs))), [], 0
+        for r in runs:
+            part = found[a:a + len(r)]
+            a += len(r)
+            out.append((b"".join([x for x, _ in part]), "".join([y for _, y in part])[:-1]))
+        return out
+
+    def learn(self, new: set[bytes]) -> None:
+        plain, lone = [], []
+        for r in new:
+            if len(r) <= self.run_chars and b"<" not in r and keeps_length(r):
+                plain.append(r)
+            elif len(r) <= self.run_chars or (word := normal_word(r)) is None:
+                lone.append(r)
+            else:
+                try:
+                    self.memo[r] = self.pack([i for i, _ in self.encode_word(word)])
+                except Split:
+                    lone.append(r)
+        blocks = [plain[a:a + CALL_WORDS] for a in range(0, len(plain), CALL_WORDS)]
+        for block, e in zip(blocks, self.library.encode_batch_fast([b" ".join(x).decode() for x in blocks], add_special_tokens=False)):
+            # the normal form keeps the length, so the tokens of a run end where it ends
+            ids = np.array(e.ids, "<u4")
+            ends, run_ends = np.cumsum(self.size[ids]), np.cumsum([len(r) for r in block])
+            until = np.searchsorted(ends, run_ends, "right")
+            if until[0] == 0 or until[-1] != len(ids) or (ends[until - 1] != run_ends).any():
+                lone += block
+                continue
+            packed, shown = ids.tobytes(), list(map(self.shown.__getitem__, ids.tolist()))
+            cuts = [0, *until.tolist()]
+            self.memo.update((r, (packed[4 * i:4 * j], "".join(shown[i:j]))) for r, i, j in zip(block, cuts, cuts[1:]))
+        for r, e in zip(lone, self.library.encode_batch_fast([r.decode() for r in lone], add_special_tokens=False)):
+            self.memo[r] = self.pack(e.ids)
 
     # --- one word without any border -----------------------------------
-    def tokens(self, word: str) -> list[tuple[int, int]]:
-        """(id, length) of the tokens of a word of ASCII letters."""
-        ids = self.library.encode(word, add_special_tokens=False).ids
-        return [(i, len(self.token[i].removesuffix("</w>"))) for i in ids]
-
-    def encode_word(self, word: str) -> list[tuple[int, int]]:
+    def tokens(self, word: bytes) -> list[tuple[int, int]]:
+        """(id, bytes) of the tokens of a word in normal form."""
+        ids = self.library.encode(word.decode(), add_special_tokens=False).ids
+        if self.ends_word[ids].sum() != 1 or self.size[ids].sum() != len(word):
+            raise Split
+        return list(zip(ids, self.size[ids].tolist()))
+
+    def encode_word(self, word: bytes) -> list[tuple[int, int]]:
         if len(word) <= self.run_chars:
             return self.tokens(word)
         mid = len(word) // 2
+        while inside(word, mid):
+            mid += 1
         return self.join_word(word, mid, self.encode_word(word[:mid]), self.encode_word(word[mid:]))
 
-    def join_word(self, word: str, cut: int, left: list, right: list) -> list[tuple[int, int]]:
+    def join_word(self, word: bytes, cut: int, left: list, right: list) -> list[tuple[int, int]]:
         """``left`` encodes word[:cut], ``right`` word[cut:]."""
-        ends, at = [], 0
-        for i, (_, n) in enumerate(left):
-            ends.append((at, at + n, i))
-            at += n
-        starts = []
-        for i, (_, n) in enumerate(right):
-            starts.append((at, at + n, i))
-            at += n
+        left_ends = np.cumsum([n for _, n in left])
+        right_ends = cut + np.cumsum([n for _, n in right])
         width = 32
         while True:
-            lo, hi = max(0, cut - width), min(len(word), cut + width)
-            # a window starts where a token of the left side starts
-            lo = max((a for a, _, _ in ends if a <= lo), default=0) if lo else 0
-            hi = min((b for _, b, _ in starts if b >= hi), default=len(word)) if hi < len(word) else len(word)
-            window, p = [], lo
-            for i, n in self.tokens(word[lo:hi]):
-                window.append((p, p + n, i))
+            # a window starts where a token of the left side starts and ends where one of the right side ends
+            i, j = max(0, int(np.searchsorted(left_ends, cut - width)) - 1), min(len(right), int(np.searchsorted(right_ends, cut + width)) + 1)
+            while i and inside(word, int(left_ends[i - 1])):
+                i -= 1
+            while j < len(right) and inside(word, int(right_ends[j - 1])):
+                j += 1
+            lo, hi = int(left_ends[i - 1]) if i else 0, int(right_ends[j - 1])
+            spans, p = [], lo
+            for t, n in self.tokens(word[lo:hi]):
+                spans.append((p, p + n, t))
                 p += n
-            of_left = {(a, b, left[i][0]): i for a, b, i in ends}
-            of_right = {(a, b, right[i][0]): i for a, b, i in starts}
-            first = 0 if lo == 0 else next((k for k, w in enumerate(window) if w in of_left), None)
-            last = len(window) - 1 if hi == len(word) else next((k for k in range(len(window) - 1, -1, -1) if window[k] in of_right), None)
+            of_left = {(int(left_ends[x]) - left[x][1], int(left_ends[x]), left[x][0]): x for x in range(i, len(left))} if i else {}
+            of_right = {(int(right_ends[x]) - right[x][1], int(right_ends[x]), right[x][0]): x for x in range(j)} if j < len(right) else {}
+            first = next((k for k, w in enumerate(spans) if w in of_left), None) if i else 0
+            last = next((k for k in range(len(spans) - 1, -1, -1) if spans[k] in of_right), None) if j < len(right) else len(spans) - 1
             if first is not None and last is not None and first <= last:
-                head = left[:of_left[window[first]]] if lo else []
-                tail = right[of_right[window[last]] + 1:] if hi < len(word) else []
-                return head + [(i, b - a) for a, b, i in window[first:last + 1]] + tail
+                head = left[:of_left[spans[first]]] if i else []
+                tail = right[of_right[spans[last]] + 1:] if j < len(right) else []
+                return head + [(t, b - a) for a, b, t in spans[first:last + 1]] + tail
             width *= 2
 
+    def join_runs(self, a: tuple, b: tuple) -> tuple:
+        """The run of two touching parts with their encodings.  One long word keeps
+        the tokens of both sides."""
+        run = a[0] + b[0]
+        word = normal_word(run) if len(run) > self.run_chars else None
+        if word is not None:
+            try:
+                sides = [[(i, int(self.size[i])) for i in np.frombuffer(x, "<u4").tolist()] for _, (x, _) in (a, b)]
+                if [sum(n for _, n in side) for side in sides] == [len(a[0]), len(b[0])]:
+                    return run, self.pack([i for i, _ in self.join_word(word, len(a[0]), *sides)])
+            except Split:
+                pass
+        return run, self.encode_runs([run])[0]
+
     # --- a text as a list of runs --------------------------------------
     def encode_leaf(self, leaf: bytes) -> list[tuple[bytes, tuple[bytes, str]]]:
         runs = leaf.split()
@@ -132,11 +196,10 @@ class Codec:
         the cut, so its two runs are parts of one."""
         if not touching or not left or not right:
             return left + right
-        width = 1
+        joined, width = self.join_runs(left[-1], right[0]), 1
         while True:
             a, b = left[-1 - width:], right[:1 + width]
-            runs = [r for r, _ in a[:-1]] + [a[-1][0] + b[0][0]] + [r for r, _ in b[1:]]
-            window = self.encode_leaf(b" ".join(runs))
+            window = self.encode_leaf(b" ".join([r for r, _ in a[:-1]])) + [joined] + self.encode_leaf(b" ".join([r for r, _ in b[1:]]))
             agree_left = width >= len(left) or window[0] == a[0]
             agree_right = width >= len(right) or window[-1] == b[-1]
             if agree_left and agree_right:
@@ -159,6 +222,31 @@ class Codec:
         return self.join_leaves([(t, self.encode_leaf(t)) for t in map(str.encode, halves(text, self.leaf_chars))])
 
 
+def inside(word: bytes, at: int) -> bool:
+    """Whether ``at`` lies inside a character."""
+    return at < len(word) and word[at] & 0xC0 == 0x80
+
+
+def keeps_length(run: bytes) -> bool:
+    """Whether the normal form of a run should be as long as the run.  What is
+    taken for such is compared with its tokens later."""
+    if run.isascii():
+        return run.translate(None, CONTROLS) == run
+    text = run.decode()
+    return unicodedata.is_normalized("NFC", text) and len(text.split()) == 1 and len(text.lower().encode()) == len(run)
+
+
+def normal_word(run: bytes) -> bytes | None:
+    """The normal form of a run that is one word of letters and whose parts have
+    their normal forms at the same places; else null."""
+    text = run.decode()
+    if not LETTERS.fullmatch(text):
+        return None
+    if run.isascii():
+        return run.lower()
+    return run if unicodedata.is_normalized("NFC", text) and all(c == c.lower() for c in set(text)) else None
+
+
 SPACE_SET = {SPACE[i:i + 1] for i in range(len(SPACE))} | {b""}
 
 
@@ -192,13 +280,10 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
         c = codec(path, leaf_chars, run_chars)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for a in range(0, len(texts), 256):
-                ids, decoded = [], []
-                for t in texts.slice(a, 256).cast(pa.binary()).to_pylist():
-                    found = c.encode_runs(t.split())
-                    ids.append(b"".join([x for x, _ in found]))
-                    decoded.append("".join([y for _, y in found])[:-1])
-                yield pa.record_batch([keys.slice(a, 256), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["key", "ids", "decoded"])
+            for a in range(0, len(texts), ROWS):
+                found = c.encode_many(texts.slice(a, ROWS).cast(pa.binary()).to_pylist())
+                yield pa.record_batch([keys.slice(a, ROWS), pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.string())],
+                                      names=["key", "ids", "decoded"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

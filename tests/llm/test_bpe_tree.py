@@ -47,3 +47,41 @@ def test_rows(spark, library):
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert B.digests(B.encode_texts(docs.limit(0))).count() == 0
+
+
+class Counting:
+    """The library, with the number of bytes it is given."""
+
+    def __init__(self, library):
+        self.library, self.bytes = library, 0
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+    def encode(self, text, **kw):
+        self.bytes += len(text.encode())
+        return self.library.encode(text, **kw)
+
+    def encode_batch_fast(self, texts, **kw):
+        self.bytes += sum(len(t.encode()) for t in texts)
+        return self.library.encode_batch_fast(texts, **kw)
+
+
+@pytest.mark.parametrize("alphabet", ["aeinrstlo", "оеаинтсрв", "日本語中文字"])
+def test_unsplit_words_are_joined_not_encoded_again(library, alphabet):
+    r = random.Random(5)
+    word = "".join(r.choice(alphabet) for _ in range(60_000))
+    c = B.Codec(PATH, 4_000, 500)
+    c.library = Counting(c.library)
+    found = c.encode_text(word)
+    ids = b"".join(x for _, (x, _) in found)
+    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(word, add_special_tokens=False).ids
+    assert c.library.bytes < 2 * len(word.encode())
+
+
+def test_words_that_only_look_unsplit(library):
+    """Letters whose normal form has other places, and words that a border cuts."""
+    for text in ("İ" * 700, "é" * 500, "Σ" * 900, "aΣ" * 400, "日" * 400 + "é" * 300, "x" * 600 + "'s" + "y" * 600, "ﬁ" * 700, "가" * 500):
+        c = B.Codec(PATH, 300, 100)
+        ids = b"".join(x for _, (x, _) in c.encode_text(text))
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(text, add_special_tokens=False).ids
