@@ -73,10 +73,24 @@ def latest_document(filings: DataFrame, form: str) -> DataFrame:
     return latest_filing_of_form(filings, form).select("cik", "primaryDocument")
 
 
-def to_wide(long: DataFrame, row: str, col: str, value: str, values: list) -> DataFrame:
+def to_wide(long: DataFrame, row: str, col: str, value: str, values: list, on_duplicate: str = "error", order: str | None = None) -> DataFrame:
     """Long -> wide (one column per listed ``col`` value).  The list is
-    required so the schema never depends on data."""
-    return long.groupBy(row).pivot(col, values).agg(F.first(value))
+    required so the schema never depends on data.
+
+    Two values of one cell: ``'error'`` raises, ``'latest'`` keeps the value of the
+    greatest ``order`` (ties: the greatest value), ``'list'`` keeps all, sorted."""
+    cells = long.where(F.col(col).isin(values)).groupBy(row, col)
+    if on_duplicate == "error":
+        one = F.assert_true(F.col("_n") == 1, "two values for one cell of the matrix").isNull()
+        cell = cells.agg(F.count(F.lit(1)).alias("_n"), F.max(value).alias("_v")).withColumn("_v", F.when(one, F.col("_v")))
+    elif on_duplicate == "latest":
+        cell = cells.agg(F.max_by(value, F.struct(*([order] if order else []), value)).alias("_v"))
+    elif on_duplicate == "list":
+        cell = cells.agg(F.array_sort(F.collect_list(value)).alias("_v"))
+    else:
+        raise ValueError(f"on_duplicate must be error|latest|list, not {on_duplicate!r}")
+    wide = cell.groupBy(row).pivot(col, values).agg(F.first("_v"))
+    return long.select(row).distinct().join(wide, row, "left")
 
 
 def to_long(wide: DataFrame, row: str, name: str = "column", value: str = "value") -> DataFrame:

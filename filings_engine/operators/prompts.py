@@ -5,10 +5,13 @@ document, the answers come back as a table, L2/L3 read it."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from filings_engine.operators.html import strip
+
 # --- fixed values: default prompt texts ---------------------------------------
 ANALYST_SYSTEM = ("You are an expert financial analyst. Your task is to help me analyze Schedule 14A "
                   "files and piece together executive compensation.")
@@ -105,22 +108,49 @@ def flatten_messages(df: DataFrame, keys: Sequence[str], messages: str = "messag
             .select(*keys, "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content")))
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 STRICT_JSON = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "mode": "PERMISSIVE"}
 
 
 def json_object(c) -> Column:
-    """The text as ``map<string,string>`` when it is one JSON object (keys in
-    document order, a repeated key keeps its last value, list values as JSON
-    text), else null."""
+    """The text as ``map<string,variant>`` when it is one JSON object (keys in
+    document order, a repeated key is there twice, each value keeps its kind), else
+    null.  ``NaN`` and the infinities are numbers, as in Python."""
     c = _c(c)
-    # one value and nothing behind it: an array around it holds one element
-    whole = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
-    shaped = c.startswith("{") & c.endswith("}") & F.coalesce(whole, F.lit(False))
-    return F.when(shaped, F.from_json(c, "map<string,string>", STRICT_JSON))
+    # one value and nothing behind it: a list around it holds one element
+    one = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<map<string,variant>>", STRICT_JSON)
+    return F.when(c.startswith("{") & c.endswith("}") & (F.size(one) == 1), one[0])
+
+
+#: How Python prints numbers that JSON writes in letters.
+LETTER_NUMBERS = {"NaN": "nan", "Infinity": "inf", "-Infinity": "-inf"}
+
+
+def python_repr(json: Column) -> Column:
+    """A JSON list or object as Python prints it, at any depth."""
+    def token(t: Column) -> Column:
+        s = F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]")
+        s = functools.reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")], s)
+        double = F.concat(F.lit('"'), s, F.lit('"'))
+        single = F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        words = [(",", ", "), (":", ": "), ("null", "None"), ("true", "True"), ("false", "False")]
+        plain = functools.reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), words, t)
+        return F.when(t.startswith('"'), F.when(s.contains("'") & ~s.contains('"'), double).otherwise(single)).otherwise(plain)
+    return F.array_join(F.transform(F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0)), token), "")
+
+
+def python_text(text: Column, kind: Column) -> Column:
+    """A JSON value (its text, its kind) as Python's ``str`` prints it."""
+    out = F.when(kind == "STRING", text).when(text.isNull() | (kind == "VOID"), "None").when(kind == "BOOLEAN", F.initcap(text))
+    for written, shown in LETTER_NUMBERS.items():
+        out = out.when((kind == "DOUBLE") & (F.btrim(text, F.lit('"')) == written), shown)
+    return out.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), python_repr(text)).otherwise(text)
+
+
+def list_text(text: Column, value: Column) -> Column:
+    """The elements of a JSON list, each as Python prints it, joined by ``, ``."""
+    items = F.arrays_zip(F.from_json(text, "array<string>", STRICT_JSON).alias("t"),
+                         F.try_variant_get(value, "$", "array<variant>").alias("v"))
+    return F.array_join(F.transform(items, lambda i: python_text(i["t"], F.coalesce(F.schema_of_variant(i["v"]), F.lit("VOID")))), ", ")
 
 
 def parse_answers(answers: DataFrame, keys: Sequence[str], attempt: str = "attempt",
@@ -131,7 +161,7 @@ def parse_answers(answers: DataFrame, keys: Sequence[str], attempt: str = "attem
     never read as JSON).  Every document keeps its row.  Returns
     ``(*keys, is_json, answer)``."""
     keys = list(keys)
-    a = answers.select(*keys, attempt, _strip(F.col(content)).alias("_t"))
+    a = answers.select(*keys, attempt, strip(content).alias("_t"))
     ok = json_object("_t").isNotNull() & (F.col(attempt) <= json_attempts)
     first_json = F.min_by(F.when(ok, F.col("_t")), F.when(ok, F.col(attempt)))
     last_raw = F.max_by("_t", attempt)
@@ -141,25 +171,29 @@ def parse_answers(answers: DataFrame, keys: Sequence[str], attempt: str = "attem
 
 
 def answer_fields(parsed: DataFrame, keys: Sequence[str], answer: str = "answer") -> DataFrame:
-    """L3: each key of the JSON answer as ``key: value.`` (list values joined
-    by ``, ``), all lines joined by newline + space; plus the four routed
+    """L3: each key of the JSON answer as ``key: value.``, printed as Python
+    prints the value (elements of a list joined by ``, ``; text that looks like a list
+    stays text), all lines joined by newline + space; plus the four routed
     fields (first matching route per key, last key wins per field, ``NA``
     when none).  JSON object keys keep document order."""
     keys = list(keys)
     m = json_object(answer)
-    kv = parsed.filter("is_json").select(*keys, F.posexplode(m).alias("pos", "k", "v"))
+    texts = F.from_json(F.when(m.isNotNull(), F.col(answer)), "map<string,string>", STRICT_JSON)
+    entries = F.arrays_zip(F.map_keys(m).alias("k"), F.map_values(texts).alias("v"), F.map_values(m).alias("x"))
+    kv = parsed.filter("is_json").select(*keys, F.posexplode(entries).alias("pos", "e")).select(*keys, "pos", "e.k", "e.v", "e.x")
+    kind = F.coalesce(F.schema_of_variant("x"), F.lit("VOID"))
+    is_list = kind.startswith("ARRAY")
+    kv = kv.select(*keys, "k", "pos", F.when(is_list, F.col("v")).otherwise(python_text(F.col("v"), kind)).alias("v"),
+                   F.when(is_list, list_text(F.col("v"), F.col("x"))).otherwise(python_text(F.col("v"), kind)).alias("text"))
     # a repeated key keeps its first position and its last value (dict semantics)
-    kv = kv.groupBy(*keys, "k").agg(F.min("pos").alias("pos"), F.max_by("v", "pos").alias("v"))
-    as_list = F.from_json(F.col("v"), "array<string>")
-    is_list = F.col("v").startswith("[") & as_list.isNotNull()
-    text = F.when(is_list, F.array_join(as_list, ", ")).otherwise(F.col("v"))
+    kv = kv.groupBy(*keys, "k").agg(F.min("pos").alias("pos"), F.max_by("v", "pos").alias("v"), F.max_by("text", "pos").alias("text"))
+    text = F.col("text")
     lk = F.lower("k")
     route = None
     for needle, field in ANSWER_ROUTES:
         route = (F.when(lk.contains(needle), field) if route is None
                  else route.when(lk.contains(needle), field))
-    kv = kv.select(*keys, "pos", F.concat(F.col("k"), F.lit(": "), F.coalesce(text, F.lit("null")),
-                                          F.lit(".")).alias("line"),
+    kv = kv.select(*keys, "pos", F.concat(F.col("k"), F.lit(": "), text, F.lit(".")).alias("line"),
                    route.alias("field"),
                    F.when(route == "Metrics", text).otherwise(F.col("v")).alias("value"))
     aggs = [F.expr("listagg(line, '\\n ') WITHIN GROUP (ORDER BY pos)").alias("notes")]

@@ -205,6 +205,11 @@ def q_answer_fields(spark, d):
     return pr.answer_fields(parsed, ["doc_id"])
 
 
+def q_answer_kinds(spark, d):
+    """L2 and L3 for values of every JSON kind."""
+    return pr.answer_fields(pr.parse_answers(ad.answers_of_all_kinds(spark, d), ["doc_id"]), ["doc_id"])
+
+
 def q_reformat_prompts(spark, d):
     """L1 for the first answers that did not parse: one extraction conversation each."""
     parsed = pr.parse_answers(ad.model_answers(spark, d).filter("attempt = 0"), ["doc_id"])
@@ -521,6 +526,7 @@ QUERIES = {
     "company_slices": q_company_slices,
     "statement_urls": q_statement_urls,
     "fact_matrix": q_fact_matrix,
+    "answer_kinds": q_answer_kinds,
     "question_chunks": q_question_chunks,
     "turn_vectors": q_turn_vectors,
     "rate_audit_hot": q_rate_audit_hot,

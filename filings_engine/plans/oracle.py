@@ -484,4 +484,10 @@ SQL = {
       q AS {weighed('conv_id, turn', 'qc')}
       SELECT conv_id, turn, count(*) FILTER (WHERE norm > 0) AS n_terms, round(max(w / nullif(norm, 0)), 6) AS greatest,
              round(coalesce(sum(w / nullif(norm, 0)), 0), 6) AS total FROM q GROUP BY ALL""",
+    "answer_kinds": """SELECT s_suppkey AS doc_id, true AS is_json,
+        'CEO name: [' || s_suppkey || ',2].' || chr(10) || ' Year covered: nan.' || chr(10) || ' Metrics: [''EPS'', ' || s_suppkey || '], TSR, None, True.'
+          || chr(10) || ' Total: {''cash'': 1.5, ''note'': "it''s ' || s_name || '"}.' || chr(10) || ' Checked: False.' AS notes,
+        '[' || s_suppkey || ',2]' AS "CEO", 'nan' AS "Year Covered", '[''EPS'', ' || s_suppkey || '], TSR, None, True' AS "Metrics",
+        '{''cash'': 1.5, ''note'': "it''s ' || s_name || '"}' AS "Total Compensation"
+      FROM supplier""",
 }

@@ -159,6 +159,15 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
             .filter("keep").drop("keep"))
 
 
+def answers_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers ``(doc_id, attempt, content)`` from ``supplier`` whose values are text
+    that looks like a list, no number, nested lists, null, a truth value and an object."""
+    k = F.col("s_suppkey").cast("string")
+    content = F.concat(F.lit('{"CEO name": "['), k, F.lit(',2]", "Year covered": NaN, "Metrics": [["EPS", '), k,
+                       F.lit('], "TSR", null, true], "Total": {"cash": 1.5, "note": "it\'s '), F.col("s_name"), F.lit('"}, "Checked": false}'))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.lit(0).alias("attempt"), content.alias("content"))
+
+
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: its filing identity and its line items in line order
     (a bounded group: TPC-H orders have at most 7 lines)."""

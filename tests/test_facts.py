@@ -99,3 +99,13 @@ def test_filing_summary(spark):
     df = spark.createDataFrame([("acc", xml)], "accession string, value string")
     got = {r.short_name: r.file_name for r in ef.parse_filing_summary(df, key_cols=["accession"]).collect()}
     assert got == {"balance sheets": "R9.xml"}      # last wins; no 'Statement' / empty file name dropped
+
+
+def test_two_values_of_one_matrix_cell(spark):
+    import pytest
+    long = spark.createDataFrame([("a", "x", 1.0, 2), ("a", "x", 5.0, 1), ("a", "y", 3.0, 1), ("b", "other", 9.0, 1)], "r string, c string, v double, at int")
+    with pytest.raises(Exception, match="two values"):
+        fx.to_wide(long, "r", "c", "v", ["x", "y"]).collect()
+    got = {r.r: (r.x, r.y) for r in fx.to_wide(long, "r", "c", "v", ["x", "y"], "latest", "at").collect()}
+    assert got == {"a": (1.0, 3.0), "b": (None, None)}
+    assert fx.to_wide(long, "r", "c", "v", ["x"], "list").where("r = 'a'").first().x == [1.0, 5.0]

@@ -96,3 +96,27 @@ def test_chunks_of_any_overlap(spark):
     for size, overlap in ((10, 3), (10, 9), (7, 0), (100, 40)):
         got = [r.chunk for r in rt.chunk_text(df, size=size, overlap=overlap).orderBy("chunk_id").collect()]
         assert got == [text[i:i + size] for i in range(0, len(text), size - overlap)]
+
+
+KINDS = ['{"a": "[1,2]", "b": [1, [2, "x"], null, true, 1.5], "c": NaN, "d": null}', '{"a": false, "b": {"k": ["it\'s", "say \\"x\\""], "n": null}, "c": -Infinity}',
+         '{"a": 12345678901234567890, "b": [], "c": 1.5, "d": "None", "e": [NaN, "NaN", {"p": [true]}]}', '{"a": "x\\ny", "b": ["a, b", "c"], "ceo name": "NaN"}', "{}", '{"a": [1}',
+         "NaN", '{"a": nan}', '{"k: v, null": ["q: null, true"]}', '{"a": [["t\\tab", "back\\\\slash"]]}']
+
+
+def test_values_print_as_python_prints_them(spark):
+    import json
+
+    def shown(value):
+        return ", ".join(map(str, value)) if isinstance(value, list) else str(value)
+    parsed = pr.parse_answers(spark.createDataFrame([(i, 0, t) for i, t in enumerate(KINDS)], "doc_id int, attempt int, content string"), ["doc_id"])
+    got = {r.doc_id: (r.is_json, r.notes) for r in pr.answer_fields(parsed, ["doc_id"]).collect()}
+    for i, text in enumerate(KINDS):
+        try:
+            value = json.loads(text)
+        except ValueError:
+            value = None
+        if isinstance(value, dict):
+            lines = [f"{k}: {shown(v)}." for k, v in value.items()]
+            assert got[i] == (True, "\n ".join(lines) if lines else text), text
+        else:
+            assert got[i] == (False, text)
