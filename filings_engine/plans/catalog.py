@@ -16,6 +16,7 @@ from filings_engine.operators import audit as au
 from filings_engine.operators import coverage as cov
 from filings_engine.operators import facts as fx
 from filings_engine.operators import html as hx
+from filings_engine.operators import html_native as nat
 from filings_engine.operators import statements as stm
 from filings_engine.sources.keys import statement_keys
 from filings_engine.operators.html_nodes import html_nodes
@@ -237,17 +238,13 @@ def q_links_listing(spark, d):
 
 # parser projections: each job asks only for the nodes and columns it reads
 TEXT_COLUMNS = ["pos", "kind", "text"]
-ONLY_TEXT = dict(elements=[], id_elements=False, blank_text=False, columns=TEXT_COLUMNS)
-ONLY_LINKS = dict(elements=["a"], id_elements=False, text=False, columns=["pos", "tag", "attrs"])
-ONLY_IMAGES = dict(elements=["img"], id_elements=False, text=False, columns=["pos", "tag", "link"])
 TABLE_TEXT = dict(elements=["img"], id_elements=False, blank_text=False, columns=[*TEXT_COLUMNS, "tag", "link", "table_path"])
 CONTENTS = dict(elements=["div", "span", "tr", "a"],
                 columns=["pos", "end_pos", "parent_pos", "parent_end", "kind", "tag", "attrs", "text", "text_start", "text_end",
                          "cells", "cell_ends", "table_path"])
 
-def _page_nodes(spark, d, **projection):
-    pages = ad.table(spark, d, "pages").withColumnRenamed("page_id", "doc_id")
-    return html_nodes(spread(pages, "doc_id"), **projection)
+def _pages(spark, d):
+    return spread(ad.table(spark, d, "pages"), "page_id")
 
 
 def _filing_nodes(spark, d, reuse=False, **projection):
@@ -263,17 +260,17 @@ def _numbered(df, order_col, out):
 
 
 def q_page_text(spark, d):
-    pages = ad.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"))
-    return hx.page_text(_page_nodes(spark, d, **ONLY_TEXT), pages).withColumnRenamed("doc_id", "page_id")
+    return nat.page_text(_pages(spark, d), "page_id")
 
 
 def q_page_links(spark, d):
-    links = hx.page_links(_page_nodes(spark, d, **ONLY_LINKS))
+    links = nat.page_links(_pages(spark, d), "page_id").withColumnRenamed("page_id", "doc_id")
     return _numbered(links, "pos", "link_no").select(F.col("doc_id").alias("page_id"), "link_no", "href")
 
 
 def q_page_images(spark, d):
-    return _numbered(hx.page_images(_filing_nodes(spark, d, **ONLY_IMAGES)), "pos", "image_no").select("doc_id", "image_no", "url")
+    pages = spread(ad.filing_pages(spark, d), "doc_id", always=True)
+    return _numbered(nat.page_images(pages), "pos", "image_no").select("doc_id", "image_no", "url")
 
 
 def q_page_tables(spark, d):
