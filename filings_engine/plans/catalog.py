@@ -32,6 +32,7 @@ from filings_engine.plans import summaries as sm
 from filings_engine.sources import adapters as ad
 from filings_engine.sources import edgar_files as ef
 from filings_engine.sources import file_checks as fc
+from filings_engine.streaming import links_stream as ls
 
 START, END = 1996, 1999
 YEARS = list(range(START, END + 1))
@@ -61,6 +62,19 @@ def q_coverage_alerts(spark, d):
     return cov.coverage_alerts(q_coverage_gaps(spark, d))
 
 
+def q_coverage_stream(spark, d):
+    """A1 kept up to date: the submission documents land in three parts and the first
+    one again; after each landing the two streams run as far as there are files."""
+    docs = ad.submission_documents(spark, d)
+    top = f"{checkpoint_dir(spark).rstrip('/')}/coverage-{uuid.uuid4().hex}"
+    for n, part in enumerate((0, 1, 2, 0)):
+        docs.where(F.col("doc_order") % 3 == part).select("value").write.text(f"{top}/landing/{n}")
+        links = ls.distinct_links_stream(spark, f"{top}/landing", ad.identifiers(spark, d), START, END, whole_files=False)
+        ls.write_links_stream(links, f"{top}/links", f"{top}/state/links").awaitTermination()
+        ls.write_counts_stream(spark, f"{top}/links", f"{top}/counts", f"{top}/state/counts").awaitTermination()
+    return ls.current_coverage(spark, f"{top}/counts", START, END)
+
+
 def q_cik_lookup(spark, d):
     requests = ad.table(spark, d, "orders").select(
         "o_orderkey", F.concat(F.lit("T"), F.col("o_custkey").cast("string")).alias("ticker"))
@@ -523,6 +537,7 @@ QUERIES = {
     "company_slices": q_company_slices,
     "statement_urls": q_statement_urls,
     "fact_matrix": q_fact_matrix,
+    "coverage_stream": q_coverage_stream,
     "answer_kinds": q_answer_kinds,
     "question_chunks": q_question_chunks,
     "turn_vectors": q_turn_vectors,

@@ -490,4 +490,5 @@ SQL = {
         '[' || s_suppkey || ',2]' AS "CEO", 'nan' AS "Year Covered", '[''EPS'', ' || s_suppkey || '], TSR, None, True' AS "Metrics",
         '{''cash'': 1.5, ''note'': "it''s ' || s_name || '"}' AS "Total Compensation"
       FROM supplier""",
+    "coverage_stream": f"{COVERAGE} SELECT ticker, year, n FROM cov",
 }

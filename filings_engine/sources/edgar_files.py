@@ -38,16 +38,17 @@ def read_company_identifiers(spark: SparkSession, path: str) -> DataFrame:
 
 
 # S2 -------------------------------------------------------------------------
-def parse_submissions(df: DataFrame, col: str = TEXT, cik: str | None = None) -> DataFrame:
+def parse_submissions(df: DataFrame, col: str = TEXT, cik: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``filings.recent`` (a struct of parallel arrays) -> one row per
-    filing with its array position as ``ordinal`` (0 = newest)."""
+    filing with its array position as ``ordinal`` (0 = newest); ``keep``: columns of
+    the document that every row carries."""
     d = F.from_json(col, S.SUBMISSIONS_JSON)
-    base = df.select((F.col(cik) if cik else F.lit(None)).alias("_cik"), d.alias("d"))
+    base = df.select(*keep, (F.col(cik) if cik else F.lit(None)).alias("_cik"), d.alias("d"))
     rec = "d.filings.recent"
     zipped = F.arrays_zip(*[F.col(f"{rec}.{f}").alias(f) for f in S.FILING_FIELDS])
-    return (base.select(F.coalesce(pad_cik("d.cik"), pad_cik("_cik")).alias("cik"),
+    return (base.select(*keep, F.coalesce(pad_cik("d.cik"), pad_cik("_cik")).alias("cik"),
                         F.posexplode(zipped).alias("ordinal", "r"))
-            .select("cik", F.col("ordinal").cast("long"), *[F.col(f"r.{f}") for f in S.FILING_FIELDS]))
+            .select(*keep, "cik", F.col("ordinal").cast("long"), *[F.col(f"r.{f}") for f in S.FILING_FIELDS]))
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
