@@ -143,6 +143,10 @@ def read_filing_summary(spark: SparkSession, path: str) -> DataFrame:
 SINGLE_BYTE_CHARSETS = ["iso-8859-1", "latin1", "latin-1", "us-ascii", "windows-1252", "cp1252"]
 CHARSET = r"""(?i)charset\s*=\s*["']?([a-z0-9_-]+)"""
 CHARSET_BYTES = 2048            # a declaration stands at the start of a page
+WINDOWS_CHARSETS = ["windows-1252", "cp1252"]
+#: The control characters of ISO-8859-1 and what the Windows charset has in their places.
+CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+WINDOWS = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0))
 
 
 def page_html(content) -> Column:
@@ -150,8 +154,9 @@ def page_html(content) -> Column:
     UTF-8 become the replacement character, never an error."""
     c = F.col(content) if isinstance(content, str) else content
     head = F.decode(F.substring(c, 1, CHARSET_BYTES), "ISO-8859-1")
-    single = F.lower(F.regexp_extract(head, CHARSET, 1)).isin(SINGLE_BYTE_CHARSETS)
-    return F.when(single, F.decode(c, "ISO-8859-1")).otherwise(F.make_valid_utf8(c.cast("string")))
+    declared, latin = F.lower(F.regexp_extract(head, CHARSET, 1)), F.decode(c, "ISO-8859-1")
+    return (F.when(declared.isin(WINDOWS_CHARSETS), F.translate(latin, CONTROLS, WINDOWS))
+            .when(declared.isin(SINGLE_BYTE_CHARSETS), latin).otherwise(F.make_valid_utf8(c.cast("string"))))
 
 
 def read_filing_html(spark: SparkSession, path: str) -> DataFrame:

@@ -64,9 +64,10 @@ def test_pages_of_other_charsets(spark, tmp_path):
     (tmp_path / "b.htm").write_bytes("<p>café £</p>".encode())
     (tmp_path / "c.htm").write_bytes(b"<p>caf\xe9</p>")
     (tmp_path / "d.htm").write_bytes(b"")
+    (tmp_path / "e.htm").write_bytes("<meta charset=windows-1252>“it’s” – 5 €".encode("cp1252") + b"\x81")
     pages = ef.fetched_pages(ef.read_filing_html(spark, str(tmp_path)))
     got = {r.url[-5]: r.html for r in pages.collect()}
-    assert got["a"].endswith("<p>café £</p>") and got["b"] == "<p>café £</p>" and got["c"] == "<p>caf\ufffd</p>" and "d" not in got
+    assert got["a"].endswith("<p>café £</p>") and got["e"].endswith("“it’s” – 5 €\x81") and got["b"] == "<p>café £</p>" and got["c"] == "<p>caf\ufffd</p>" and "d" not in got
 
 
 def test_file_sources(spark, tmp_path):
