@@ -17,7 +17,8 @@ Defined results: rows without conversation or identifier are dropped calls (stat
 are counted in ``repeats``; a call without result is ``no_result``, a result without call
 ``no_call`` (null position); dependencies on unknown identifiers are ignored; arguments that are null, not
 JSON, or not finite are invalid with a reason and canonicalised as null; unknown tools
-are invalid.  Extra columns do not take part.
+are invalid; so is an integer of over 4,300 digits (not JSON).  A very long argument text is one
+value of a batch; empty tables give an empty result.  Extra columns do not take part.
 
 With ``every``, as the query runs it, each input call and result has its row: the calls of
 one identifier are numbered in turn order, ``repeats`` counts those before, and the nth call
@@ -39,6 +40,7 @@ from filings_engine.llm.common import cut_lineage
 
 TURNS_A_BLOCK = 1024
 TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
+NUMBERS = {"number", "integer"}
 
 
 def canonical(value) -> str:
@@ -53,16 +55,41 @@ def unique_keys(pairs: list) -> dict:
     return found
 
 
-def violations(value, schema: dict, path: str = "$") -> list[str]:
-    """Where a value breaks a schema (type, enum, required, properties,
-    additionalProperties, items, minimum, maximum, minLength, maxLength)."""
-    kind = schema.get("type")
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"number": number, "integer": number and value == int(value)}.get(kind, isinstance(value, TYPES.get(kind, object)))
-    if not fits:
-        return [f"{path}: not {kind}"]
+def is_number(value) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def has_type(value, kind: str) -> bool:
+    """An unknown type name fits everything."""
+    if kind in NUMBERS:
+        return is_number(value) and (kind == "number" or value == int(value))
+    return isinstance(value, TYPES.get(kind, object))
+
+
+def equal(a, b) -> bool:
+    """Equality of JSON values: 1 is 1.0 but not true."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(equal, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(equal(a[k], b[k]) for k in a)
+    return a == b
+
+
+def violations(value, schema: dict | bool, path: str = "$") -> list[str]:
+    """Where a value breaks a schema (type, one or a list; enum, required, properties,
+    additionalProperties, items, minimum, maximum, minLength, maxLength).  The
+    schema ``true`` admits every value, ``false`` none."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{path}: not allowed"]
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds or []
+    if kinds and not any(has_type(value, k) for k in kinds):
+        return [f"{path}: not {' or '.join(kinds)}"]
+    number = is_number(value)
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(equal(value, x) for x in schema["enum"]):
         out.append(f"{path}: not in enum")
     if number:
         out += [f"{path}: {k}" for k, bad in (("minimum", value < schema.get("minimum", value)), ("maximum", value > schema.get("maximum", value))) if bad]
@@ -74,8 +101,10 @@ def violations(value, schema: dict, path: str = "$") -> list[str]:
         for k in sorted(value):
             if k in known:
                 out += violations(value[k], known[k], f"{path}.{k}")
-            elif schema.get("additionalProperties", True) is False:
+            elif (more := schema.get("additionalProperties", True)) is False:
                 out.append(f"{path}.{k}: unknown")
+            else:
+                out += violations(value[k], more, f"{path}.{k}")
     if isinstance(value, list) and "items" in schema:
         for i, x in enumerate(value):
             out += violations(x, schema["items"], f"{path}[{i}]")

@@ -17,6 +17,15 @@ def test_validation(text, errors):
     assert T.check_arguments("f", text, SCHEMA)[1] == errors
 
 
+@pytest.mark.parametrize("schema, value, errors", [
+    ({"type": ["string", "null"]}, None, []), ({"type": ["string", "null"]}, 1, ["$: not string or null"]), ({"type": ["integer", "boolean"]}, True, []),
+    (True, {"a": 1}, []), (False, 1, ["$: not allowed"]), ({}, [1], []), ({"properties": {"a": False, "b": True}}, {"a": 1, "b": 2}, ["$.a: not allowed"]),
+    ({"enum": [1]}, True, ["$: not in enum"]), ({"enum": [1]}, 1.0, []), ({"enum": [[0, {"a": False}]]}, [0, {"a": 0}], ["$: not in enum"]), ({"enum": [None, [1]]}, [1], []),
+    ({"additionalProperties": {"type": "integer"}}, {"x": "y", "z": 1}, ["$.x: not integer"]), ({"items": False}, [], []), ({"items": False}, [1], ["$[0]: not allowed"])])
+def test_schema_forms(schema, value, errors):
+    assert T.violations(value, schema) == errors
+
+
 def test_canonical():
     assert T.canonical(json.loads('{"b": [1, 2.50, "é\\n"], "a": {"y": null, "x": true}}')) == '{"a":{"x":true,"y":null},"b":[1,2.5,"é\\n"]}'
 
