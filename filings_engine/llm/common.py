@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filings_engine.session import checkpoint_dir
 
@@ -21,6 +21,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of all columns; columns that hold maps count as their JSON."""
+    parts = [(F.col(quoted(f.name)), "map<" in f.dataType.simpleString()) for f in df.schema.fields]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if mapped else c for c, mapped in parts])
+
+
+def boxed(docs: DataFrame, key: str, row: Column) -> DataFrame:
+    """(doc, key, row): all columns of ``docs`` in one struct, so that no name among
+    them meets a name of the operator's; ``select("doc.*")`` gives them back."""
+    return docs.select(F.struct("*").alias("doc"), F.col(key).alias("key"), row.alias("row"))
+
+
 def sample_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows (never over twice that) chosen by the hash of
     ``key``; all rows when there are no more than that."""

@@ -3,7 +3,8 @@
 Every byte of a text gets a label distribution from two recurrent passes, one from
 the left and one from the right; the mean over a text's bytes is its distribution.
 Texts are read in windows of ``WINDOW`` bytes that start with an empty state, so all
-windows of many texts advance together and memory does not grow with a text.
+windows of many texts advance together.  The texts of one batch and their window positions are
+held in memory, so a worker needs a few times the longest text.
 
 The network is trained in numpy by backpropagation through time, on the driver, from
 ``WINDOWS_A_DOC`` windows of about ``TRAIN_DOCS`` documents of each language (a hash

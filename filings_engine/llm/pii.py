@@ -32,7 +32,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filings_engine.llm.common import cut_lineage
+from filings_engine.llm.common import boxed, cut_lineage, quoted
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Possessive and anchored forms of the base patterns: a match can only start where a
@@ -289,10 +289,11 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     per_block = cut.groupBy(F.col("key").alias("_key"), F.col("row").alias("_row"), F.col("block").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("a", "b", "put"))).alias("s"))
 
     touched = merged.select(F.col("key").alias("_key"), F.col("row").alias("_row")).distinct()
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_row"))
-    clean = docs.join(touched, same, "left_anti")
-    hit = docs.join(touched, same, "left_semi")
-    texts = hit.select(F.col(key).alias("key"), F.xxhash64(text).alias("row"), F.col(text).alias("text")).dropDuplicates(["key", "row"])
+    whole = boxed(docs, key, F.xxhash64(text))
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row"))
+    clean = whole.join(touched, same, "left_anti").select("doc")
+    hit = whole.join(touched, same, "left_semi")
+    texts = hit.select("key", "row", F.col("doc")[text].alias("text")).dropDuplicates(["key", "row"])
     blocks = texts.select("key", "row", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))).alias("block", "t"))
     blocks = blocks.join(per_block, F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")) & (F.col("block") == F.col("_block")), "left")
     # each span brings the text since the span before it; the rest follows the last
@@ -302,5 +303,5 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     done = F.when(F.col("s").isNull(), F.col("t")).otherwise(F.concat(F.array_join(kept, ""), rest))
     rebuilt = (blocks.select("key", "row", F.struct("block", done.alias("t")).alias("part")).groupBy(F.col("key").alias("_key"), F.col("row").alias("_row"))
                .agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["t"]), "").alias("_text")))
-    fixed = hit.join(rebuilt, same).withColumn(text, F.col("_text")).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return clean.unionByName(fixed)
+    fixed = hit.join(rebuilt, same).select(F.col("doc").withField(quoted(text), F.col("_text")).alias("doc"))
+    return clean.unionByName(fixed).select("doc.*")

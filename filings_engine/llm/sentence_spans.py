@@ -19,15 +19,16 @@ row per task; only runs that repeat are landed and met again with their occurren
 join whose large partitions adaptive execution can split.
 
 Defined results: null and empty texts have no sentences; null ids come last in the order;
-rows equal in id and text count as one document (each keeps its row); extra columns do
-not take part.
+rows equal in id and text count as one document (each keeps its row); an empty table gives
+an empty result; a very long text is one array of sentences in the task that reads it;
+extra columns, of whatever names, do not take part.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from filings_engine.llm.common import cut_lineage
+from filings_engine.llm.common import boxed, cut_lineage, quoted
 
 SPAN = 2
 MIN_WORDS = 10
@@ -94,8 +95,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     """``docs`` without the sentences of later repeats, all columns; a text without any
     passes unchanged."""
     gone = repeated_sentences(docs, key, text, span, min_words, whole).select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.col("sentences").alias("_gone"))
-    out = docs.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_row")), "left")
-    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(without(F.col(text), F.col("_gone")))).drop("_key", "_row", "_gone")
+    out = boxed(docs, key, F.xxhash64(text)).join(gone, F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")), "left")
+    old = F.col("doc")[text]
+    put = F.when(F.col("_gone").isNull(), old).otherwise(without(old, F.col("_gone")))
+    return out.select(F.col("doc").withField(quoted(text), put).alias("doc")).select("doc.*")
 
 
 def without(text: Column, gone: Column) -> Column:

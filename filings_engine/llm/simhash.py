@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from filings_engine.llm.common import components, cut_lineage, hot_join
+from filings_engine.llm.common import boxed, components, cut_lineage, hot_join, row_hash
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -128,15 +128,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The one row of each component that stays, all columns: the smallest id,
     then the smallest hash of the row (rows without an id come last)."""
-    tag = F.xxhash64(*docs.columns)
+    tag = row_hash(docs)
     rows = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), tag.alias("tag")).alias("row"), F.col(text).alias("text"))
+    whole = boxed(docs, key, tag)
     found = near_duplicates(rows, "row", "text")
     dropped = found.where("row <> component_id").select(F.col("row.key").alias("_key"), F.col("row.tag").alias("_tag")).distinct()
-    same = F.col(key).eqNullSafe(F.col("_key")) & (tag == F.col("_tag"))
-    kept = docs.join(dropped, same, "left_anti")
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_tag"))
+    kept = whole.join(dropped, same, "left_anti")
     # rows equal in every column are one document as well
     repeated = cut_lineage(found.where("row = component_id").groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
                            .select(F.col("row.key").alias("_key"), F.col("row.tag").alias("_tag")))
     if repeated.limit(1).count():
-        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates())
-    return kept
+        once = kept.join(repeated, same, "left_semi").groupBy("key", "row").agg(F.first("doc").alias("doc"))
+        kept = kept.join(repeated, same, "left_anti").select("doc").unionByName(once.select("doc"))
+    return kept.select("doc.*")

@@ -38,7 +38,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filings_engine.llm.common import cut_lineage
+from filings_engine.llm.common import boxed, cut_lineage
 
 WINDOW = 8
 MIN_LITERALS = 4
@@ -206,4 +206,5 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, all columns."""
     hits = contaminated(docs, items, key, text, any_case=True).select(F.col(key).alias("_key"), F.col("row").alias("_row")).distinct()
-    return docs.join(hits, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_row")), "left_anti")
+    whole = boxed(docs, key, F.xxhash64(text))
+    return whole.join(hits, F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")), "left_anti").select("doc.*")
