@@ -75,22 +75,27 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Connected components.  nodes(node), links(a, b) over comparable ids;
     returns (node, component) with the smallest node reachable.
 
-    Each round a node takes the smallest label among its neighbours and then
-    the label of that label (pointer jumping).  Only linked nodes take part;
+    Each round a node takes the smallest label among its neighbours, hands it to
+    the node whose label it held, and takes the label of its label (pointer
+    jumping), so the rounds grow with the logarithm of a chain.  Only linked nodes take part;
     aggregation is partial before each shuffle, so a hub ships one row per
-    task.  Labels are checkpointed every round."""
+    task.  Labels reach the links of a hub, and the members of a large
+    component its label, by ``hot_join``.  Labels are checkpointed every round."""
     both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut_lineage(both.distinct())
-    label = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "n"))
+    label = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l"), F.count("*").alias("degree")).withColumnRenamed("a", "n"))
     while True:
-        near = (both.join(label, F.col("b") == F.col("n")).groupBy("a").agg(F.min("l").alias("m")))
-        step = label.join(near, F.col("n") == F.col("a")).select("n", "l", F.least("l", "m").alias("m"))
-        jump = step.select(F.col("n").alias("j"), F.col("m").alias("jm"))
-        step = (step.join(jump, F.col("m") == F.col("j"), "left")
-                .select("n", "l", F.least("m", F.coalesce("jm", "m")).alias("m")))
+        near = hot_join(both, label.withColumnRenamed("n", "b"), "b", "degree").groupBy("a").agg(F.min("l").alias("m"))
+        step = cut_lineage(label.join(near, F.col("n") == F.col("a")).select("n", "l", "degree", F.least("l", "m").alias("m")))
+        # the node that gave a label learns of a smaller one next to any node that holds it
+        told = step.where("m < l").groupBy(F.col("l").alias("h")).agg(F.min("m").alias("hm"))
+        step = cut_lineage(step.join(told, F.col("n") == F.col("h"), "left").select("n", "l", "degree", F.least("m", F.coalesce("hm", "m")).alias("m")))
+        held = step.groupBy(F.col("m").alias("j")).agg(F.count("*").alias("held"))
+        jump = held.join(step.select("n", F.col("m").alias("jm")), F.col("j") == F.col("n")).select(F.col("j").alias("m"), "jm", "held")
+        step = hot_join(step, jump, "m", "held").select("n", "l", "degree", F.least("m", F.coalesce("jm", "m")).alias("m"))
         step = cut_lineage(step)
         changed = step.where("m < l").limit(1).count()
-        label = step.select("n", F.col("m").alias("l"))
+        label = step.select("n", F.col("m").alias("l"), "degree")
         if not changed:
             break
     return nodes.join(label, F.col("node") == F.col("n"), "left").select("node", F.coalesce("l", "node").alias("component"))

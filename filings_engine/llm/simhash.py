@@ -119,8 +119,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     links = fingerprint_links(classes.select("fp"), list_limit)
     member = components(classes.select(F.col("fp").alias("node")), links)
     classes = classes.join(member, F.col("fp") == F.col("node")).select("fp", "least", "n", "component")
-    least = classes.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
-    classes = classes.join(least, F.col("component") == F.col("c")).select("fp", "n", "component_id")
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("texts"))
+    classes = hot_join(classes, least, "component", "texts").select("fp", "n", "component_id")
     return (hot_join(rows, classes, "fp", "n")
             .select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
