@@ -62,6 +62,14 @@ def q_coverage_alerts(spark, d):
     return cov.coverage_alerts(q_coverage_gaps(spark, d))
 
 
+def q_filing_year_options(spark, d):
+    """O2: the selectable years of every company with a link, newest first, with its links of each."""
+    counted = q_proxy_links(spark, d, sort=False).groupBy("ticker", F.year("filingDate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    options = counted.select("ticker").distinct().select("ticker", F.posexplode(cov.year_options(START, END)).alias("position", "year"))
+    found = options.join(counted, ["ticker", "year"], "left")
+    return found.select("ticker", F.col("position").cast("long").alias("position"), F.col("year").cast("long").alias("year"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def q_coverage_stream(spark, d):
     """A1 kept up to date: the submission documents land in three parts and the first
     one again; after each landing the two streams run as far as there are files."""
@@ -161,8 +169,8 @@ def q_rank_chunks(spark, d):
 
 def _tfidf_top(spark, d, top):
     chunks = rt.chunk_text(_docs(spark, d), "text", ["doc_id"])
-    scores = rt.tfidf_scores(chunks, pr.SUMMARY_QUESTION, ["doc_id", "chunk_id"])
-    return rt.top_n(chunks.join(scores, ["doc_id", "chunk_id"]), ["doc_id"], "chunk_id", top)
+    scores = rt.tfidf_scores(chunks, pr.SUMMARY_QUESTION, ["doc_id", "chunk_id"], model=_term_model(spark, chunks), carry=["chunk"])
+    return rt.top_n(scores, ["doc_id"], "chunk_id", top)
 
 
 def q_tfidf_rank(spark, d):
@@ -176,14 +184,15 @@ def q_context(spark, d):
 def q_prompts(spark, d):
     """Q3 on documents: numeric context -> chunks -> TF-IDF ranking (top
     100) -> context -> one conversation per document."""
-    return pr.flatten_messages(sm.summary_prompts(_docs(spark, d), ["doc_id"], tables=None), ["doc_id"])
+    return pr.flatten_messages(sm.summary_prompts(_docs(spark, d), ["doc_id"], tables=None, fit=functools.partial(_term_model, spark)), ["doc_id"])
 
 
 def q_multi_step_prompts(spark, d):
     """Q4 on documents: the metrics conversation, the targets conversation
     (over first answers rendered from the language) and the third one."""
     docs = _docs(spark, d)
-    ctx, first = sm.multi_step_prompts(docs, ["doc_id"], tables=None)
+    ctx, first = sm.multi_step_prompts(docs, ["doc_id"], tables=None, fit=functools.partial(_term_model, spark),
+                                       land=functools.partial(materialize, as_table=True))
     answers = docs.select("doc_id", F.concat(F.lit("Revenue, "), F.coalesce("lang", F.lit("none"))).alias("content"))
     steps = [first, pr.metric_targets_prompts(answers, ctx, ["doc_id"]), sm.third_step_prompts(ctx, ["doc_id"])]
     rows = [pr.flatten_messages(s, ["doc_id"]).withColumn("step", F.lit(i + 1)) for i, s in enumerate(steps)]
@@ -538,6 +547,7 @@ QUERIES = {
     "statement_urls": q_statement_urls,
     "fact_matrix": q_fact_matrix,
     "coverage_stream": q_coverage_stream,
+    "filing_year_options": q_filing_year_options,
     "answer_kinds": q_answer_kinds,
     "question_chunks": q_question_chunks,
     "turn_vectors": q_turn_vectors,

@@ -251,6 +251,9 @@ SQL = {
         arg_max("File", strftime("Filing Date", '%Y-%m-%d') || "File") FILTER (WHERE year("Filing Date") = 1999) AS "1999"
       FROM v GROUP BY "Ticker" """,
     "coverage_gaps": f"{COVERAGE} SELECT ticker, year, n FROM cov",
+    "filing_year_options": f"""{LINKS} SELECT t.ticker, p AS position, 1999 - p AS year, count(l.ticker) AS n
+        FROM (SELECT DISTINCT ticker FROM links) t CROSS JOIN range(4) r(p)
+        LEFT JOIN links l ON l.ticker = t.ticker AND year(l.filingDate) = 1999 - p GROUP BY t.ticker, p""",
     "coverage_alerts": f"""{COVERAGE}
       SELECT ticker,
         CASE WHEN count(*) FILTER (WHERE n = 0) > 0 THEN '* ' || ticker || ': ' ||

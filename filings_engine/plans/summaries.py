@@ -4,7 +4,7 @@ answers back)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -64,22 +64,24 @@ def lite_answer_prompts(docs: DataFrame, keys: Sequence[str], text: str = "text"
 
 
 def summary_prompts(docs: DataFrame, keys: Sequence[str], question: str = pr.SUMMARY_QUESTION,
-                    text: str = "text", tables: str | None = "tables", top: int = rt.TOP_N_SINGLE) -> DataFrame:
+                    text: str = "text", tables: str | None = "tables", top: int = rt.TOP_N_SINGLE, fit: Callable | None = None) -> DataFrame:
     """Q3: numeric context -> chunks -> vectors -> top-n -> context -> one
-    conversation per document."""
-    ctx = rt.retrieve_context(rt.numeric_context(docs, text, tables), question, keys, top=top)
+    conversation per document.  ``fit`` as for ``retrieve_context``."""
+    ctx = rt.retrieve_context(rt.numeric_context(docs, text, tables), question, keys, top=top, fit=fit)
     return pr.prompt_rows(ctx, keys, "context", question)
 
 
 def multi_step_prompts(docs: DataFrame, keys: Sequence[str], text: str = "text",
-                       tables: str | None = "tables") -> tuple[DataFrame, DataFrame]:
+                       tables: str | None = "tables", fit: Callable | None = None, land: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """Q4, first job: the shared context (top 50 for the metrics question)
     and the first conversation.  The second conversation needs the first
     answer: ``pr.metric_targets_prompts(answers, contexts, keys)``; the third
-    is ``third_step_prompts``."""
+    is ``third_step_prompts``.  ``fit`` as for ``retrieve_context``; ``land`` writes
+    the contexts, which all three conversations read."""
     keys = list(keys)
     ctx = rt.retrieve_context(rt.numeric_context(docs, text, tables), METRICS_QUESTION, keys,
-                              top=rt.TOP_N_MULTI)
+                              top=rt.TOP_N_MULTI, fit=fit)
+    ctx = land(ctx) if land else ctx
     first = pr.prompt_rows(ctx, keys, "context", METRICS_QUESTION, pr.METRICS_SYSTEM)
     return ctx, first
 
