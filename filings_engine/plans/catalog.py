@@ -461,28 +461,32 @@ def q_submissions_parsed(spark, d):
     return ef.parse_submissions(ad.submission_documents(spark, d)).select("cik", *FILING_FIELDS)
 
 
-def _checked(spark, d):
+#: The documents of each kind.
+DOCUMENTS = {
+    "identifiers": ad.identifier_documents, "submissions": ad.submission_documents, "facts": ad.company_facts_documents,
+    "concept": lambda spark, d: ad.company_concept_documents(spark, d, "NO"),
+    "summary": lambda spark, d: ad.filing_summaries(spark, d).withColumn("doc_order", F.substring("accession", 1, 10).cast("long"))}
+
+
+def _checked(spark, d, kind):
     """S1-S5 over documents some of which are spoilt: accounts, errors and rows."""
-    summaries = ad.filing_summaries(spark, d).withColumn("doc_order", F.substring("accession", 1, 10).cast("long"))
-    docs = {"identifiers": ad.identifier_documents(spark, d), "submissions": ad.submission_documents(spark, d),
-            "facts": ad.company_facts_documents(spark, d), "concept": ad.company_concept_documents(spark, d, "NO"), "summary": summaries}
-    return {k: fc.check_documents(ad.broken_documents(df, k), k, ["doc_order"]) for k, df in docs.items()}
+    return fc.check_documents(ad.broken_documents(DOCUMENTS[kind](spark, d), kind), kind, ["doc_order"])
 
 
 def q_source_files(spark, d):
     """Every document with its number of rows and what is wrong with it."""
-    parts = [c.files.select(F.lit(k).alias("kind"), "doc_order", "n_rows", "reason") for k, c in _checked(spark, d).items()]
+    parts = [_checked(spark, d, k).files.select(F.lit(k).alias("kind"), "doc_order", "n_rows", "reason") for k in DOCUMENTS]
     return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def q_submissions_checked(spark, d):
     """The filings of the submission indexes that can be read."""
-    return _checked(spark, d)["submissions"].rows.select("cik", "accessionNumber", "form", "filingDate")
+    return _checked(spark, d, "submissions").rows.select("cik", "accessionNumber", "form", "filingDate")
 
 
 def q_facts_checked(spark, d):
     """S3: the facts of the documents that can be read; a value that is no number is null."""
-    return _checked(spark, d)["facts"].rows.select(FACT_COLS)
+    return _checked(spark, d, "facts").rows.select(FACT_COLS)
 
 
 def q_links_written(spark, d):

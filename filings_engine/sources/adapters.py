@@ -51,17 +51,22 @@ def filing_ordinal(order_date, order_key):
     return (-F.unix_date(order_date)).cast("long") * F.lit(1_000_000_000_000) + order_key.cast("long")
 
 
-def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` in enough parts for documents made of every row."""
+    from filings_engine.session import spread
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey")
+
+
+def filings(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """D3 filing rows (all companies) from ``orders``."""
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders") if orders is None else orders
     d = F.col("o_orderdate").cast("date")
-    iso = F.date_format(d, "yyyy-MM-dd")
+    iso = d.cast("string")
     key = F.col("o_orderkey")
     return o.select(
         pad_cik("o_custkey").alias("cik"),
         filing_ordinal(d, key).alias("ordinal"),
-        F.concat(pad_cik(key), F.lit("-"), F.date_format(d, "yy"), F.lit("-"),
-                 pad_cik(key % 1_000_000, 6)).alias("accessionNumber"),
+        accession_number(key, d).alias("accessionNumber"),
         F.when(key % BAD_DATE_MODULUS == 0, F.lit("")).otherwise(iso).alias("filingDate"),
         iso.alias("reportDate"),
         _case(F.substring("o_orderpriority", 1, 1), FORM_OF_PRIORITY).alias("form"),
@@ -73,7 +78,7 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accession_number(order_key, order_date):
     """``pad10(key)-yy-pad6(key mod 10^6)``."""
-    return F.concat(pad_cik(order_key), F.lit("-"), F.date_format(order_date, "yy"), F.lit("-"),
+    return F.concat(pad_cik(order_key), F.lit("-"), F.lpad((F.year(order_date) % 100).cast("string"), 2, "0"), F.lit("-"),
                     pad_cik(order_key % 1_000_000, 6))
 
 
@@ -92,13 +97,13 @@ def _fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("l_returnflag", "l_linestatus").alias("fact"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("line"),
         F.struct(
-            F.when(~even, F.date_format(od, "yyyy-MM-dd")).alias("start"),
-            F.date_format(F.when(even, od).otherwise(F.col("l_shipdate").cast("date")), "yyyy-MM-dd").alias("end"),
+            F.when(~even, od.cast("string")).alias("start"),
+            F.when(even, od).otherwise(F.col("l_shipdate").cast("date")).cast("string").alias("end"),
             F.col("l_quantity").alias("val"),
             accession_number(F.col("o_orderkey"), od).alias("accn"),
             F.year(od).cast("long").alias("fy"), F.lit("FY").alias("fp"),
             _case(F.substring("o_orderpriority", 1, 1), FORM_OF_PRIORITY).alias("form"),
-            F.date_format(od, "yyyy-MM-dd").alias("filed")).alias("item"))
+            od.cast("string").alias("filed")).alias("item"))
 
 
 def company_facts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +209,7 @@ def filing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\">Item "), s(i + 1), F.lit("</a></td></tr>"))), "")
     sections = F.array_join(F.transform("lines", lambda l, i: F.concat(
         F.lit("<h2 id=\"s"), s(i + 1), F.lit("\">Item "), s(i + 1), F.lit("</h2>"),
-        F.lit("<p>Part "), s(l["l_partkey"]), F.lit(" ships "), F.date_format(l["ship"], "yyyy-MM-dd"),
+        F.lit("<p>Part "), s(l["l_partkey"]), F.lit(" ships "), l["ship"].cast("string"),
         F.lit("</p><img src=\"img/"), s(l["l_partkey"]), F.lit(".png\"><table><tr><td>Qty</td><td>"),
         s(l["l_quantity"].cast("int")), F.lit("</td></tr><tr><td>Supplier</td><td><table><tr><td>S"),
         s(l["l_suppkey"]), F.lit("</td></tr></table></td></tr></table>"))), "\n")
@@ -232,7 +237,7 @@ def filing_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``Statement`` in its long name) on every 7th, and a second balance-sheet
     synonym (three places down the list) as R5."""
     from filings_engine.sources.keys import STATEMENT_KEYS
-    o = table(spark, sf_dir, "orders")
+    o = _orders(spark, sf_dir)
     k = F.col("o_orderkey")
     bs, inc, cf = (STATEMENT_KEYS[x] for x in ("balance_sheet", "income_statement", "cash_flow_statement"))
 
@@ -341,7 +346,7 @@ def submission_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X2 documents ``(value)``: a submission index per filing (parallel
     arrays of length one under ``filings.recent``), built from the filing
     view, so every filing row must come back through the parser."""
-    f = filings(spark, sf_dir)
+    f = filings(spark, sf_dir, _orders(spark, sf_dir))
     from filings_engine.schemas import FILING_FIELDS
     recent = F.struct(*[F.array(F.col(c)).alias(c) for c in FILING_FIELDS])
     doc = F.struct(F.col("cik"), F.struct(recent.alias("recent")).alias("filings"))

@@ -42,7 +42,12 @@ def parse_submissions(df: DataFrame, col: str = TEXT, cik: str | None = None, ke
     """``filings.recent`` (a struct of parallel arrays) -> one row per
     filing with its array position as ``ordinal`` (0 = newest); ``keep``: columns of
     the document that every row carries."""
-    d = F.from_json(col, S.SUBMISSIONS_JSON)
+    return submission_rows(df, F.from_json(col, S.SUBMISSIONS_JSON), cik, keep)
+
+
+def submission_rows(df: DataFrame, d: Column | str, cik: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``parse_submissions`` of documents that are read already (a struct)."""
+    d = F.col(d) if isinstance(d, str) else d
     base = df.select(*keep, (F.col(cik) if cik else F.lit(None)).alias("_cik"), d.alias("d"))
     rec = "d.filings.recent"
     zipped = F.arrays_zip(*[F.col(f"{rec}.{f}").alias(f) for f in S.FILING_FIELDS])
@@ -67,7 +72,12 @@ def parse_company_facts(df: DataFrame, col: str = TEXT, doc_order: str | None =
     ``ordinal`` = (document order, fact position, unit position, item
     position) is the order in which the items are met, kept for
     first-wins de-duplication.  The unit is kept (the reference drops it)."""
-    d = F.from_json(col, S.COMPANY_FACTS_JSON)
+    return company_fact_rows(df, F.from_json(col, S.COMPANY_FACTS_JSON), doc_order, taxonomy)
+
+
+def company_fact_rows(df: DataFrame, d: Column | str, doc_order: str | None = None, taxonomy: str = "us-gaap") -> DataFrame:
+    """``parse_company_facts`` of documents that are read already (a struct)."""
+    d = F.col(d) if isinstance(d, str) else d
     order = F.col(doc_order) if doc_order else F.lit(0).cast("long")
     return (df.select(order.alias("_doc"), d.alias("d"))
             .select("_doc", pad_cik("d.cik").alias("cik"),
@@ -93,7 +103,12 @@ def read_company_facts(spark: SparkSession, path: str, taxonomy: str = "us-gaap"
 def parse_company_concept(df: DataFrame, col: str = TEXT, unit: str = "USD",
                           doc_order: str | None = None) -> DataFrame:
     """One concept's series for one unit: one row per item."""
-    d = F.from_json(col, S.COMPANY_CONCEPT_JSON)
+    return company_concept_rows(df, F.from_json(col, S.COMPANY_CONCEPT_JSON), unit, doc_order)
+
+
+def company_concept_rows(df: DataFrame, d: Column | str, unit: str = "USD", doc_order: str | None = None) -> DataFrame:
+    """``parse_company_concept`` of documents that are read already (a struct)."""
+    d = F.col(d) if isinstance(d, str) else d
     order = F.col(doc_order) if doc_order else F.lit(0).cast("long")
     return (df.select(order.alias("_doc"), d.alias("d"))
             .select("_doc", pad_cik("d.cik").alias("cik"), F.col("d.tag").alias("tag"),
@@ -115,8 +130,13 @@ def parse_filing_summary(df: DataFrame, col: str = TEXT, key_cols: list[str] | N
     reports: both names present, a non-empty file name (HTML file, else XML
     file) and ``Statement`` (case-sensitive) in the long name.  A short name
     met twice keeps the last file."""
+    return filing_summary_rows(df, F.from_xml(col, S.FILING_SUMMARY_XML), key_cols)
+
+
+def filing_summary_rows(df: DataFrame, x: Column | str, key_cols: list[str] | None = None) -> DataFrame:
+    """``parse_filing_summary`` of documents that are read already (a struct)."""
     keys = key_cols or []
-    x = F.from_xml(col, S.FILING_SUMMARY_XML)
+    x = F.col(x) if isinstance(x, str) else x
     reports = (df.select(*keys, F.posexplode(x["MyReports"]["Report"]).alias("pos", "r")).filter(is_statement_report(F.col("r")))
                .select(*keys, "pos", F.lower("r.ShortName").alias("short_name"), report_file(F.col("r")).alias("file_name")))
     return reports.groupBy(*keys, "short_name").agg(F.max_by("file_name", "pos").alias("file_name"))

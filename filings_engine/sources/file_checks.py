@@ -17,8 +17,9 @@ Reasons:
 * ``unequal arrays`` - the parallel arrays of a submission index differ in length
 * ``no rows`` - right, but without a record
 
-Everything is Catalyst expressions on the document: no shuffle but for the
-last-file-wins rule of filing summaries."""
+Everything is Catalyst expressions on the document, which is read once (once more as
+the element of a list if it is JSON): no shuffle but for the last-file-wins rule of
+filing summaries."""
 
 from __future__ import annotations
 
@@ -48,88 +49,111 @@ def _json(col: Column, schema: StructType) -> Column:
     return F.from_json(col, StructType([*schema.fields, StructField(BROKEN, StringType())]), {"columnNameOfCorruptRecord": BROKEN})
 
 
-def _root(col: Column) -> Column:
-    """The members of the one JSON object that the text is, as text; else null.
-    Reading it as the only element of a list finds text behind it."""
-    one = F.from_json(F.concat(F.lit("["), col, F.lit("]")), "array<map<string,string>>")
+def _elements(col: Column) -> Column:
+    """The text as the only element of a list, its members as text: finds text behind the object."""
+    return F.from_json(F.concat(F.lit("["), col, F.lit("]")), "array<map<string,string>>")
+
+
+def _root(one: Column) -> Column:
+    """The members of the one JSON object that a text is (of its ``_elements``); else null."""
     return F.when(F.size(one) == 1, one[0])
 
 
-def _identifiers(v: Column) -> tuple[Column, Column, Column]:
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with the columns, worked out once a row: a column that is named often, or
+    under a filter, would be read again each time; a generator's is not."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+# each kind is read in two steps, ``_one`` and ``_d`` of a document, and then judged by them
+def _json_parts(schema: StructType) -> Callable:
+    return lambda df, v: _once(df, _one=_elements(v), _d=_json(v, schema))
+
+
+def _identifier_parts(df: DataFrame, v: Column) -> DataFrame:
+    records = F.transform(F.map_values(_root(F.col("_one"))), lambda r: F.from_json(r, RECORD, {"columnNameOfCorruptRecord": BROKEN}))
+    return _once(_once(df, _one=_elements(v)), _d=records)
+
+
+def _summary_parts(df: DataFrame, v: Column) -> DataFrame:
+    schema = StructType([*S.FILING_SUMMARY_XML.fields, StructField(BROKEN, StringType())])
+    return _once(df, _d=F.from_xml(v, schema, {"columnNameOfCorruptRecord": BROKEN}))
+
+
+def _identifiers() -> tuple[Column, Column, Column]:
     """(malformed, reason, number of rows) of S1; a record needs a number."""
-    root = _root(v)
-    records = F.transform(F.map_values(root), lambda r: F.from_json(r, RECORD, {"columnNameOfCorruptRecord": BROKEN}))
-    good = F.filter(records, _usable)
-    return root.isNull(), F.when(F.size(good) < F.size(records), "wrong type"), F.size(good)
+    records = F.col("_d")
+    good = F.size(F.filter(records, _usable))
+    return records.isNull(), F.when(good < F.size(records), "wrong type"), good
 
 
 def _usable(record: Column) -> Column:
     return record[BROKEN].isNull() & F.coalesce(record["cik_str"].rlike("^[0-9]+$"), F.lit(False))
 
 
-def _submissions(v: Column) -> tuple[Column, Column, Column]:
-    d = _json(v, S.SUBMISSIONS_JSON)
+def _submissions() -> tuple[Column, Column, Column]:
+    d = F.col("_d")
     arrays = [d["filings"]["recent"][f] for f in S.FILING_FIELDS]
     sizes = F.array_distinct(F.array(*[F.size(a) for a in arrays]))
     reason = (F.when(d[BROKEN].isNotNull(), "wrong type").when(d["filings"]["recent"].isNull(), "missing part")
               .when(F.size(sizes) > 1, "unequal arrays"))
-    return _root(v).isNull(), reason, F.greatest(F.lit(0), F.size(arrays[0]))
+    return _root(F.col("_one")).isNull(), reason, F.greatest(F.lit(0), F.size(arrays[0]))
 
 
 def _items(units: Column) -> Column:
     return F.aggregate(F.map_values(units), F.lit(0), lambda n, x: n + F.greatest(F.lit(0), F.size(x)))
 
 
-def _facts(v: Column, taxonomy: str = "us-gaap") -> tuple[Column, Column, Column]:
-    d = _json(v, S.COMPANY_FACTS_JSON)
+def _facts(taxonomy: str = "us-gaap") -> tuple[Column, Column, Column]:
+    d = F.col("_d")
     facts = d["facts"][taxonomy]
     n = F.aggregate(F.map_values(facts), F.lit(0), lambda n, x: n + F.coalesce(_items(x["units"]), F.lit(0)))
-    return _root(v).isNull(), F.when(d[BROKEN].isNotNull(), "wrong type").when(facts.isNull(), "missing part"), n
+    return _root(F.col("_one")).isNull(), F.when(d[BROKEN].isNotNull(), "wrong type").when(facts.isNull(), "missing part"), n
 
 
-def _concept(v: Column, unit: str = "USD") -> tuple[Column, Column, Column]:
-    d = _json(v, S.COMPANY_CONCEPT_JSON)
+def _concept(unit: str = "USD") -> tuple[Column, Column, Column]:
+    d = F.col("_d")
     reason = F.when(d[BROKEN].isNotNull(), "wrong type").when(d["units"].isNull(), "missing part")
-    return _root(v).isNull(), reason, F.size(d["units"][unit])
+    return _root(F.col("_one")).isNull(), reason, F.size(d["units"][unit])
 
 
-def _summary(v: Column) -> tuple[Column, Column, Column]:
-    schema = StructType([*S.FILING_SUMMARY_XML.fields, StructField(BROKEN, StringType())])
-    d = F.from_xml(v, schema, {"columnNameOfCorruptRecord": BROKEN})
+def _summary() -> tuple[Column, Column, Column]:
+    d = F.col("_d")
     reports = d["MyReports"]["Report"]
     kept = F.filter(reports, ef.is_statement_report)
     return (d.isNull() | d[BROKEN].isNotNull(), F.when(reports.isNull(), "missing part"),
             F.size(F.array_distinct(F.transform(kept, lambda r: F.lower(r["ShortName"])))))
 
 
-def _identifier_rows(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
-    entry = (df.select(*keys, F.posexplode(_root(F.col(col))).alias("ordinal", "_key", "_text"))
-             .withColumn("r", F.from_json("_text", RECORD, {"columnNameOfCorruptRecord": BROKEN})))
+def _identifier_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    entry = df.select(*keys, F.posexplode("_d").alias("ordinal", "r"))
     return entry.where(_usable(F.col("r"))).select(*keys, F.col("ordinal").cast("long"), pad_cik("r.cik_str").alias("cik_str"), "r.ticker", "r.title")
 
 
-#: kind -> (what a document is, its rows); rows take (documents, column, key columns)
-KINDS: dict[str, tuple[Callable, Callable]] = {
-    "identifiers": (_identifiers, _identifier_rows),
-    "submissions": (_submissions, lambda df, col, keys: ef.parse_submissions(df, col, cik="_file_cik" if "_file_cik" in df.columns else None)),
-    "facts": (_facts, lambda df, col, keys: ef.parse_company_facts(df, col, doc_order=keys[0] if keys else None)),
-    "concept": (_concept, lambda df, col, keys: ef.parse_company_concept(df, col, doc_order=keys[0] if keys else None)),
-    "summary": (_summary, lambda df, col, keys: ef.parse_filing_summary(df, col, key_cols=keys)),
+#: kind -> (the parts of a document, what it is by them, its rows from (documents with parts, key columns))
+KINDS: dict[str, tuple[Callable, Callable, Callable]] = {
+    "identifiers": (_identifier_parts, _identifiers, _identifier_rows),
+    "submissions": (_json_parts(S.SUBMISSIONS_JSON), _submissions,
+                    lambda df, keys: ef.submission_rows(df, "_d", cik="_file_cik" if "_file_cik" in df.columns else None)),
+    "facts": (_json_parts(S.COMPANY_FACTS_JSON), _facts, lambda df, keys: ef.company_fact_rows(df, "_d", doc_order=keys[0] if keys else None)),
+    "concept": (_json_parts(S.COMPANY_CONCEPT_JSON), _concept, lambda df, keys: ef.company_concept_rows(df, "_d", doc_order=keys[0] if keys else None)),
+    "summary": (_summary_parts, _summary, lambda df, keys: ef.filing_summary_rows(df, "_d", key_cols=keys)),
 }
 
 
 def check_documents(df: DataFrame, kind: str, keys: list[str], col: str = ef.TEXT) -> Checked:
     """Accounts and rows of a table of documents of one kind (a key of ``KINDS``)."""
-    describe, parse = KINDS[kind]
+    parts, describe, rows = KINDS[kind]
     text = F.col(col)
-    malformed, wrong, n = describe(text)
+    malformed, wrong, n = describe()
     blank = text.isNull() | (F.regexp_replace(text, r"\s", "") == "")
-    reason = F.when(blank, "empty").when(malformed, "malformed").otherwise(wrong)
-    kept = F.when(reason.isNull() | (reason == "wrong type"), F.coalesce(F.greatest(F.lit(0), n), F.lit(0))).otherwise(0).cast("long")
+    df = _once(parts(df, text), _reason=F.when(blank, "empty").when(malformed, "malformed").otherwise(wrong))
+    reason = F.col("_reason")
+    readable = reason.isNull() | (reason == "wrong type")
+    kept = F.when(readable, F.coalesce(F.greatest(F.lit(0), n), F.lit(0))).otherwise(0).cast("long")
     told = (df.select(*keys, text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), kept.alias("n_rows"), reason.alias("reason"))
             .withColumn("reason", F.coalesce("reason", F.when(F.col("n_rows") == 0, "no rows"))))
-    readable = df.where(reason.isNull() | (reason == "wrong type"))
-    return Checked(parse(readable, col, keys), told.where("reason IS NOT NULL"), told.drop("text"))
+    return Checked(rows(df.where(readable), keys), told.where("reason IS NOT NULL"), told.drop("text"))
 
 
 def _same_path(path: Column) -> Column:

@@ -112,3 +112,19 @@ def test_lost_rows_are_found(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ef, "read_links", lambda spark, path, like, fmt="csv": like.limit(1))
     with pytest.raises(RuntimeError, match="2 rows of 'A' became 1"):
         ef.write_links(df, str(tmp_path / "t"), partition_by="ticker")
+
+
+def test_checked_documents_are_read_once(spark):
+    docs = spark.createDataFrame([(1, "{}")], "k int, value string")
+    for kind, reads in (("identifiers", 2), ("submissions", 2), ("facts", 2), ("concept", 2), ("summary", 1)):
+        checked = fc.check_documents(docs, kind, ["k"])
+        for df in (checked.rows, checked.errors, checked.files):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("from_json(") + plan.count("from_xml(") + plan.count("JsonToStructs") + plan.count("XmlToStructs") <= reads, plan
+
+
+def test_documents_of_orders_use_all_slots(spark):
+    from filings_engine.sources import adapters as ad
+    slots = spark.sparkContext.defaultParallelism
+    for df in (ad.submission_documents(spark, "/root/testdata/sf0.01"), ad.filing_summaries(spark, "/root/testdata/sf0.01")):
+        assert df.rdd.getNumPartitions() >= slots
