@@ -30,6 +30,8 @@ TOKEN = "(?is)" + "|".join([
     rf"<(script|style)(?=[\s/>]){ATTRIBUTES}(?<!/)>.*?(?=</\s*\1\s*>|\z)",
     rf"<[a-z]{ATTRIBUTES}>", r"</[^>]*>",
     r"(?:[^<]++|<(?![a-z/!?]))++", r"<"])
+PLAIN_LINK = r"^(?:[A-Za-z0-9_-][A-Za-z0-9_.-]*/)*[A-Za-z0-9_-][A-Za-z0-9_.-]*$"
+PLAIN_FOLDER = r"^(https?://[A-Za-z0-9-][A-Za-z0-9.-]*/(?:[A-Za-z0-9_-][A-Za-z0-9_.-]*/)*)[A-Za-z0-9_.-]*$"
 MARKUP = r"^<[a-zA-Z/!?]"
 ATTRIBUTE = r"""(?s)([^\s/>=]+)(?:\s*=+\s*("[^"]*"|'[^']*'|(?!["'])[^>\s]*))?"""
 REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
@@ -52,6 +54,13 @@ def page_tokens(html) -> Column:
     return F.regexp_extract_all(_col(html), F.lit(TOKEN), F.lit(0))
 
 
+def _tags_of(html, tag: str) -> Column:
+    """The start tags of a name, in order: the tokens between them are passed over by the
+    pattern (as ``TOKEN`` would cut them), none of them is listed."""
+    own = rf"<{tag}(?=[\t\n\r\f />\x00]){ATTRIBUTES}>"
+    return F.regexp_extract_all(_col(html), F.lit(rf"(?is)\G(?:(?!{own})(?:{TOKEN[5:]}))*+({own})"), F.lit(2))
+
+
 def is_markup(token: Column) -> Column:
     return token.rlike(MARKUP) & (F.length(token) > 1)
 
@@ -130,12 +139,10 @@ def page_text(pages: DataFrame, doc_id: str = "doc_id", html: str = "html") -> D
 # --- links and images -----------------------------------------------------------------
 def _tags(pages: DataFrame, tag: str, attr: str, keep: list[str], html: str) -> DataFrame:
     """``(*keep, pos, value)`` of each tag of a name that has the attribute: its last
-    value, empty without one."""
-    tokens = F.transform(page_tokens(html), lambda t, i: F.struct(i.alias("pos"), t.alias("t")))
-    own = F.filter(tokens, lambda x: x["t"].rlike(rf"^(?i:<{tag})(?:[\t\n\r\f />\x00])"))
-    rows = pages.select(*keep, F.explode(own).alias("x"))
+    value, empty without one; ``pos`` is its number among the tags of the name."""
+    rows = pages.select(*keep, F.posexplode(_tags_of(html, tag)).alias("pos", "_t"))
     # in stages, so that each part is worked out once a tag
-    rows = rows.select(*keep, "x.pos", F.regexp_extract_all(F.regexp_replace("x.t", r"^<[a-zA-Z][^\t\n\r\f />\x00]*|/?>$", ""), F.lit(ATTRIBUTE), F.lit(0)).alias("_a"))
+    rows = rows.select(*keep, "pos", F.regexp_extract_all(F.regexp_replace("_t", r"^<[a-zA-Z][^\t\n\r\f />\x00]*|/?>$", ""), F.lit(ATTRIBUTE), F.lit(0)).alias("_a"))
     rows = rows.withColumn("_a", F.filter("_a", lambda a: F.lower(F.regexp_extract(a, ATTRIBUTE, 1)) == attr))
     rows = rows.select(*keep, "pos", F.regexp_extract(F.try_element_at("_a", F.lit(-1)), ATTRIBUTE, 2).alias("_v"))
     quoted = F.substring("_v", 1, 1).isin("'", '"')
@@ -150,24 +157,31 @@ def _only(df: DataFrame, keep: list[str], value: str) -> DataFrame:
 
 
 def page_links(pages: DataFrame, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
-    """``(doc_id, pos, href)`` of every anchor with an href; ``pos`` is the place of
-    its token, so it orders the links of a page."""
+    """``(doc_id, pos, href)`` of every anchor with an href; ``pos`` is its number
+    among the anchors of the page, so it orders the links."""
     return _tags(pages, "a", "href", [doc_id], html).withColumnRenamed("value", "href")
 
 
 def page_images(pages: DataFrame, doc_id: str = "doc_id", html: str = "html", url: str = "url") -> DataFrame:
     """H3: ``(doc_id, pos, url)`` of every image with a non-empty source,
     resolved against the page's address; duplicates kept, sources that are no address
-    left out."""
-    rows = _tags(pages.withColumnRenamed(url, "_base"), "img", "src", [doc_id, "_base"], html)
-    joined = join_urls(rows, "_base", "value", "url")
-    return _only(joined.select(doc_id, "pos", F.when(F.col("value") != "", F.col("url")).alias("url")), [doc_id], "url")
+    left out.  Plain relative sources only follow the folder of a plain address; the
+    others are joined by the rules."""
+    based = pages.withColumnRenamed(url, "_base").withColumn("_folder", F.regexp_extract("_base", PLAIN_FOLDER, 1))
+    rows = _tags(based, "img", "src", [doc_id, "_base", "_folder"], html)
+    rows = rows.withColumn("_plain", (F.col("_folder") != "") & F.col("value").rlike(PLAIN_LINK) & ~F.col("value").endswith("\n"))
+    odd = F.coalesce(~F.col("_plain"), F.lit(True))
+    rows = rows.withColumns({"_odd_base": F.when(odd, F.col("_base")), "_odd_value": F.when(odd, F.col("value"))})
+    joined = join_urls(rows, "_odd_base", "_odd_value", "url")
+    address = F.when(F.col("_plain"), F.concat("_folder", "value")).otherwise(F.col("url"))
+    return _only(joined.select(doc_id, "pos", F.when(F.col("value") != "", address).alias("url")), [doc_id], "url")
 
 
 def join_urls(df: DataFrame, base: str, link: str, out: str) -> DataFrame:
     """``df`` with the link against the address of its page in ``out``; null if a host
     in either is no host."""
-    clean = {n: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "") for n, c in (("_b", base), ("_u", link))}
+    some = F.col(base).isNotNull() | F.col(link).isNotNull()          # without any, nothing is worked out
+    clean = {n: F.regexp_replace(F.regexp_replace(F.when(some, F.coalesce(F.col(c), F.lit(""))), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "") for n, c in (("_b", base), ("_u", link))}
     part = {"scheme": 1, "host": 2, "path": 3, "query": 4, "fragment": 5}
     x = df.select("*", *[c.alias(n) for n, c in clean.items()])
     x = x.select("*", *[F.struct(*[F.regexp_extract(n, URL, i).alias(p) for p, i in part.items()]).alias(f"{n}p") for n in clean])

@@ -87,3 +87,28 @@ def test_no_python_worker(spark):
     for df in (nat.page_text(pages), nat.page_links(pages), nat.page_images(pages)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"EvalPython|MapIn(Arrow|Pandas)|Exchange \w", plan)
+
+
+def test_images_between_odd_tokens(spark):
+    rng = random.Random(9)
+    bits = ["<img src=i.png>", "<IMG\tSRC='a/b.png'/>", "<img src='a>b.png'>", "<imgs src=x>", "<img", "<img src=\"../c.png\" >", "<!-- <img src=no.png> -->", "<script>'<img src=no.png>'</script>", "<style><img src=no>",
+            "</style>", "<!-- <img src=late>", "<p title='<img src=in>'>", "<![if x]>", "<", ">", "text", "\n", "<a href=q>", "<img src='p\n'>", "<img src=.h/x>", "<img src=a/./b>", "<img src=a//b>"]
+    bases = ["https://e.org/a/b?q#f", "http://h.org/x/y.htm", "http://h.org", "http://h.org/a/../b", "http://h.org/a//b", "HTTP://h.org/a/b", None, "http://h.org/a/\n", "http://u@h/x"]
+    pages = spark.createDataFrame([(i, rng.choice(bases), "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))) for i in range(400)], "doc_id int, url string, html string").repartition(4)
+    rows = nat.page_images(pages).collect()
+    # the tokens of a page, cut one by one
+    tokens = pages.select("doc_id", F.posexplode(nat.page_tokens("html")).alias("pos", "t")).where(F.col("t").rlike(r"^(?i:<img)(?:[\t\n\r\f />\x00])"))
+    alone = tokens.join(pages.select("doc_id", "url"), "doc_id").select((F.col("doc_id") * 1000 + F.col("pos")).alias("doc_id"), "url", F.col("t").alias("html"))
+    one = {r.doc_id: r.url for r in nat.page_images(alone).collect()}
+    assert [(r.doc_id, r.url) for r in sorted(rows)] == [(k // 1000, u) for k, u in sorted(one.items())]
+    # addresses by the rules of the standard library
+    sources = {k: html.unescape(m[1] or m[2] or m[3] or "") for k, t in alone.select("doc_id", "html").collect()
+               if "title" not in t for m in [re.search(r"""(?is)src=(?:"([^"]*)"|'([^']*)'|([^\s>]*))""", t)] if m}
+    base = {r.doc_id: r.url for r in pages.collect()}
+    assert sources and {k: one.get(k) for k in sources} == {k: urljoin(base[k // 1000] or "", v) if v else None for k, v in sources.items()}
+
+
+def test_tokens_of_other_tags_are_not_listed(spark):
+    pages = spark.createDataFrame([(1, "http://h/a/b", "<p>x" * 200000 + "<img src=c.png>")], "doc_id int, url string, html string")
+    images = nat.page_images(pages)
+    assert [(r.pos, r.url) for r in images.collect()] == [(0, "http://h/a/c.png")]
