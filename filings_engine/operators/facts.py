@@ -23,7 +23,7 @@ def dedupe_facts(facts: DataFrame, keys=("cik", "fact", "end", "val")) -> DataFr
 
 
 def periodic_facts(facts: DataFrame, filings: DataFrame, form: str, min_days: int | None = None,
-                   max_days: int | None = None) -> DataFrame:
+                   max_days: int | None = None, dedupe: bool = False) -> DataFrame:
     """A4: mean value per (cik, fact, label, end) over the facts that belong
     to an accession of ``form`` (J3) and whose end date equals a report date
     of such a filing of the same company (J4, independent of J3).
@@ -32,16 +32,24 @@ def periodic_facts(facts: DataFrame, filings: DataFrame, form: str, min_days: in
     without a start date, such as balances, stay.
 
     Both are left-semi joins: the filing side is reduced to distinct keys
-    first; Spark sizes them (broadcast when small, else sort-merge)."""
+    first; Spark sizes them (broadcast when small, else sort-merge).
+
+    ``dedupe`` takes the facts of ``dedupe_facts(facts)``.  The report date join is on
+    keys of that, so it goes first and only facts of a report are gathered."""
     f = filings.filter(F.col("form") == form)
     acc = f.select("cik", F.col("accessionNumber").alias("accn")).distinct()
     rep = f.select("cik", parse_iso_date("reportDate").alias("end")).where(F.col("end").isNotNull()).distinct()
     days = F.datediff("end", "start")
+    if dedupe:
+        read = ["cik", "fact", "label", *(["start"] if (min_days, max_days) != (None, None) else []), "end", "val", "accn", "ordinal"]
+        facts = dedupe_facts(facts.select(*read).join(rep, ["cik", "end"], "left_semi"))
     if min_days is not None:
         facts = facts.filter(F.coalesce(days >= min_days, F.lit(True)))
     if max_days is not None:
         facts = facts.filter(F.coalesce(days <= max_days, F.lit(True)))
-    sel = facts.join(acc, ["cik", "accn"], "left_semi").join(rep, ["cik", "end"], "left_semi")
+    sel = facts.join(acc, ["cik", "accn"], "left_semi")
+    if not dedupe:
+        sel = sel.join(rep, ["cik", "end"], "left_semi")
     return (sel.groupBy("cik", "fact", "label", "end")
             .agg(F.avg("val").alias("value")))
 

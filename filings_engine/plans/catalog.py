@@ -114,7 +114,7 @@ def q_facts_dedup(spark, d):
 
 
 def _periodic(spark, d, form):
-    out = fx.periodic_facts(fx.dedupe_facts(_facts(spark, d)), ad.filings(spark, d), form)
+    out = fx.periodic_facts(_facts(spark, d), ad.filings(spark, d), form, dedupe=True)
     return out.withColumn("value", F.round("value", 6))
 
 

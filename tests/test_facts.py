@@ -1,4 +1,7 @@
 import json
+import random
+
+from pyspark.sql import functions as F
 
 from filings_engine.operators import facts as fx
 from filings_engine.sources import edgar_files as ef
@@ -110,3 +113,16 @@ def test_two_values_of_one_matrix_cell(spark):
     got = {r.r: (r.x, r.y) for r in fx.to_wide(long, "r", "c", "v", ["x", "y"], "latest", "at").collect()}
     assert got == {"a": (1.0, 3.0), "b": (None, None)}
     assert fx.to_wide(long, "r", "c", "v", ["x"], "list").where("r = 'a'").first().x == [1.0, 5.0]
+
+
+def test_facts_of_a_report_are_deduplicated_after_the_date_join(spark):
+    rng = random.Random(3)
+    days = [f"2020-0{m}-01" for m in range(1, 7)] + [None]
+    rows = [(rng.choice(["a", "b", None]), "x", rng.choice("FG"), rng.choice("LM"), rng.choice(days), rng.choice(days), float(rng.randint(0, 2)), rng.choice("pqr"), i) for i in range(600)]
+    facts = spark.createDataFrame(rows, "cik string, taxonomy string, fact string, label string, start string, end string, val double, accn string, ordinal long").withColumns(
+        {c: F.to_date(c) for c in ("start", "end")})
+    filings = spark.createDataFrame([(rng.choice("ab"), rng.choice("pqr"), rng.choice(days) or "", rng.choice(["10-Q", "10-K"])) for _ in range(12)],
+                                    "cik string, accessionNumber string, reportDate string, form string")
+    for bounds in ({}, {"min_days": 10, "max_days": 100}):
+        got, want = (sorted(map(tuple, x.collect())) for x in (fx.periodic_facts(facts, filings, "10-Q", **bounds, dedupe=True), fx.periodic_facts(fx.dedupe_facts(facts), filings, "10-Q", **bounds)))
+        assert got and got == want
