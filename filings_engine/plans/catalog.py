@@ -328,10 +328,8 @@ TEXT_MARKER = "CONTENTS"
 
 
 def _documents(pages):
-    """H5 of filing pages.  Text, images and tables each read the node table:
-    the pages are parsed once."""
-    nodes = materialize(html_nodes(spread(pages, "doc_id", always=True), **TABLE_TEXT), as_table=True)
-    return hx.extract_documents(pages, nodes)
+    """H5 of filing pages, parsed once."""
+    return hx.extract_documents(pages, html_nodes(pages, **hx.DOCUMENT_NODES, carry=["status"]))
 
 
 def _listed(df):
@@ -341,7 +339,7 @@ def _listed(df):
 
 def q_filing_documents(spark, d):
     """H5 of every filing page; every 71st fetch failed and gives no document."""
-    pages = ad.filing_pages(spark, d).withColumn("status", F.when(F.col("doc_id") % 71 == 0, 404).otherwise(F.col("status")))
+    pages = ad.dealt(spark, d, ad.filing_pages(spark, d)).withColumn("status", F.when(F.col("doc_id") % 71 == 0, 404).otherwise(F.col("status")))
     return _listed(_documents(pages).select("doc_id", "document.*"))
 
 
@@ -351,7 +349,7 @@ def q_proxy_texts(spark, d):
     rich = _links_rich(spark, d)
     chosen = pl.latest_text_per_ticker(rich)
     pages = ad.filing_pages(spark, d).join(chosen.select(F.col("doc_url").alias("url")), "url", "left_semi")
-    docs = _documents(pages).join(pages.select("doc_id", F.col("url").alias("doc_url")), "doc_id")
+    docs = _documents(spread(pages, "doc_id", always=True)).join(pages.select("doc_id", F.col("url").alias("doc_url")), "doc_id")
     return _listed(pl.proxy_texts(rich, docs.select("doc_url", "document"), TEXT_MARKER))
 
 
