@@ -81,3 +81,37 @@ def test_sections_plan(spark, tables):
     # line items and orders, each by the order: the pages are neither shuffled nor landed
     assert _planned(spark, "toc_sections", tables) == (2, 0)
     assert catalog.QUERIES["toc_sections"](spark, tables).count() == 700
+
+
+def test_documents_plan(spark, tables):
+    assert _planned(spark, "filing_documents", tables) == (2, 0)
+    assert catalog.QUERIES["filing_documents"](spark, tables).count() == 290
+
+
+STATEMENT = ('<table><tr><th class="tl">in Millions</th><th class="th"><div>Dec. 31, 2023</div></th><th class="th x"><div>May 1, 2020</div></th></tr>'
+             "<tr><td class=\"pl\"><a onclick=\"f( 'defref_A', w );\">a</a></td><td class=\"nump\">$ 1.5</td>{}</tr></table>")
+
+
+def test_statement_pages_of_one_id(spark):
+    rows = [(1, STATEMENT.format('<td class="num">(2)</td>'))] * 2 + [(2, STATEMENT.format(""))] * 2 + [(3, STATEMENT.format('<td class="num">1.1.1</td>')), (None, STATEMENT), (4, None), (5, "<p>x</p>")]
+    df = spark.createDataFrame(rows, "doc_id long, html string").repartition(3)
+    values, errors = stm.statement_frame(html_nodes(df, url=None, **stm.STATEMENT_NODES), df)
+    # the cells of a page that comes twice are all listed
+    assert sorted((r.doc_id, r.period, r.value) for r in values.collect()) == [(2, 0, 1500.0), (2, 1, 1500.0)]
+    assert {r.doc_id: r.reason for r in errors.collect()} == {1: "more cells than dates", 3: "bad number", 4: "empty", 5: "empty", None: "empty"}
+    _, seen = stm.statement_frame(html_nodes(df, url=None, **stm.STATEMENT_NODES))
+    assert {r.doc_id for r in seen.collect()} == {1, 3}
+
+
+def test_statement_plans(spark, tables):
+    for name in ("statement_errors", "statement_values"):
+        # line items and orders once for the pages, once for the ids of the orders, which meet the pages
+        assert _planned(spark, name, tables)[1] == 0, name
+    assert catalog.QUERIES["statement_errors"](spark, tables).count() + catalog.QUERIES["statement_values"](spark, tables).select("doc_id").distinct().count() == 290
+
+
+def test_dedupe_deals_out_once(spark):
+    values = spark.createDataFrame([(1, 0, 0, 2.0), (1, 0, 1, None), (1, 1, 0, 2.0), (1, 1, 1, None), (1, 2, 0, 2.0), (2, 0, 0, 2.0)], "doc_id int, row int, period int, value double")
+    got = stm.dedupe_statement_rows(values)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert sorted((r.doc_id, r.row) for r in got.collect()) == [(1, 0), (1, 0), (1, 2), (2, 0)]
