@@ -191,23 +191,31 @@ def dealt(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
     return pages.repartition(page_slices(spark, sf_dir), "doc_id")
 
 
-def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order: its filing identity and its line items in line order
-    (a bounded group: TPC-H orders have at most 7 lines).  The line items are dealt out
-    here, where they are small, so that the pages made of them need not be."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order key its line items in line order (a bounded group: TPC-H orders have at
+    most 7 lines).  The line items are dealt out here, where they are small, so that the
+    pages made of them need not be."""
     li = table(spark, sf_dir, "lineitem").repartition(page_slices(spark, sf_dir), "l_orderkey")
-    o = table(spark, sf_dir, "orders")
-    lines = (li.groupBy("l_orderkey")
-             .agg(F.array_sort(F.collect_list(F.struct(
-                 "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                 F.col("l_shipdate").cast("date").alias("ship")))).alias("lines")))
+    return (li.groupBy("l_orderkey")
+            .agg(F.array_sort(F.collect_list(F.struct(
+                "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                F.col("l_shipdate").cast("date").alias("ship")))).alias("lines")))
+
+
+def _order_lines(spark: SparkSession, sf_dir: str, names: DataFrame | None = None) -> DataFrame:
+    """Per order (of ``names``, else all): its filing identity and its line items in line order."""
+    names = _order_names(spark, sf_dir) if names is None else names
+    return names.join(_lines(spark, sf_dir), F.col("doc_id") == F.col("l_orderkey")).drop("l_orderkey")
+
+
+def _order_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order: its filing identity."""
     od = F.col("o_orderdate").cast("date")
-    return (o.join(lines, o["o_orderkey"] == lines["l_orderkey"])
-            .select(F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_orderpriority", od.alias("odate"),
-                    F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), pad_cik("o_custkey"), F.lit("/"),
-                             F.replace(accession_number(F.col("o_orderkey"), od), F.lit("-"), F.lit("")),
-                             F.lit("/d"), F.col("o_orderkey").cast("string"), F.lit(".htm")).alias("url"),
-                    "lines"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_orderpriority", od.alias("odate"),
+        F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), pad_cik("o_custkey"), F.lit("/"),
+                 F.replace(accession_number(F.col("o_orderkey"), od), F.lit("-"), F.lit("")),
+                 F.lit("/d"), F.col("o_orderkey").cast("string"), F.lit(".htm")).alias("url"))
 
 
 def filing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,8 +295,8 @@ def filing_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
                     xml.alias("value"))
 
 
-def _statement_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X6 statement page of each order ``(doc_id, folder, html)``: two period
+def _statement_html(base: DataFrame) -> DataFrame:
+    """X6 statement page of each order ``(doc_id, url, html)`` of ``_order_lines``: two period
     columns (order date, one year earlier), one row per line item with the
     part as concept, quantity as a positive and price as a negative amount.
     Units: ``in Millions`` for priority 1, ``unless otherwise specified``
@@ -296,7 +304,6 @@ def _statement_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     a text cell.  Every 101st order has an unreadable date, every 103rd one
     row with an extra amount cell, every 97th leaves its cells and rows unclosed
     and every 89th has no markup at all (a failed fetch)."""
-    base = _order_lines(spark, sf_dir)
     k = F.col("doc_id")
     p1 = F.substring("o_orderpriority", 1, 1)
     unit = (F.when(p1 == "1", F.lit("$ in Millions")).when(p1 == "2", F.lit("Share data unless otherwise specified"))
@@ -324,7 +331,11 @@ def _statement_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</div></th></tr>"), F.array_join(F.transform("lines", row), ""), F.lit("</table></body></html>"))
     html = (F.when(k % 89 == 0, F.lit(None))
             .when(k % 97 == 0, F.regexp_replace(html, "</t[dr]>", "")).otherwise(html))
-    return base.select("doc_id", F.regexp_replace("url", r"/[^/]*$", "").alias("folder"), html.alias("html"))
+    return base.select("doc_id", "url", html.alias("html"))
+
+
+def _folder(url: str = "url"):
+    return F.regexp_replace(url, r"/[^/]*$", "")
 
 
 def order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,18 +346,23 @@ def order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The balance sheets ``(doc_id, url, html)``: a filing's summary page R2.htm."""
-    return _statement_html(spark, sf_dir).select("doc_id", F.concat("folder", F.lit("/R2.htm")).alias("url"), "html")
+    return _statement_html(_order_lines(spark, sf_dir)).select("doc_id", F.concat(_folder(), F.lit("/R2.htm")).alias("url"), "html")
 
 
-def all_statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_statement_pages(spark: SparkSession, sf_dir: str, urls: DataFrame | None = None) -> DataFrame:
     """Balance sheet, income and cash-flow page of each order ``(doc_id, url,
     html)``, named as in its filing summary and identified by the address; the
-    second balance sheet (R5) was not fetched."""
+    second balance sheet (R5) was not fetched.
+
+    ``urls`` (url): the pages of these addresses.  The semi-join reads the orders' addresses
+    alone and the rows are dealt out by address, both before a page is rendered."""
     income = F.when(F.col("doc_id") % 5 == 0, F.lit("/R3.xml")).otherwise(F.lit("/R3.htm"))
-    pages = _statement_html(spark, sf_dir).select(
-        F.explode(F.array(F.lit("/R2.htm"), income, F.lit("/R4.htm"))).alias("file"), "folder", "html")
-    url = F.concat("folder", "file")
-    return pages.select(url.alias("doc_id"), url.alias("url"), "html")
+    files = F.explode(F.array(F.lit("/R2.htm"), income, F.lit("/R4.htm"))).alias("file")
+    names = _order_names(spark, sf_dir).select("*", files).withColumn("url", F.concat(_folder(), "file"))
+    base = _order_lines(spark, sf_dir, names if urls is None else names.join(urls, "url", "left_semi"))
+    if urls is not None:
+        base = base.repartition(page_slices(spark, sf_dir), "url")
+    return _statement_html(base).select(F.col("url").alias("doc_id"), "url", "html")
 
 
 def identifier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,3 +115,31 @@ def test_dedupe_deals_out_once(spark):
     got = stm.dedupe_statement_rows(values)
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
     assert sorted((r.doc_id, r.row) for r in got.collect()) == [(1, 0), (1, 0), (1, 2), (2, 0)]
+
+
+def test_company_statements_land_no_pages(spark, tables):
+    from pathlib import Path
+    folder = Path(checkpoint_dir(spark), "tables")
+    before = set(folder.glob("*"))
+    values = catalog.QUERIES["company_statements"](spark, tables)
+    landed = [set(spark.read.parquet(str(p)).columns) for p in set(folder.glob("*")) - before]
+    assert landed and not any("html" in c for c in landed)
+    errors = catalog.QUERIES["company_statement_errors"](spark, tables)
+    # the latest 10-K of these companies: three statements each, with values or with one error
+    told = [tuple(r) for df in (values.select("cik", "statement").distinct(), errors.select("cik", "statement")) for r in df.collect()]
+    assert len(told) == len(set(told)) == 12
+    counts = {(r.cik, r.part): r.n for r in catalog.QUERIES["company_profile"](spark, tables).collect()}
+    assert sum(n for (_, part), n in counts.items() if part == "statements") == values.count()
+
+
+def test_pages_of_wanted_addresses(spark, tables):
+    from filings_engine.sources import adapters as ad
+    whole = ad.all_statement_pages(spark, tables)
+    some = whole.select("url").where("abs(hash(url)) % 5 = 0").distinct()
+    got = ad.all_statement_pages(spark, tables, some)
+    assert _rows(got) == _rows(whole.join(some, "url", "left_semi").select("doc_id", "url", "html")) and got.count() > 50
+
+
+def test_summary_names_are_dealt_out_once(spark, tables):
+    files = catalog.QUERIES["statement_files"](spark, tables)
+    assert files._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(accession") == 1
