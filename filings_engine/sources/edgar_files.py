@@ -134,11 +134,15 @@ def parse_filing_summary(df: DataFrame, col: str = TEXT, key_cols: list[str] | N
 
 
 def filing_summary_rows(df: DataFrame, x: Column | str, key_cols: list[str] | None = None) -> DataFrame:
-    """``parse_filing_summary`` of documents that are read already (a struct)."""
+    """``parse_filing_summary`` of documents that are read already (a struct).  A document's
+    names are dealt out by ``key_cols`` in one row, which later groups by these keys share."""
     keys = key_cols or []
     x = F.col(x) if isinstance(x, str) else x
-    reports = (df.select(*keys, F.posexplode(x["MyReports"]["Report"]).alias("pos", "r")).filter(is_statement_report(F.col("r")))
-               .select(*keys, "pos", F.lower("r.ShortName").alias("short_name"), report_file(F.col("r")).alias("file_name")))
+    places = F.transform(x["MyReports"]["Report"], lambda r, i: F.struct(i.alias("pos"), r.alias("r")))
+    named = F.transform(F.filter(places, lambda p: is_statement_report(p["r"])), lambda p: F.struct(
+        p["pos"].alias("pos"), F.lower(p["r"]["ShortName"]).alias("short_name"), report_file(p["r"]).alias("file_name")))
+    documents = df.select(*keys, named.alias("_named"))
+    reports = (documents.repartition(*keys) if keys else documents).select(*keys, F.inline("_named"))
     return reports.groupBy(*keys, "short_name").agg(F.max_by("file_name", "pos").alias("file_name"))
 
 
